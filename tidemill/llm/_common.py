@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,21 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
 _own = ""
 
 
+#: Rows in a file of a table whose size is known to be small.
+FILE_ROWS = 250_000
+
+
 class Workspace:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
+    """Where an operator keeps what it reads more than once.
+
+    ``save`` writes a table to the shared folder, which cuts lineage; ``keep`` leaves large tables on the
+    executors' disks, from where what is lost is computed again.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """``df``, written and read again."""
+    def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """``df``, written and read again; with a bound on its ``rows``, in no more files than they need."""
         schema = df.schema
-        df.write.parquet(f"{self.root}/{name}")
+        out = df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))
+        out.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df``, computed once and kept on disk until ``unpersist``."""
+        return df.persist(StorageLevel.DISK_ONLY)
+
     def drop(self, *names: str) -> None:
-        """Frees tables that nothing reads any more."""
+        """Frees written tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")

@@ -218,42 +218,44 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     work = Workspace(spark, "ngram")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     how = {"n": shingle, "lower": lower}
-    sets = work.save(docs.mapInArrow(partial(_fingerprints, **how), "id long, size long, f1 long, f2 long"), "sets")
+    sets = work.keep(docs.mapInArrow(partial(_fingerprints, **how), "id long, size long, f1 long, f2 long"))
     real = sets.where("id is not null and size > 0")
-    classes = work.save(real.groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")), "classes")
+    n = real.count()
+    classes = work.save(real.groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")), "classes", n)
     members = real.join(classes, ["f1", "f2", "size"]).select("id", "rep")
-    others = members.where("id <> rep").select("id").distinct()
 
     def only(ids: DataFrame, kind: str) -> DataFrame:
         few = ids.count() <= BROADCAST_IDS
         return docs.where("id is not null").join(F.broadcast(ids) if few else ids, "id", kind)
 
     # an id on several rows may be a class of its own and a copy elsewhere: it stays
-    copies = work.save(others.join(classes.select(F.col("rep").alias("id")), "id", "left_anti"), "copies")
+    copies = members.where("id <> rep").select("id").distinct().join(classes.select(F.col("rep").alias("id")), "id", "left_anti")
+    copies = work.save(copies, "copies", n)
     sigs = only(copies, "left_anti").mapInArrow(partial(_emit, percent=percent, n2=parts, k2=left_out, **how), "sig long, id long")
-    stars = work.save(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_stars, "sig long, id long, lo long"), "stars")
-    best = work.save(stars.groupBy("id", "lo").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.lo")).alias("b")), "best")
+    stars = work.keep(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_stars, "sig long, id long, lo long"))
+    n_stars = stars.count()
+    best = work.save(stars.groupBy("id", "lo").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.lo")).alias("b")), "best", min(n, n_stars))
     inside = stars.select("sig", "id").unionByName(stars.select("sig", F.col("lo").alias("id"))).distinct()
-    met = work.save(stars.select("id").unionByName(stars.select(F.col("lo").alias("id"))).distinct(), "met")
-    arrays = work.save(only(met, "left_semi").mapInArrow(partial(_arrays, **how), "id long, found binary, sketch binary"), "arrays")
+    met = work.save(stars.select("id").unionByName(stars.select(F.col("lo").alias("id"))).distinct(), "met", min(n, 2 * n_stars))
+    arrays = work.keep(only(met, "left_semi").mapInArrow(partial(_arrays, **how), "id long, found binary, sketch binary"))
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
+    def verify(pairs: DataFrame) -> DataFrame:
         one = arrays.select(F.col("id").alias("a"), F.col("found").alias("x"))
         two = arrays.select(F.col("id").alias("b"), F.col("found").alias("y"))
-        return work.save(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, percent=percent), "a long, b long"), name)
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, percent=percent), "a long, b long")
 
     # first each document with the one that it shares most signatures with; then only what is still apart
-    links = verify(best, "links1").unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    first = work.save(components(links, work, "first"), "comps1")
-    placed = inside.join(first, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp"))
-    placed = work.save(placed, "placed")
+    links = work.keep(verify(best).unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+    first = work.save(components(links, work, "first"), "comps1", n)
+    placed = work.keep(inside.join(first, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp")))
     live = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     apart = placed.join(live, "sig").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp")
     apart = apart.join(arrays.select("id", "sketch"), "id").select("sig", "one", "two", "block", "id", "comp", "sketch")
-    pairs = apart.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two", "block").mapInArrow(partial(_pairs, percent=percent), "a long, b long").distinct()
-    second = verify(work.save(pairs, "pairs"), "links2")
-    final = components(second.unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))), work, "final")
-    final = work.save(final, "comps2")
-    work.drop("stars", "arrays", "placed", "copies", "met", "best")
+    pairs = work.keep(apart.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two", "block").mapInArrow(partial(_pairs, percent=percent), "a long, b long").distinct())
+    second = work.keep(verify(pairs).unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+    final = work.save(components(second, work, "final"), "comps2", n)
+    for kept in (stars, arrays, links, placed, pairs, second):
+        kept.unpersist()
+    work.drop("classes", "copies", "best", "met", "comps1")
     return sets.join(final, "id", "left").select("id", "size", F.coalesce("comp", "id").alias("component_id"))
