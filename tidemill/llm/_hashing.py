@@ -20,8 +20,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0xD6E8FEB86659FD93
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0xD6E8FEB86659FD93
+INVERSE = pow(BASE, -1, 1 << 64)
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 EXACT = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -31,7 +31,7 @@ LOWER[65:91] = EXACT[97:123]
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     have = _powers.get(str(base))
     if have is None or len(have) < n:
         steps = np.full(max(n, CHUNK + 1), base, dtype=U64)
@@ -47,8 +47,8 @@ def _hashed(b: np.ndarray, table: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.empty(0, U64)
-    sums = np.add.reduceat(table[b] * _power(_BASE, len(b)), starts)
-    return mix(sums * _power(_INVERSE, len(b))[starts])
+    sums = np.add.reduceat(table[b] * powers(BASE, len(b)), starts)
+    return mix(sums * powers(INVERSE, len(b))[starts])
 
 
 def word_hashes(text: bytes, table: np.ndarray = EXACT) -> np.ndarray:

@@ -22,13 +22,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Workspace, shuffle_partitions
+from ._hashing import BASE, CHUNK, EXACT, INVERSE, U64, mix, powers
 
 MAGIC = b"TMTOK1\n\0"
 #: Ids in a block; encoded words that a process keeps; zstandard's level.
-BLOCK_IDS, CACHE, LEVEL = 1 << 16, 300_000, 3
+BLOCK_IDS, CACHE, LEVEL = 1 << 16, 1_500_000, 3
+#: New words encoded as one text; slots of the table of known words.
+JOINED = 32
+SLOTS = 1 << 22
 #: Bytes of text that a file is cut for.
 FILE_TEXT = 64 << 20
 
+#: As in hashes of words, but white space other than the space is part of a word.
+_WEIGHTS = np.where(EXACT == 0, mix(np.arange(1000, 1256, dtype=U64)), EXACT)
+_WEIGHTS[0x20] = 0
 _INSIDE = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -137,7 +144,8 @@ class WordEncoder:
     """A tokenizers file with what it gave for each word kept.
 
     Byte-level pre-tokenization never joins a character with a space after it, so a text may be cut
-    before spaces, but for a space inside a gap: texts with one are encoded whole.
+    before spaces, but for a space inside a gap: texts with one are encoded whole. Words are known by
+    64-bit hashes; when the table is full it starts anew.
     """
 
     def __init__(self, path: str):
@@ -148,50 +156,132 @@ class WordEncoder:
         plain = not spec.get("normalizer") and (spec.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not (spec["pre_tokenizer"].get("add_prefix_space"))
         self.marks = [t["content"] for t in spec.get("added_tokens") or []]
         self.by_words = plain and not any(" " in m for m in self.marks)
+        gap = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.gap = gap[0] if plain and len(gap) == 1 else None
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.size = np.zeros(1 << 10, np.int64)
-        self.start = np.zeros(1 << 10, np.int64)
-        self.flat = np.zeros(1 << 12, np.uint32)
-        self.used = 0
-
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 4096):
-            some = words[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                k = len(self.known)
-                if k == len(self.size):
-                    self.size, self.start = np.resize(self.size, 2 * k), np.resize(self.start, 2 * k)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.size[k], self.start[k] = len(ids), self.used
-                self.used += len(ids)
-                self.known[w] = k
+        self.keys, self.slots = np.zeros(SLOTS, U64), np.zeros(SLOTS, np.int32)
+        self.words = self.used = 0
+        self.size, self.start = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat = np.zeros(1 << 14, np.uint32)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of known words, else -1: open addressing, all words a probe at a time."""
+        slot = hashes & U64(SLOTS - 1)
+        key = self.keys[slot]
+        out = np.where(key == hashes, self.slots[slot], np.int32(-1))
+        left = np.flatnonzero((key != hashes) & (key != 0))
+        while left.size:
+            slot = (slot[left] + U64(1)) & U64(SLOTS - 1)
+            want, key = hashes[left], self.keys[slot]
+            hit = key == want
+            out[left[hit]] = self.slots[slot[hit]]
+            more = ~hit & (key != 0)
+            slot_of = np.zeros(len(hashes), U64)
+            slot_of[left] = slot
+            left, slot = left[more], slot_of
+        return out
+
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        plain = np.array([self.gap is not None and w.split() == [w.removeprefix(" ")] for w in words])
+        if plain.any():
+            # words without white space but for a space before them: texts with a line break, a token of its own, before each
+            some = [w for w, p in zip(words, plain, strict=True) if p]
+            joined = ["\n" + "\n".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)]
+            ids = np.array([i for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.uint32)
+            at = np.flatnonzero(ids == self.gap)
+            if len(at) == np.count_nonzero(plain):
+                self._register(hashes[plain], np.diff(at, append=len(ids)) - 1, ids[ids != self.gap])
+            else:
+                plain[:] = False
+        if not plain.all():
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False)]
+            self._register(hashes[~plain], np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.uint32))
+
+    def _register(self, hashes: np.ndarray, sizes: np.ndarray, every: np.ndarray) -> None:
+        k, n = self.words, len(hashes)
+        while k + n > len(self.size):
+            self.size, self.start = np.resize(self.size, 2 * len(self.size)), np.resize(self.start, 2 * len(self.start))
+        while self.used + len(every) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(every)] = every
+        self.size[k : k + n] = sizes
+        self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(every)
+        self.words += n
+        place, slot = np.arange(k, k + n, dtype=np.int32), hashes & U64(SLOTS - 1)
+        while len(place):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = hashes[free]  # of those that meet in a slot the last stays
+            mine = self.keys[slot] == hashes
+            self.slots[slot[mine]] = place[mine]
+            hashes, place, slot = hashes[~mine], place[~mine], (slot[~mine] + U64(1)) & U64(SLOTS - 1)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.uint32)
-        if not self.by_words or _INSIDE.search(text) or any(m in text for m in self.marks):
-            return self._whole(text)
-        first, *rest = text.split(" ")
-        words = [first] if first else []
-        words += [" " + w for w in rest]
-        if len(self.known) + len(words) > CACHE:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text. Texts are taken together up to ``CHUNK`` bytes; longer ones are cut before spaces."""
+        out: list = [np.empty(0, np.uint32)] * len(texts)
+        held, size = [], 0
+
+        def flush():
+            for (i, _), ids in zip(held, self._together([d for _, d in held]) if held else [], strict=True):
+                out[i] = ids
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
+            if not self.by_words or _INSIDE.search(text) or any(m in text for m in self.marks):
+                out[i] = self._whole(text)
+                continue
+            data = text.encode("utf-8")
+            if len(data) > CHUNK:
+                parts, at = [], 0
+                while at < len(data):
+                    end = data.find(b" ", at + CHUNK)
+                    end = len(data) if end < 0 else end
+                    parts += self._together([data[at:end]])
+                    at = end
+                out[i] = np.concatenate(parts)
+                continue
+            if size + len(data) > CHUNK:
+                flush()
+                size = 0
+            held.append((i, data))
+            size += len(data)
+        flush()
+        return out
+
+    def _together(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each of some texts, none of them empty."""
+        data = b"".join(texts)
+        b = np.frombuffer(data, np.uint8)
+        first = np.cumsum([0, *map(len, texts[:-1])])
+        mark = b == 0x20
+        mark[first] = True
+        starts = np.flatnonzero(mark)
+        # a word's hash takes in whether a space leads it: its letters then weigh one power more
+        sums = np.add.reduceat(_WEIGHTS[b] * powers(BASE, len(b)), starts) * powers(INVERSE, len(b))[starts]
+        ends = np.append(starts[1:], len(b))
+        hashes = mix(sums + (ends - starts).astype(U64)) | U64(1)
+        if self.words + len(hashes) > CACHE:
             self._clear()
-        at = list(map(self.known.get, words))
-        if None in at:
-            self._learn([w for w in dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None)])
-            at = list(map(self.known.get, words))
+        at = self._find(hashes)
+        if (new := np.flatnonzero(at < 0)).size:
+            fresh, one = np.unique(hashes[new], return_index=True)
+            where = new[one]
+            self._learn([data[i:j].decode("utf-8") for i, j in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], fresh)
+            at[new] = self._find(hashes[new])
         size = self.size[at]
         ends = np.cumsum(size)
-        return self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])]
+        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])]
+        return np.split(ids, (ends - size)[np.searchsorted(starts, first[1:])])
 
 
 @lru_cache(maxsize=2)
@@ -212,12 +302,14 @@ def _write(batches, *, path, folder, bits, end_id, block_ids):
     part, name, writer = TaskContext.get().partitionId(), uuid.uuid4().hex, None
     fs, root = _open(folder)
     for b in batches:
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for i in range(0, b.num_rows, 256):
+            some = b.slice(i, 256)
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 out = fs.open_output_stream(f"{root}/{name}.tmp", buffer_size=1 << 20)
                 writer = Writer(out, bits, block_ids)
-            writer.add(np.concatenate([encoder.encode(text), end]), doc)
+            for doc, ids in zip(some.column(0).to_pylist(), encoder.encode_all(some.column(1).to_pylist()), strict=True):
+                writer.add(np.concatenate([ids, end]), doc)
     if writer is not None:
         writer.close()
         out.close()
