@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def iso(text: Column, *, need_zone: bool = False) -> Column:
     """ISO 8601; ``need_zone``: without one, null."""
-    found = F.try_to_timestamp(F.regexp_replace(text, "([+-][0-9]{2})([0-9]{2})$", "$1:$2"))
+    dated = F.when(text.rlike("^\\s*[0-9]{4}-[0-9]"), text)  # Spark also reads words such as "yesterday"
+    found = F.try_to_timestamp(F.regexp_replace(dated, "([+-][0-9]{2})([0-9]{2})$", "$1:$2"))
     return F.when(text.rlike("(?:Z|[+-][0-9]{2}:?[0-9]{2})$"), found) if need_zone else found
 
 

@@ -58,30 +58,48 @@ def sampled_frames(frames: Column, limit: int) -> Column:
 def _sentences(text: str) -> list[str]:
     import re
 
-    return [s for s in re.split(r"(?<=[.!?…])\s+", text.strip()) if s]
+    paragraphs = re.split(r"\n[ \t]*\n", "\n".join(text.splitlines()))
+    flat = (" ".join(filter(None, (line.strip() for line in p.split("\n")))) for p in paragraphs)
+    return [s for p in flat for s in re.split(r"(?<=[.!?…])\s+", p) if s]
+
+
+def _filled(sentences: list[str], share: float) -> list[str]:
+    """Sentences joined up to a share, further while a piece is below the floor, never over the ceiling by joining."""
+    out = sentences[:1]
+    for s in sentences[1:]:
+        size = len(out[-1]) + 1 + len(s)
+        if size <= MAX_CHUNK and (size <= share or len(out[-1]) < MIN_CHUNK):
+            out[-1] += " " + s
+        else:
+            out.append(s)
+    return out
 
 
 def _spoken_chunks(text: str) -> list[str]:
-    out: list[str] = []
-    for sentence in _sentences(text):
-        while len(sentence) > MAX_CHUNK:  # cut at the last pause, else the last gap, that fits
-            cut = max(sentence.rfind(m, MIN_CHUNK, MAX_CHUNK) for m in (", ", "; ", ": ", " — "))
-            cut = cut + 1 if cut > 0 else sentence.rfind(" ", MIN_CHUNK, MAX_CHUNK)
-            cut = cut if cut > 0 else MAX_CHUNK
-            out.append(sentence[:cut].strip())
-            sentence = sentence[cut:].strip()
-        if out and len(out[-1]) < MIN_CHUNK and len(out[-1]) + 1 + len(sentence) <= MAX_CHUNK:
-            out[-1] = f"{out[-1]} {sentence}".strip()
-        elif sentence:
-            out.append(sentence)
-    if len(out) > 1 and len(out[-1]) < MIN_CHUNK and len(out[-2]) + 1 + len(out[-1]) <= MAX_CHUNK:
-        out[-2:] = [f"{out[-2]} {out[-1]}"]
+    import re
+
+    sentences = _sentences(text)
+    if not sentences:
+        return []
+    out, total = _filled(sentences, MAX_CHUNK), len(" ".join(sentences))
+    for _ in range(3):  # the same number of pieces, evenly
+        before, out = len(out), _filled(sentences, total / len(out))
+        if len(out) == before:
+            break
+    if len(out) > 1 and len(out[-1]) < MIN_CHUNK:
+        *out, giver, tail = out
+        if len(giver) + 1 + len(tail) <= MAX_CHUNK:
+            return [*out, f"{giver} {tail}"]
+        parts = re.split(r"(?<=[.!?…])\s+", giver)
+        while len(tail) < MIN_CHUNK and len(parts) > 1 and len(" ".join(parts[:-1])) >= MIN_CHUNK:
+            tail = f"{parts.pop()} {tail}"
+        out += [" ".join(parts), tail]
     return out
 
 
 @vectorized("array<string>")
 def spoken_chunks(text: pd.Series) -> pd.Series:
-    """Chunks for speech: sentences together up to the floor, none over the ceiling, a short tail joined back."""
+    """Chunks for speech: whole sentences, pieces of even size between floor and ceiling, a short tail mended."""
     return text.map(lambda t: None if t is None else _spoken_chunks(t))
 
 

@@ -106,6 +106,6 @@ def stale(envelopes: DataFrame, now: dt.datetime, hours: float) -> DataFrame:
 
 def write_inbox(items: DataFrame, path: str, now: dt.datetime) -> None:
     """One versioned envelope with all items: an inbox is a handful of videos."""
-    rows = F.array_sort(F.collect_list(F.struct("id", "title", "url", "content", "author", times.stamp(F.col("published_at")).alias("published_at"), "metadata")))
+    rows = F.array_sort(F.collect_list(F.struct("id", "title", "url", "content", "author", times.stamp(F.col("published_at")).alias("published_at"), "metadata")), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0))
     envelope = items.agg(rows.alias("items")).select(F.lit(INBOX_VERSION).alias("version"), F.lit(now.isoformat() + "Z").alias("generated_at"), "items")
     envelope.coalesce(1).write.mode("overwrite").json(path)
