@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemill.llm import pieces, token_files
+from tidemill.llm import _words, pieces, token_files
 from tidemill.llm._common import Workspace
 
 TEXTS = ["", " ", "a", "Hello  world", " leading", "trailing ", "tabs\tand\n\nlines \n x", "é日本😀 ▁mark ▁▁", "don't I'll", "x\n  y", "a\u00a0 b", "<|endoftext|> in text", "\0null", "word " * 3000, "ab" * 5000, "\r\n\x1c  z"]
@@ -92,7 +92,7 @@ def test_words_encode_as_whole_texts(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     plain, kept = Tokenizer.from_file(path), token_files.WordEncoder(path)
     assert kept.by_words
-    monkeypatch.setattr(token_files, "CACHE", 50)
+    monkeypatch.setattr(_words, "CACHE", 50)
     for t in TEXTS + odd_texts(3000):
         assert kept.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t)
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
 from functools import lru_cache
 
 import ahocorasick
@@ -18,9 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._hashing import CHUNK
+from ._words import WordTable
+
 SPACE = "▁"
-#: Encoded words that a process keeps; then it starts anew.
-CACHE = 400_000
 _FIRST = re.compile(f"[^{SPACE}]{SPACE}")
 
 
@@ -50,7 +50,7 @@ def _fields(data: bytes):
             at += n
 
 
-class Pieces:
+class Pieces(WordTable):
     """A model file's pieces. ``types`` of the format: 1 ordinary, 4 user-defined, 6 byte; the others don't occur in texts."""
 
     def __init__(self, path: str):
@@ -78,7 +78,9 @@ class Pieces:
         self.missing = min(self.scores) - 10.0
         #: No piece goes on over a space after another character, so texts fall apart there.
         self.by_words = not any(t in (1, 4) and _FIRST.search(p) for p, t in zip(self.pieces, self.types, strict=True))
-        self._cache: dict[str, array] = {}
+        self._is_byte = np.array([t == 6 for t in self.types])
+        self._plain = [p.replace(SPACE, " ") if t in (1, 4) else "" for p, t in zip(self.pieces, self.types, strict=True)]
+        super().__init__()
 
     def viterbi(self, text: str, literal: frozenset[int] = frozenset()) -> list[int]:
         """Ids of the best path over characters; ties take the earlier start. ``literal``: places that only bytes may cover."""
@@ -105,46 +107,61 @@ class Pieces:
                 at -= back[at][1]
         return out[::-1]
 
-    def _word(self, word: str) -> array:
-        found = self._cache.get(word)
-        if found is None:
-            found = array("i", self.viterbi(word))
-            if len(self._cache) >= CACHE:
-                self._cache.clear()
-            self._cache[word] = found
-        return found
+    def _learn(self, words: list[str], hashes: np.ndarray) -> None:
+        ids = [self.viterbi(w.replace(" ", SPACE)) for w in words]
+        self._register(hashes, np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.uint32))
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of the whole text; of null or empty, none."""
-        out = array("i")
-        if not text:
-            return np.frombuffer(out, np.int32)
-        if SPACE in text:  # the mark itself in a text: only bytes tell it from a space
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each whole text; of null or empty, none. Texts are taken together up to ``CHUNK`` bytes; longer ones are cut before spaces."""
+        out: list = [np.empty(0, np.int32)] * len(texts)
+        held, size = [], 0
+
+        def flush():
+            for (i, _), ids in zip(held, self.together([d for _, d in held]) if held else [], strict=True):
+                out[i] = ids.astype(np.int32)
+            held.clear()
+
+        for i, text in enumerate(texts):
+            if not text:
+                continue
             plain = (" " if self.prefix else "") + text
-            out.extend(self.viterbi(plain.replace(" ", SPACE), frozenset(i for i, c in enumerate(plain) if c == SPACE)))
-        elif not self.by_words:
-            out.extend(self.viterbi((SPACE if self.prefix else "") + text.replace(" ", SPACE)))
-        else:
-            words = text.split(" ")
-            if "" in words[1:] or (not words[0] and self.prefix):  # spaces in a row stay with the word that they lead
-                marked = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
-                parts = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", marked)
+            if SPACE in text:  # the mark itself in a text: only bytes tell it from a space
+                out[i] = np.array(self.viterbi(plain.replace(" ", SPACE), frozenset(j for j, c in enumerate(plain) if c == SPACE)), np.int32)
+            elif not self.by_words:
+                out[i] = np.array(self.viterbi(plain.replace(" ", SPACE)), np.int32)
+            elif "  " in plain:  # spaces in a row stay with the word that they lead
+                parts = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", plain.replace(" ", SPACE))
+                out[i] = np.array([x for p in parts for x in self.viterbi(p)], np.int32)
             else:
-                parts = [SPACE + w for w in words]
-                if not self.prefix:
-                    parts[0] = words[0]
-            keep, word = self._cache.get, self._word
-            for p in parts:
-                if len(p) > 64:
-                    out.extend(self.viterbi(p))
-                else:
-                    out.extend(keep(p) or word(p))
-        return np.frombuffer(out, np.int32)
+                data = plain.encode("utf-8", "surrogatepass")
+                if len(data) > CHUNK:
+                    made, at = [], 0
+                    while at < len(data):
+                        end = data.find(b" ", at + CHUNK)
+                        end = len(data) if end < 0 else end
+                        made += self.together([data[at:end]])
+                        at = end
+                    out[i] = np.concatenate(made).astype(np.int32)
+                    continue
+                if size + len(data) > CHUNK:
+                    flush()
+                    size = 0
+                held.append((i, data))
+                size += len(data)
+        flush()
+        return out
 
     def decode(self, ids) -> str:
         """The text of ids that :meth:`encode` gave."""
+        ids = np.asarray(ids, np.int64)
+        if not self._is_byte[ids].any():
+            text = "".join(map(self._plain.__getitem__, ids.tolist()))
+            return text[1:] if self.prefix and text.startswith(" ") else text
         out, pending = [], bytearray()
-        for i in ids.tolist() if isinstance(ids, np.ndarray) else ids:
+        for i in ids.tolist():
             if self.types[i] == 6:
                 pending.append(int(self.pieces[i][3:5], 16))
                 continue
@@ -157,12 +174,6 @@ class Pieces:
         text = "".join(out)
         return text[1:] if self.prefix and text.startswith(" ") else text
 
-    @property
-    def _plain(self) -> list[str]:
-        if "_plains" not in self.__dict__:
-            self._plains = [p.replace(SPACE, " ") if t in (1, 4) else "" for p, t in zip(self.pieces, self.types, strict=True)]
-        return self._plains
-
 
 @lru_cache(maxsize=4)
 def load(path: str) -> Pieces:
@@ -175,7 +186,7 @@ def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     @F.pandas_udf("array<int>")
     def ids(text: pd.Series) -> pd.Series:
         model = load(path)
-        return pd.Series([model.encode(t) for t in text])
+        return pd.Series(model.encode_all(text.tolist()))
 
     return docs.withColumn("piece_ids", ids(F.col(text_col).cast("string")))
 
@@ -199,9 +210,9 @@ def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     def digest(text: pd.Series) -> pd.DataFrame:
         model = load(path)
         rows = []
-        for t in text:
-            ids = model.encode(t)
-            rows.append((len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(model.decode(ids).encode("utf-8", "surrogatepass"))))
+        for i in range(0, len(text), 256):
+            for ids in model.encode_all(text.iloc[i : i + 256].tolist()):
+                rows.append((len(ids), zlib.crc32(ids.tobytes()), zlib.crc32(model.decode(ids).encode("utf-8", "surrogatepass"))))
         return pd.DataFrame(rows, columns=["n_pieces", "ids_crc32", "text_crc32"])
 
     return docs.select(F.col(id_col), digest(F.col(text_col).cast("string")).alias("d")).select(id_col, "d.*")

@@ -22,20 +22,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Workspace, shuffle_partitions
-from ._hashing import BASE, CHUNK, EXACT, INVERSE, U64, mix, powers
+from ._hashing import CHUNK
+from ._words import WordTable
 
 MAGIC = b"TMTOK1\n\0"
-#: Ids in a block; encoded words that a process keeps; zstandard's level.
-BLOCK_IDS, CACHE, LEVEL = 1 << 16, 1_500_000, 3
-#: New words encoded as one text; slots of the table of known words.
-JOINED = 32
-SLOTS = 1 << 22
+#: Ids in a block; zstandard's level; new words encoded as one text.
+BLOCK_IDS, LEVEL, JOINED = 1 << 16, 3, 32
 #: Bytes of text that a file is cut for.
 FILE_TEXT = 64 << 20
 
-#: As in hashes of words, but white space other than the space is part of a word.
-_WEIGHTS = np.where(EXACT == 0, mix(np.arange(1000, 1256, dtype=U64)), EXACT)
-_WEIGHTS[0x20] = 0
 _INSIDE = re.compile(r"\s (?:\s|\Z)")
 
 
@@ -140,7 +135,7 @@ class Reader:
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
 
 
-class WordEncoder:
+class WordEncoder(WordTable):
     """A tokenizers file with what it gave for each word kept.
 
     Byte-level pre-tokenization never joins a character with a space after it, so a text may be cut
@@ -158,30 +153,7 @@ class WordEncoder:
         self.by_words = plain and not any(" " in m for m in self.marks)
         gap = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.gap = gap[0] if plain and len(gap) == 1 else None
-        self._clear()
-
-    def _clear(self) -> None:
-        self.keys, self.slots = np.zeros(SLOTS, U64), np.zeros(SLOTS, np.int32)
-        self.words = self.used = 0
-        self.size, self.start = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.flat = np.zeros(1 << 14, np.uint32)
-
-    def _find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of known words, else -1: open addressing, all words a probe at a time."""
-        slot = hashes & U64(SLOTS - 1)
-        key = self.keys[slot]
-        out = np.where(key == hashes, self.slots[slot], np.int32(-1))
-        left = np.flatnonzero((key != hashes) & (key != 0))
-        while left.size:
-            slot = (slot[left] + U64(1)) & U64(SLOTS - 1)
-            want, key = hashes[left], self.keys[slot]
-            hit = key == want
-            out[left[hit]] = self.slots[slot[hit]]
-            more = ~hit & (key != 0)
-            slot_of = np.zeros(len(hashes), U64)
-            slot_of[left] = slot
-            left, slot = left[more], slot_of
-        return out
+        super().__init__()
 
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
         plain = np.array([self.gap is not None and w.split() == [w.removeprefix(" ")] for w in words])
@@ -199,25 +171,6 @@ class WordEncoder:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False)]
             self._register(hashes[~plain], np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.uint32))
 
-    def _register(self, hashes: np.ndarray, sizes: np.ndarray, every: np.ndarray) -> None:
-        k, n = self.words, len(hashes)
-        while k + n > len(self.size):
-            self.size, self.start = np.resize(self.size, 2 * len(self.size)), np.resize(self.start, 2 * len(self.start))
-        while self.used + len(every) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(every)] = every
-        self.size[k : k + n] = sizes
-        self.start[k : k + n] = self.used + np.cumsum(sizes) - sizes
-        self.used += len(every)
-        self.words += n
-        place, slot = np.arange(k, k + n, dtype=np.int32), hashes & U64(SLOTS - 1)
-        while len(place):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = hashes[free]  # of those that meet in a slot the last stays
-            mine = self.keys[slot] == hashes
-            self.slots[slot[mine]] = place[mine]
-            hashes, place, slot = hashes[~mine], place[~mine], (slot[~mine] + U64(1)) & U64(SLOTS - 1)
-
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -230,7 +183,7 @@ class WordEncoder:
         held, size = [], 0
 
         def flush():
-            for (i, _), ids in zip(held, self._together([d for _, d in held]) if held else [], strict=True):
+            for (i, _), ids in zip(held, self.together([d for _, d in held]) if held else [], strict=True):
                 out[i] = ids
             held.clear()
 
@@ -246,7 +199,7 @@ class WordEncoder:
                 while at < len(data):
                     end = data.find(b" ", at + CHUNK)
                     end = len(data) if end < 0 else end
-                    parts += self._together([data[at:end]])
+                    parts += self.together([data[at:end]])
                     at = end
                 out[i] = np.concatenate(parts)
                 continue
@@ -258,32 +211,6 @@ class WordEncoder:
         flush()
         return out
 
-    def _together(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of each of some texts, none of them empty."""
-        data = b"".join(texts)
-        b = np.frombuffer(data, np.uint8)
-        first = np.cumsum([0, *map(len, texts[:-1])])
-        mark = b == 0x20
-        mark[first] = True
-        starts = np.flatnonzero(mark)
-        # a word's hash takes in whether a space leads it: its letters then weigh one power more
-        sums = np.add.reduceat(_WEIGHTS[b] * powers(BASE, len(b)), starts) * powers(INVERSE, len(b))[starts]
-        ends = np.append(starts[1:], len(b))
-        hashes = mix(sums + (ends - starts).astype(U64)) | U64(1)
-        if self.words + len(hashes) > CACHE:
-            self._clear()
-        at = self._find(hashes)
-        if (new := np.flatnonzero(at < 0)).size:
-            fresh, one = np.unique(hashes[new], return_index=True)
-            where = new[one]
-            self._learn([data[i:j].decode("utf-8") for i, j in zip(starts[where].tolist(), ends[where].tolist(), strict=True)], fresh)
-            at[new] = self._find(hashes[new])
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])]
-        return np.split(ids, (ends - size)[np.searchsorted(starts, first[1:])])
-
-
 @lru_cache(maxsize=2)
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
