@@ -136,6 +136,17 @@ SELECT page_id, host, path, {case("rule")} AS rule, round(mean, 6) AS bad_rate,
 FROM u LEFT JOIN host USING (host)"""
 
 
+# CRC-32 by its rule: 3988292384 is its polynomial, bits reversed
+_OP5 = """
+WITH byte_table AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) x(i))),
+h AS (SELECT doc_id, source, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, source, len(h) // 2 AS n, list_transform(range(0, len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT) AS bytes FROM h),
+c AS (SELECT doc_id, coalesce('s' || source, '-') AS source, n + 1 AS size, xor(list_reduce(list_prepend(4294967295, bytes), lambda acc, x: xor(acc >> 8, t[(xor(acc, x) & 255) + 1])), 4294967295) AS text_crc32, md5('tidemill:' || coalesce(doc_id::VARCHAR, '')) AS key FROM b, byte_table),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id) AS r, count(*) OVER (PARTITION BY source) AS total FROM c),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1) / (2 * total), key, source) - 1 AS place, count(*) OVER () AS every FROM r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(place * 8 // every AS INTEGER) AS shard, CAST(place - ((place * 8 // every) * every + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p"""
+
+
 _OP7 = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 good AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
@@ -145,4 +156,4 @@ comp AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
 deg AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(deg.n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN comp USING (vec_id) LEFT JOIN deg USING (vec_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op2_ngram_jaccard": _OP2, "op3_url_filter": _op3(), "op7_near_vectors": _OP7}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": _OP1, "op2_ngram_jaccard": _OP2, "op3_url_filter": _op3(), "op5_sharding": _OP5, "op7_near_vectors": _OP7}
