@@ -48,7 +48,7 @@ def corpus(seed):
     return rows + [(i, None), (i + 1, ""), (i + 2, " \t\n"), (None, rows[0][1]), (i + 3, "É x y"), (i + 4, "é x y")]
 
 
-@pytest.mark.parametrize(("n", "percent", "parts"), [(3, 90, 2), (5, 80, 3)])
+@pytest.mark.parametrize(("n", "percent", "parts"), [(3, 90, 2), (5, 80, 2), (5, 80, 4)])
 def test_groups_match_brute_force(spark, n, percent, parts):
     rows = corpus(n)
     df = spark.createDataFrame([(a, t, 7) for a, t in rows], "doc_id long, text string, component_id long")
@@ -103,3 +103,20 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, 100), (None, 3), (60, 50), (60, 50), (51, 60)]
     got = {r.id: r.comp for r in components(spark.createDataFrame(chain, "a long, b long"), Workspace(spark, "t")).collect()}
     assert got == {i: 0 for i in range(41)} | {50: 50, 51: 50, 60: 50}
+
+
+def test_sketches_bound_the_intersection():
+    r = np.random.default_rng(1)
+    for size in [100, 900, 9000] * 9:
+        a, b = (np.unique(r.integers(0, 90000, size).astype(np.uint64)) for _ in range(2))
+        x, y = nj._counts([nj.sketch(s) for s in (a, b)]).astype(int)
+        assert x.sum() == len(a) and y.sum() == len(b)
+        assert np.minimum(x, y).sum() >= len(np.intersect1d(a, b))
+    assert nj.sketch(np.arange(300, dtype=np.uint64) * np.uint64(nj.SKETCH)) == b""
+
+
+def test_sets_without_a_sketch_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(nj, "sketch", lambda found: b"")
+    rows = corpus(11)
+    got = sorted(((x.id, x.size, x.component_id) for x in nj.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=80).collect()), key=str)
+    assert got == brute(rows, 3, 80)

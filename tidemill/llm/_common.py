@@ -48,8 +48,9 @@ FILE_ROWS = 250_000
 class Workspace:
     """Where an operator keeps what it reads more than once.
 
-    ``save`` writes a table to the shared folder, which cuts lineage; ``keep`` leaves large tables on the
-    executors' disks, from where what is lost is computed again.
+    ``save`` writes a table to the shared folder, which cuts lineage and frees its shuffles; ``keep`` leaves
+    on the executors' disks what is cheap to compute again where it is lost; ``settle`` is for small results
+    of wide stages.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -67,6 +68,14 @@ class Workspace:
         """``df``, computed once and kept on disk until ``unpersist``."""
         return df.persist(StorageLevel.DISK_ONLY)
 
+    def settle(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """``df`` written in no more files than its rows need, with their number; what it was made from is free then."""
+        kept = self.keep(df)
+        n = kept.count()
+        out = self.save(kept, name, n)
+        kept.unpersist()
+        return out, n
+
     def drop(self, *names: str) -> None:
         """Frees written tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm

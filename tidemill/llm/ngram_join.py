@@ -4,7 +4,8 @@ Sets are put into size bands. For two sets of a band and the next one, the thres
 Hamming distance by some ``k``; the shingle domain is hashed into first-level parts, each cut into
 ``n2`` second-level parts, and for every subset that leaves out ``k2`` of them the set's projection
 is a signature. At most ``k // (k2 + 1)`` first-level parts differ by more than ``k2``, so two sets
-that link agree on a whole signature in at least one of the others.
+that link agree on a whole signature in every other one. Some parts are added, and a set in which no
+more than those have a thin projection leaves thin ones out: one signature at least is still shared.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from ._common import Workspace
 from ._hashing import EXACT, LOWER, U64, mix, shingles, word_hashes
 from .graph import components
 
+#: Projections of at most so many shingles say nothing; a set with few of them leaves them out.
+THIN = 0
 #: Counters of the sketch that bounds an intersection from above.
 SKETCH = 128
 #: Most members of one signature that a task compares at once; larger ones go block by block.
@@ -44,16 +47,15 @@ def bands(percent: int, up_to: int) -> tuple[tuple[int, int], ...]:
 
 @lru_cache(maxsize=4096)
 def plan(percent: int, low: int, high: int, n2: int, k2: int) -> tuple[int, int]:
-    """(first-level parts, how many of them may be dropped because a projection is empty) of a band; no parts: only equal sets link."""
+    """(first-level parts, how many of them may lose a thin projection) of a band; no parts: only equal sets link."""
     k = (high + 100 * high // percent) * (100 - percent) // (100 + percent)
     if not k:
         return 0, 0
-    n1 = k // (k2 + 1) + 1
-    spare = 0
-    for _ in range(4):  # more parts make smaller ones
-        empty = (n1 + spare) * math.comb(n2, k2) * math.exp(-low / (n1 + spare) * (n2 - k2) / n2)
-        spare = math.ceil(empty + 4 * math.sqrt(empty)) if empty > 1e-3 else 0
-        spare = min(spare, n1)
+    n1, spare = k // (k2 + 1) + 1, 0
+    for _ in range(8):  # more parts make smaller ones
+        mean = low / (n1 + spare) * (n2 - k2) / n2
+        thin = (n1 + spare) * math.comb(n2, k2) * math.exp(-mean) * sum(mean**i / math.factorial(i) for i in range(THIN + 1))
+        spare = min(n1 // 2, math.ceil(thin + 3 * math.sqrt(thin)) if thin > 1e-3 else 0)
     return n1 + spare, spare
 
 
@@ -81,7 +83,7 @@ def signatures(found: np.ndarray, percent: int, n2: int, k2: int) -> np.ndarray:
             total = of_part + U64(i)
             for j in kept:
                 total = mix(total + sums[:, j])
-            none = count[:, list(kept)].sum(1) == 0
+            none = count[:, list(kept)].sum(1) <= THIN
             bare |= none
             made.append((total, none))
         drop = int(bare.sum()) <= spare
@@ -89,9 +91,29 @@ def signatures(found: np.ndarray, percent: int, n2: int, k2: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, U64)
 
 
-def sketch(found: np.ndarray) -> np.ndarray:
-    """Counts of the shingles by hash; the sum of the smaller counts of two sketches bounds the intersection."""
-    return np.minimum(np.bincount((found & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 2**31 - 1).astype(np.int32)
+def sketch(found: np.ndarray) -> bytes:
+    """Counts of the shingles by hash: the sum of the smaller counts of two sketches bounds the intersection.
+
+    Counts take half a byte each where all fit, else a byte; a set too large for that has no sketch.
+    """
+    count = np.bincount((found & U64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    if count.max() >= 256:
+        return b""
+    count = count.astype(np.uint8)
+    return (count if count.max() >= 16 else count[::2] | (count[1::2] << 4)).tobytes()
+
+
+def _counts(made: list[bytes]) -> np.ndarray:
+    """Counts of sketches, a row each; zeros where there is none."""
+    size, out = np.fromiter(map(len, made), np.int64, len(made)), np.zeros((len(made), SKETCH), np.uint8)
+    half, full = np.flatnonzero(size == SKETCH // 2), np.flatnonzero(size == SKETCH)
+    if half.size:
+        b = np.frombuffer(b"".join([made[i] for i in half]), np.uint8).reshape(-1, SKETCH // 2)
+        out[np.ix_(half, range(0, SKETCH, 2))] = b & 15
+        out[np.ix_(half, range(1, SKETCH, 2))] = b >> 4
+    if full.size:
+        out[full] = np.frombuffer(b"".join([made[i] for i in full]), np.uint8).reshape(-1, SKETCH)
+    return out
 
 
 def _sets(text: pa.Array, n: int, lower: bool) -> Iterator[np.ndarray]:
@@ -126,9 +148,12 @@ def _emit(batches, *, n, lower, percent, n2, k2):
             yield pa.RecordBatch.from_arrays([_long(np.concatenate(sigs)), pa.array(np.concatenate(ids))], ["sig", "id"])
 
 
-def _stars(batches):
-    """Rows sorted by (sig, id): each id after the first of its signature, with that first one."""
-    last, head = None, 0
+def _stars(batches, *, block):
+    """Rows sorted by (sig, id): the members of each signature that has several, with the first of them. ``n`` counts members so far.
+
+    A first member is told with its second, and every ``block`` members a row with a null id says that there are so many.
+    """
+    last, head, seen = None, 0, 0
     for b in batches:
         if not b.num_rows:
             continue
@@ -137,18 +162,22 @@ def _stars(batches):
         new[1:] = sig[1:] != sig[:-1]
         new[0] = last is None or sig[0] != last
         at = np.flatnonzero(new)
-        heads = ids[at] if new[0] else np.concatenate([[head], ids[at]])
-        lo = heads[np.cumsum(new) - (1 if new[0] else 0)]
-        last, head = sig[-1], lo[-1]
-        keep = ids != lo
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(ids[keep]), pa.array(lo[keep])], ["sig", "id", "lo"])
+        run = np.cumsum(new)
+        starts = np.concatenate([[0], at])[run]
+        nth = np.arange(len(sig)) - starts + np.where(run == 0, seen, 0) + 1
+        lo = np.where(run == 0, head, ids[starts])
+        last, head, seen = sig[-1], lo[-1], nth[-1]
+        member, second, full = nth > 1, nth == 2, nth % block == 0
+        out = [np.concatenate(x) for x in ((sig[second], sig[member], sig[full]), (lo[second], ids[member], ids[full]), (lo[second], lo[member], lo[full]), (nth[second], nth[member], nth[full]))]
+        if len(out[0]):
+            large = np.arange(len(out[0])) >= len(out[0]) - np.count_nonzero(full)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], mask=large), pa.array(out[2]), pa.array(out[3])], ["sig", "id", "lo", "n"])
 
 
 def _arrays(batches, *, n, lower):
     for b in batches:
         sets = list(_sets(b.column(1), n, lower))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s).tobytes() for s in sets], pa.binary())], ["id", "found", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["id", "found", "size", "sketch"])
 
 
 def _verified(batches, *, percent):
@@ -165,14 +194,13 @@ def _verified(batches, *, percent):
 
 def _close(rows: list, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of one (signature, block, block) that lie in different components and that sketches don't rule out."""
-    ids, comps, blocks, counts = (np.concatenate(x) for x in zip(*rows, strict=True))
-    size = counts.sum(1)
+    ids, comps, blocks, size, counts, known = (np.concatenate(x) for x in zip(*rows, strict=True))
     for i in range(len(ids) - 1):
         rest = np.flatnonzero((comps[i + 1 :] != comps[i]) & ((blocks[i + 1 :] != blocks[i]) | (blocks[-1] == blocks[0]))) + i + 1
         rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
         if len(rest):
-            both = np.minimum(counts[rest], counts[i]).sum(1)
-            rest = rest[100 * both >= percent * (size[rest] + size[i] - both)]
+            both = np.minimum(counts[rest], counts[i]).sum(1, dtype=np.int64)
+            rest = rest[(100 * both >= percent * (size[rest] + size[i] - both)) | ~known[rest] | ~known[i]]
             if len(rest):
                 yield np.minimum(ids[rest], ids[i]), np.maximum(ids[rest], ids[i])
 
@@ -182,7 +210,7 @@ def _pairs(batches, *, percent):
     key, held = None, []
 
     def flush():
-        found = list(_close(held, percent)) if held and sum(len(h[0]) for h in held) > 1 else []
+        found = list(_close(held, percent)) if len({c for h in held for c in (h[1][0], h[1].min(), h[1].max())}) > 1 else []
         if found:
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -190,19 +218,21 @@ def _pairs(batches, *, percent):
     for b in batches:
         if not b.num_rows:
             continue
-        cols = [b.column(i).to_numpy() for i in range(6)]
-        counts = np.frombuffer(b"".join(b.column(6).to_pylist()), np.int32).reshape(-1, SKETCH)
+        cols = [b.column(i).to_numpy() for i in range(7)]
+        made = b.column(7).to_pylist()
+        known = np.array([bool(x) for x in made])
+        counts = _counts(made)
         new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
         for s, t in zip([0, *new], [*new, b.num_rows], strict=True):
             now = tuple(c[s] for c in cols[:3])
             if now != key:
                 yield from flush()
                 key, held = now, []
-            held.append((cols[4][s:t], cols[5][s:t], cols[3][s:t], counts[s:t]))
+            held.append((cols[4][s:t], cols[5][s:t], cols[3][s:t], cols[6][s:t], counts[s:t], known[s:t]))
     yield from flush()
 
 
-def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, lower: bool = True, parts: int = 3, left_out: int = 1) -> DataFrame:
+def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, lower: bool = True, parts: int = 2, left_out: int = 1) -> DataFrame:
     """Groups of documents that chains of links join; links hold when ``100 * |A & B| >= percent * |A | B|``.
 
     Returns one row ``(id, size, component_id)`` for each row of ``docs``: the number of distinct
@@ -218,7 +248,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     work = Workspace(spark, "ngram")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     how = {"n": shingle, "lower": lower}
-    sets = work.keep(docs.mapInArrow(partial(_fingerprints, **how), "id long, size long, f1 long, f2 long"))
+    sets = work.save(docs.mapInArrow(partial(_fingerprints, **how), "id long, size long, f1 long, f2 long"), "sets")
     real = sets.where("id is not null and size > 0")
     n = real.count()
     classes = work.save(real.groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")), "classes", n)
@@ -232,30 +262,32 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     copies = members.where("id <> rep").select("id").distinct().join(classes.select(F.col("rep").alias("id")), "id", "left_anti")
     copies = work.save(copies, "copies", n)
     sigs = only(copies, "left_anti").mapInArrow(partial(_emit, percent=percent, n2=parts, k2=left_out, **how), "sig long, id long")
-    stars = work.keep(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_stars, "sig long, id long, lo long"))
-    n_stars = stars.count()
-    best = work.save(stars.groupBy("id", "lo").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.lo")).alias("b")), "best", min(n, n_stars))
-    inside = stars.select("sig", "id").unionByName(stars.select("sig", F.col("lo").alias("id"))).distinct()
-    met = work.save(stars.select("id").unionByName(stars.select(F.col("lo").alias("id"))).distinct(), "met", min(n, 2 * n_stars))
-    arrays = work.keep(only(met, "left_semi").mapInArrow(partial(_arrays, **how), "id long, found binary, sketch binary"))
+    stars = work.save(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(partial(_stars, block=BLOCK), "sig long, id long, lo long, n long"), "stars")
+    inside = stars.where("id is not null").select("sig", "id", "lo")
+    best = inside.where("id <> lo").groupBy("id", "lo").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("m"))
+    best = work.save(best.select(F.col("id").alias("a"), (-F.col("m.lo")).alias("b")), "best", n)
+    met = work.save(inside.select("id").distinct(), "met", n)
+    arrays = work.save(only(met, "left_semi").mapInArrow(partial(_arrays, **how), "id long, found binary, size long, sketch binary"), "arrays")
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = arrays.select(F.col("id").alias("a"), F.col("found").alias("x"))
         two = arrays.select(F.col("id").alias("b"), F.col("found").alias("y"))
-        return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, percent=percent), "a long, b long")
+        if pairs.count() <= BROADCAST_IDS:  # 16 bytes each: then only the sets that are compared move
+            left, two = one.join(F.broadcast(pairs), "a"), two.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+        else:
+            left = pairs.join(one, "a")
+        return left.join(two, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, percent=percent), "a long, b long")
 
     # first each document with the one that it shares most signatures with; then only what is still apart
-    links = work.keep(verify(best).unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+    links = work.save(verify(best).unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "links")
     first = work.save(components(links, work, "first"), "comps1", n)
-    placed = work.keep(inside.join(first, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp")))
-    live = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    apart = placed.join(live, "sig").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    apart = apart.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp")
-    apart = apart.join(arrays.select("id", "sketch"), "id").select("sig", "one", "two", "block", "id", "comp", "sketch")
-    pairs = work.keep(apart.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two", "block").mapInArrow(partial(_pairs, percent=percent), "a long, b long").distinct())
-    second = work.keep(verify(pairs).unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))))
+    placed = work.save(inside.select("sig", "id").join(first, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp")), "placed")
+    large = stars.where("id is null").groupBy("sig").agg(F.max("n").alias("n")).select("sig", (F.col("n") / BLOCK + 1).cast("int").alias("blocks"))
+    live = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig").join(large, "sig", "left").select("sig", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    apart = placed.join(live, "sig").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = apart.select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp").join(arrays.select("id", "size", "sketch"), "id").select("sig", "one", "two", "block", "id", "comp", "size", "sketch")
+    pairs = work.save(apart.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two", "block").mapInArrow(partial(_pairs, percent=percent), "a long, b long").distinct(), "pairs")
+    second = work.save(verify(pairs).unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))), "links2")
     final = work.save(components(second, work, "final"), "comps2", n)
-    for kept in (stars, arrays, links, placed, pairs, second):
-        kept.unpersist()
-    work.drop("classes", "copies", "best", "met", "comps1")
+    work.drop("classes", "copies", "best", "met", "stars", "arrays", "links", "comps1", "placed", "pairs", "links2")
     return sets.join(final, "id", "left").select("id", "size", F.coalesce("comp", "id").alias("component_id"))
