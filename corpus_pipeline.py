@@ -26,7 +26,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id. Texts without words stay."""
-    groups = ngram_join.near_groups(docs, shingle=5, percent=80, parts=3, left_out=1)
+    groups = ngram_join.near_groups(docs, shingle=5, percent=80, parts=2, left_out=1)
     gone = groups.where("component_id <> id").select(F.col("id").alias("doc_id")).distinct()
     if gone.count() <= ngram_join.BROADCAST_IDS:
         gone = F.broadcast(gone)

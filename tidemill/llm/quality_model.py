@@ -20,7 +20,7 @@ from ._hashing import SEPARATOR
 from .url_filter import _posterior
 
 #: Most labelled documents that the evidence model is fitted on, chosen by a hash of the id.
-TRAIN_DOCS = 20_000
+TRAIN_DOCS = 10_000
 #: Site groups up to this number (under 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 100_000
 FEATURES = 256 + 4
