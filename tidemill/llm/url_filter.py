@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import Workspace
+
 #: Suffixes of two labels under which names are registered.
 LONG_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
 #: A host is blocked when its posterior bad rate less so many standard deviations is over LIMIT.
@@ -70,16 +72,16 @@ def rule_of(host: Column, path: Column, rules: list[PathRule]) -> tuple[Column,
 def _posterior(groups: DataFrame, parent: Column) -> DataFrame:
     """``groups(n, bad, ...)`` with ``mean`` and ``weight``: a beta posterior around ``parent``.
 
-    The strength is the method of moments' for overdispersed binomials: one row of sums over all groups.
+    The strength is the method of moments' for overdispersed binomials: one number from sums over all groups.
     """
     groups = groups.withColumn("parent", parent)
     p = F.col("parent")
     over = F.sum(F.pow(F.col("bad") - F.col("n") * p, 2) - F.col("n") * p * (1 - p))
     pairs = F.sum(F.col("n") * (F.col("n") - 1) * p * (1 - p))
     rho = over / F.when(pairs > 0, pairs)
-    fitted = groups.agg(F.round(F.coalesce(F.least(F.lit(MOST_STRENGTH), F.greatest(F.lit(LEAST_STRENGTH), F.when(rho > 0, 1 / rho - 1).otherwise(F.lit(MOST_STRENGTH)))), F.lit(MOST_STRENGTH)), 6).alias("strength"))
-    weight = F.col("n") + F.col("strength")
-    return groups.crossJoin(F.broadcast(fitted)).withColumn("mean", F.round((F.col("bad") + F.col("strength") * p) / weight, 9)).withColumn("weight", weight).drop("parent", "strength")
+    fitted = groups.agg(F.round(F.coalesce(F.least(F.lit(MOST_STRENGTH), F.greatest(F.lit(LEAST_STRENGTH), F.when(rho > 0, 1 / rho - 1).otherwise(F.lit(MOST_STRENGTH)))), F.lit(MOST_STRENGTH)), 6)).first()[0]
+    weight = F.col("n") + F.lit(fitted)
+    return groups.withColumn("mean", F.round((F.col("bad") + fitted * p) / weight, 9)).withColumn("weight", weight).drop("parent")
 
 
 def reputations(outcomes: DataFrame) -> DataFrame:
@@ -87,13 +89,14 @@ def reputations(outcomes: DataFrame) -> DataFrame:
 
     Counts are partial aggregates, so a hot host costs one row a task; levels are joined by their key.
     """
+    work = Workspace(outcomes.sparkSession, "urls")
     seen = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    hosts = seen.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
+    hosts, _ = work.settle(seen.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # with one observation of either kind added, the overall rate is never 0 or 1
-    overall = suffixes.agg(F.round((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2), 9).alias("overall"))
-    top = _posterior(suffixes.crossJoin(F.broadcast(overall)), F.col("overall")).select("suffix", F.col("mean").alias("of_suffix"))
+    overall = hosts.agg(F.round((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2), 9)).first()[0]
+    top = _posterior(suffixes, F.lit(overall)).select("suffix", F.col("mean").alias("of_suffix"))
     middle = _posterior(domains.join(top, "suffix"), F.col("of_suffix")).select("domain", "suffix", F.col("mean").alias("of_domain"))
     return _posterior(hosts.join(middle, ["domain", "suffix"]), F.col("of_domain")).select("host", "mean", "weight")
 
