@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
 _own = ""
 
 
+#: Rows in a batch that goes to Python: texts and sets are long, and a batch of each running task is held.
+BATCH_ROWS = 2000
 #: Rows in a file of a table whose size is known to be small.
 FILE_ROWS = 250_000
 
@@ -48,13 +49,15 @@ FILE_ROWS = 250_000
 class Workspace:
     """Where an operator keeps what it reads more than once.
 
-    ``save`` writes a table to the shared folder, which cuts lineage and frees its shuffles; ``keep`` leaves
-    on the executors' disks what is cheap to compute again where it is lost; ``settle`` is for small results
-    of wide stages.
+    ``save`` writes a table to the shared folder, which cuts lineage and frees its shuffles; ``small``
+    does so for few or narrow rows of wide stages.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+            spark.conf.set(batch, str(BATCH_ROWS))
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -64,17 +67,9 @@ class Workspace:
         out.write.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """``df``, computed once and kept on disk until ``unpersist``."""
-        return df.persist(StorageLevel.DISK_ONLY)
-
-    def settle(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """``df`` written in no more files than its rows need, with their number; what it was made from is free then."""
-        kept = self.keep(df)
-        n = kept.count()
-        out = self.save(kept, name, n)
-        kept.unpersist()
-        return out, n
+    def small(self, df: DataFrame, name: str, rows: int) -> DataFrame:
+        """Like ``save`` for narrow rows of a wide stage, which are moved so that its tasks don't write a file each."""
+        return self.save(df.repartition(max(1, -(-rows // FILE_ROWS))), name)
 
     def drop(self, *names: str) -> None:
         """Frees written tables that nothing reads any more."""

@@ -248,7 +248,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     work = Workspace(spark, "ngram")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     how = {"n": shingle, "lower": lower}
-    sets = work.save(docs.mapInArrow(partial(_fingerprints, **how), "id long, size long, f1 long, f2 long"), "sets")
+    sets = work.small(docs.mapInArrow(partial(_fingerprints, **how), "id long, size long, f1 long, f2 long"), "sets", docs.count())
     real = sets.where("id is not null and size > 0")
     n = real.count()
     classes = work.save(real.groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")), "classes", n)
@@ -279,15 +279,15 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         return left.join(two, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, percent=percent), "a long, b long")
 
     # first each document with the one that it shares most signatures with; then only what is still apart
-    links = work.save(verify(best).unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "links")
+    links = work.small(verify(best).unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "links", 2 * n)
     first = work.save(components(links, work, "first"), "comps1", n)
     placed = work.save(inside.select("sig", "id").join(first, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp")), "placed")
     large = stars.where("id is null").groupBy("sig").agg(F.max("n").alias("n")).select("sig", (F.col("n") / BLOCK + 1).cast("int").alias("blocks"))
     live = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig").join(large, "sig", "left").select("sig", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     apart = placed.join(live, "sig").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     apart = apart.select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp").join(arrays.select("id", "size", "sketch"), "id").select("sig", "one", "two", "block", "id", "comp", "size", "sketch")
-    pairs = work.save(apart.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two", "block").mapInArrow(partial(_pairs, percent=percent), "a long, b long").distinct(), "pairs")
-    second = work.save(verify(pairs).unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))), "links2")
+    pairs = work.small(apart.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two", "block").mapInArrow(partial(_pairs, percent=percent), "a long, b long").distinct(), "pairs", 2 * n)
+    second = work.small(verify(pairs).unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))), "links2", 2 * n)
     final = work.save(components(second, work, "final"), "comps2", n)
     work.drop("classes", "copies", "best", "met", "stars", "arrays", "links", "comps1", "placed", "pairs", "links2")
     return sets.join(final, "id", "left").select("id", "size", F.coalesce("comp", "id").alias("component_id"))
