@@ -42,6 +42,21 @@ def test_urls_without_labels_or_rows(spark):
     assert url_filter.filtered(rows.where("false"), none, PATH_RULES).collect() == []
 
 
+def test_labels_are_of_the_documents_that_urls_name(spark, tmp_path):
+    from tidemill.llm.queries import op3_url_filter
+
+    forms = ["/en/{}", "/fr/{}/", "/de/{}.html", "/es/{}?page=2&ref=x", "/en/{}#top"]
+    pages = [(i, f"http://bad.a.xyz{forms[i % 5]}".format(1000 + i)) for i in range(40)] + [(1000 + i, f"http://good.b.xyz{forms[i % 5]}".format(i)) for i in range(40)]
+    pages += [(3000, "http://none.c.xyz/about"), (3001, "http://none.c.xyz/en/1001x"), (3002, "http://none.c.xyz/en/99999999999999999999"), (3003, None)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(i, 1, 0) for i in range(40)] + [(1000 + i, i % 2, (i % 2)) for i in range(40)] + [(None, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = op3_url_filter(spark, str(tmp_path)).collect()
+    assert len(got) == len(pages)
+    assert {r.host: r.verdict for r in got if r.host} == {"bad.a.xyz": "block", "good.b.xyz": "allow", "none.c.xyz": "allow"}
+    assert {r.bad_rate for r in got if r.host in ("none.c.xyz", "")} == {None}
+
+
 def brute_best_fit(pieces, capacity):
     bins, out = [], []
     for size, source, cluster in pieces:

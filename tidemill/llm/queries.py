@@ -30,7 +30,7 @@ def op2_ngram_jaccard(spark, sf_dir):
 def op3_url_filter(spark, sf_dir):
     labels = _table(spark, sf_dir, "labels")
     bad = labels.select(F.col("doc_id").alias("id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
-    return url_filter.filtered(_table(spark, sf_dir, "pages"), bad, PATH_RULES)
+    return url_filter.filtered(_table(spark, sf_dir, "pages"), bad, PATH_RULES, label=url_filter.document_of(F.col("url")))
 
 
 def op4_best_fit_packing(spark, sf_dir):

@@ -50,6 +50,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, "(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def document_of(url: Column) -> Column:
+    """The document's number that the whole path names, as in ``/en/4828``, ``/en/4828/`` or ``/en/4828.html``; else null."""
+    return F.regexp_extract(path_of(url), "^/(?:de|en|es|fr)/([0-9]+)(?:[.]html)?/?$", 1).try_cast("long")
+
+
 def suffix_of(host: Column) -> Column:
     last, two = F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
     return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(last)
@@ -101,17 +106,17 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     return _posterior(hosts.join(middle, ["domain", "suffix"]), F.col("of_domain")).select("host", "mean", "weight")
 
 
-def filtered(pages: DataFrame, outcomes: DataFrame, rules: list[PathRule], *, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def filtered(pages: DataFrame, outcomes: DataFrame, rules: list[PathRule], *, id_col: str = "page_id", url_col: str = "url", label: Column | None = None) -> DataFrame:
     """Every row of ``pages`` as ``(id, host, path, rule, bad_rate, verdict)``.
 
-    ``outcomes(id, bad)`` holds labelled pages by id. A rule decides where one fits. Otherwise the
+    ``outcomes(id, bad)`` holds labels by the value of ``label`` over ``pages``: the page's id, unless given. A rule decides where one fits. Otherwise the
     page is blocked when its host's posterior bad rate, less ``DEVIATIONS`` standard deviations, is
     over ``LIMIT``; hosts without an outcome, and urls without a host, are allowed. Null urls have
     an empty host and path. Ids that repeat are judged row by row; each of their labels counts once per row.
     """
     url = F.col(url_col)
     parts = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
-    labelled = parts.select(F.col(id_col).alias("id"), "host").where("host <> ''").join(outcomes.select("id", "bad"), "id")
+    labelled = pages.select((F.col(id_col) if label is None else label).alias("id"), host_of(url).alias("host")).where("host <> ''").join(outcomes.select("id", "bad"), "id")
     known = reputations(labelled.select("host", "bad"))
     action, rule = rule_of(F.col("host"), F.col("path"), rules)
     lower = F.col("mean") - DEVIATIONS * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
