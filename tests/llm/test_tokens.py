@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+import sentencepiece
 from tokenizers import Tokenizer
 
 from tidemill.llm import _words, pieces, token_files
@@ -54,6 +55,21 @@ def test_viterbi_is_the_best_path(model):
         assert abs(score - best[-1]) < 1e-6 * max(1, abs(best[-1])), t
 
 
+def test_own_ids_are_the_librarys(spark):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.load(path, by_type=True)
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect() if r.text]
+    for t in [t for t in TEXTS if t and "▁" not in t] + [x for t in odd_texts(2000) if (x := t.replace("▁", ""))] + [t for t in docs if "▁" not in t]:
+        assert own.encode(t).tolist() == library.encode(t), t[:80]
+        assert own.decode(own.encode(t)) == t
+    for t in TEXTS + odd_texts(2000):
+        assert own.decode(own.encode(t)) == t
+    rows = spark.createDataFrame([(1, "the documents")], "doc_id long, text string")
+    want = library.encode("the documents")
+    assert pieces.encoded(rows, path).first().piece_ids == want
+    assert pieces.digests(rows, path).first()[1:3] == (len(want), zlib.crc32(np.array(want, "<i4").tobytes()))
+
+
 def test_sentencepiece_tables(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, n_pieces string")

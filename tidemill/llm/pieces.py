@@ -1,12 +1,15 @@
-"""SentencePiece encoding and decoding by an Aho-Corasick automaton and a single-pass Viterbi.
+"""SentencePiece encoding and decoding by merge order, or by an Aho-Corasick automaton and a single-pass Viterbi.
 
-The automaton holds every ordinary piece. At each position it reports, along its output links, all
-pieces that end there, and each relaxes the best score of a path up to that position. Characters that no
-piece covers go by byte pieces, so every text comes back as it was.
+A BPE model's scores are ranks of its merges: of all neighbours the pair whose union has the best rank becomes
+one, until none has. Its own ids come so. For a unigram model scores are log-probabilities: the automaton holds
+every ordinary piece, reports at each position, along its output links, all pieces that end there, and each
+relaxes the best score of a path up to that position. Characters that no piece covers go by byte pieces, so
+every text comes back as it was.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from functools import lru_cache
@@ -21,6 +24,8 @@ from ._hashing import CHUNK
 from ._words import WordTable
 
 SPACE = "▁"
+#: The model type of the format that merges.
+BPE = 2
 _FIRST = re.compile(f"[^{SPACE}]{SPACE}")
 
 
@@ -51,24 +56,33 @@ def _fields(data: bytes):
 
 
 class Pieces(WordTable):
-    """A model file's pieces. ``types`` of the format: 1 ordinary, 4 user-defined, 6 byte; the others don't occur in texts."""
+    """A model file's pieces. ``types`` of the format: 1 ordinary, 4 user-defined, 6 byte; the others don't occur in texts.
 
-    def __init__(self, path: str):
+    ``by_type``: ids by the rule of the model's type, so a BPE model merges; else by Viterbi for any.
+    """
+
+    def __init__(self, path: str, by_type: bool = False):
         with open(path, "rb") as f:
             model = f.read()
         self.pieces, self.scores, self.types = [], [], []
-        self.prefix = True
+        self.prefix, kind = True, 1
         for field, value in _fields(model):
             if field == 1:
                 own = dict(_fields(value))
                 self.pieces.append(own.get(1, b"").decode())
                 self.scores.append(float(np.frombuffer(own.get(2, b"\0\0\0\0"), "<f4")[0]))
                 self.types.append(own.get(3, 1))
+            elif field == 2:
+                kind = dict(_fields(value)).get(3, 1)
             elif field == 3:
                 self.prefix = bool(dict(_fields(value)).get(3, 1))
         self.bytes = {int(p[3:5], 16): i for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)) if t == 6}
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte pieces, so it can't give every text back")
+        if by_type and (kind not in (1, BPE) or kind == BPE and {4, 5} & set(self.types)):
+            raise ValueError("the model's own rule isn't known: its type is neither unigram nor BPE, or pieces are user-defined or unused")
+        self._ids = self.merged if by_type and kind == BPE else self.viterbi
+        self._rank = {p: (-s, i) for i, (p, s, t) in enumerate(zip(self.pieces, self.scores, self.types, strict=True)) if t == 1}
         self.automaton = ahocorasick.Automaton()
         for i, (p, t) in enumerate(zip(self.pieces, self.types, strict=True)):
             if t in (1, 4) and p:
@@ -107,8 +121,39 @@ class Pieces(WordTable):
                 at -= back[at][1]
         return out[::-1]
 
+    def merged(self, text: str, literal: frozenset[int] = frozenset()) -> list[int]:
+        """Ids by merge order; ties take the leftmost pair. ``literal``: places that only bytes may cover."""
+        rank, n = self._rank, len(text)
+        part = [None if i in literal else c for i, c in enumerate(text)] if literal else list(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = []
+
+        def offer(i, j):
+            if part[i] is not None and part[j] is not None and (known := rank.get(both := part[i] + part[j])):
+                heapq.heappush(heap, (known[0], i, j, both))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        gone = bytearray(n)
+        while heap:
+            _, i, j, both = heapq.heappop(heap)
+            if gone[i] or gone[j] or after[i] != j or len(part[i]) + len(part[j]) != len(both):
+                continue  # a neighbour has been merged since
+            part[i], gone[j], after[i] = both, 1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                offer(i, after[i])
+            if before[i] >= 0:
+                offer(before[i], i)
+        out, at = [], 0
+        while at < n:
+            known = rank.get(part[at]) if part[at] is not None else None
+            out += [known[1]] if known else [self.bytes[b] for b in text[at].encode("utf-8", "surrogatepass")]
+            at = after[at]
+        return out
+
     def _learn(self, words: list[str], hashes: np.ndarray) -> None:
-        ids = [self.viterbi(w.replace(" ", SPACE)) for w in words]
+        ids = [self._ids(w.replace(" ", SPACE)) for w in words]
         self._register(hashes, np.fromiter(map(len, ids), np.int64, len(ids)), np.array([i for x in ids for i in x], np.uint32))
 
     def encode(self, text: str | None) -> np.ndarray:
@@ -129,12 +174,12 @@ class Pieces(WordTable):
                 continue
             plain = (" " if self.prefix else "") + text
             if SPACE in text:  # the mark itself in a text: only bytes tell it from a space
-                out[i] = np.array(self.viterbi(plain.replace(" ", SPACE), frozenset(j for j, c in enumerate(plain) if c == SPACE)), np.int32)
+                out[i] = np.array(self._ids(plain.replace(" ", SPACE), frozenset(j for j, c in enumerate(plain) if c == SPACE)), np.int32)
             elif not self.by_words:
-                out[i] = np.array(self.viterbi(plain.replace(" ", SPACE)), np.int32)
+                out[i] = np.array(self._ids(plain.replace(" ", SPACE)), np.int32)
             elif "  " in plain:  # spaces in a row stay with the word that they lead
                 parts = re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", plain.replace(" ", SPACE))
-                out[i] = np.array([x for p in parts for x in self.viterbi(p)], np.int32)
+                out[i] = np.array([x for p in parts for x in self._ids(p)], np.int32)
             else:
                 data = plain.encode("utf-8", "surrogatepass")
                 if len(data) > CHUNK:
@@ -176,16 +221,16 @@ class Pieces(WordTable):
 
 
 @lru_cache(maxsize=4)
-def load(path: str) -> Pieces:
-    """One per process and path."""
-    return Pieces(path)
+def load(path: str, by_type: bool = False) -> Pieces:
+    """One per process, path and rule."""
+    return Pieces(path, by_type)
 
 
 def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``piece_ids`` (array of int); null and empty texts have none. Other columns stay."""
+    """``docs`` with ``piece_ids`` (array of int) by the model's own rule; null and empty texts have none. Other columns stay."""
     @F.pandas_udf("array<int>")
     def ids(text: pd.Series) -> pd.Series:
-        model = load(path)
+        model = load(path, by_type=True)
         return pd.Series(model.encode_all(text.tolist()))
 
     return docs.withColumn("piece_ids", ids(F.col(text_col).cast("string")))
@@ -202,13 +247,13 @@ def decoded(rows: DataFrame, path: str, ids_col: str = "piece_ids") -> DataFrame
 
 
 def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_pieces, ids_crc32, text_crc32)``: encoded and decoded in one pass; ``text_crc32`` is of what decoding gave.
+    """``(id, n_pieces, ids_crc32, text_crc32)``: encoded by the model's own rule and decoded in one pass; ``text_crc32`` is of what decoding gave.
 
     CRCs are unsigned, of the ids as little-endian 32-bit integers and of UTF-8; null and empty texts have zeros.
     """
     @F.pandas_udf("n_pieces long, ids_crc32 long, text_crc32 long")
     def digest(text: pd.Series) -> pd.DataFrame:
-        model = load(path)
+        model = load(path, by_type=True)
         rows = []
         for i in range(0, len(text), 256):
             for ids in model.encode_all(text.iloc[i : i + 256].tolist()):
