@@ -62,9 +62,10 @@ def digest_by_url(t):
 
 
 def _items(t):
-    """Documents as items: source and text stand for a link's sources and content, short texts for its link."""
+    """Documents as items: source and text stand for a link's sources and content, the whole text but for case and gaps for its link."""
     d = t("documents")
-    return d.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("source_type"), F.substring("text", 1, 40).alias("title"), F.concat(F.lit("https://example.org/"), F.md5(F.substring("text", 1, 40)), F.lit("/?utm_source="), "source").alias("url"), F.substring("text", 1, 200).alias("content"), F.lit(None).cast("string").alias("author"), F.create_map(F.lit("lang"), F.to_json(F.struct("lang"))).alias("metadata"), F.array("lang").alias("profile"), F.col("doc_id").alias("ord"))
+    link = F.md5(F.lower(F.regexp_replace("text", "\\s+", " ")))
+    return d.select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("source_type"), F.concat(F.lit("https://example.org/"), link, F.lit("/?utm_source="), "source").alias("url"), F.col("text").alias("content"), F.lit(None).cast("string").alias("author"), F.create_map(F.lit("lang"), F.to_json(F.struct("lang"))).alias("metadata"), F.array("lang").alias("profile"), F.col("doc_id").alias("ord"))
 
 
 @query("""
