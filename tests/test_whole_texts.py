@@ -1,5 +1,7 @@
 from tidemill.plans import registry
 
+BYLINES = ["Aug 6, 00:00", "Aug 7, 00:00", "Aug 8, 00:00"]
+
 
 def test_merge_fold_takes_whole_texts(spark, tmp_path):
     long = "word " * 60
@@ -19,3 +21,27 @@ def test_merge_fold_takes_whole_texts(spark, tmp_path):
     got = [tuple(r) for r in registry.QUERIES["merge_fold"](spark, str(tmp_path)).select("id", "ord", "content", "sources", "members").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert len(want) == 5
+
+
+def test_daily_issue_renders_every_good_document_whole(spark, tmp_path):
+    docs = [(i, f"w{i} " * 150 + f"end{i}", "en", f"s{i % 3}") for i in (*range(150), *range(230, 240))]
+    good = {i for i, *_ in docs if i % 5 and i < 200}
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i in good), 0) for i, *_ in docs if i != 7], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    good.discard(7)
+    want = {}
+    for day, date in enumerate(("2024-08-06", "2024-08-07", "2024-08-08")):
+        own = [d for d in docs if d[0] // 100 == day]
+        picked = [d for d in own if d[0] in good]
+        if not picked:
+            want[date] = f"# Digest - {date}\n\n> Analyzed {len(own)} items, but none met the importance threshold.\n"
+            continue
+        toc, body = "", []
+        for source in dict.fromkeys(d[3] for d in picked):
+            for n, d in enumerate((d for d in picked if d[3] == source), 1):
+                toc += (f"\n\n**{source.title()}**\n" if n == 1 else "\n") + f"{n}. [Document {d[0]}](#item-{source}-{n}) ⭐️ 1/10"
+                item = f'<a id="item-{source}-{n}"></a>\n### [Document {d[0]}](https://example.org/{d[0]}) ⭐️ 1/10\n\n{d[1]}\n\nrss · desk · {BYLINES[day]}\n\n**Tags**: `#en`\n\n---'
+                body.append((f"## {source.title()}\n\n" if n == 1 else "") + item)
+        want[date] = f"# Digest - {date}\n\n> From {len(own)} items, {len(picked)} important content pieces were selected\n\n---{toc}\n\n---\n\n" + "\n\n".join(body) + "\n"
+    got = {r.date: r.markdown for r in registry.QUERIES["daily_issue"](spark, str(tmp_path)).collect()}
+    assert got == want

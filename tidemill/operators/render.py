@@ -58,20 +58,30 @@ def view(items: DataFrame, language: str = "en", ranks: dict[str, int] | None =
 
 def issue(items: DataFrame, date: str, total: int, *, brand: str = "Digest", language: str = "en", names: dict[str, str] | None = None) -> DataFrame:
     """One row ``(date, language, markdown)``: heading, contents, items. An issue is what people read, so it fits one row."""
+    one = items.sparkSession.range(1).select(F.lit(date).alias("date"), F.lit(total).alias("total"))
+    return issues(items.withColumn("date", F.lit(date)), one, brand=brand, language=language, names=names)
+
+
+def issues(items: DataFrame, totals: DataFrame, *, brand: str = "Digest", language: str = "en", names: dict[str, str] | None = None) -> DataFrame:
+    """An :func:`issue` for each row of ``totals(date, total)`` with the ``items`` of its ``date``, so rows are as large as one issue."""
     labels = LABELS.get(language, LABELS["en"])
-    shown = view(items, language)
+    group = Window.partitionBy("date", "profile_id")
+    shown = items.withColumn("profile_id", F.coalesce("profile_id", F.lit("unclassified"))).withColumn("group_index", F.row_number().over(group.orderBy("ord"))).withColumn("first", F.min("ord").over(group))
+    shown = shown.withColumn("anchor", F.concat(F.lit("item-"), urls.slug(F.col("profile_id")), F.lit("-"), F.col("group_index").cast("string")))
     name = display_name(F.col("profile_id"), names or {})
     entry = F.concat(F.col("group_index").cast("string"), F.lit(". ["), tx.escaped_markdown(F.coalesce("artifact.title", "title")), F.lit("](#"), "anchor", F.lit(") ⭐️ "), F.coalesce(F.col("score").cast("string"), F.lit("?")), F.lit("/10"))
-    rows = shown.select("global_index", "group_index", tx.escaped_markdown(name).alias("name"), entry.alias("entry"), item_markdown(language).alias("md"))
+    rows = shown.select("date", "first", "profile_id", "group_index", tx.escaped_markdown(name).alias("name"), entry.alias("entry"), item_markdown(language).alias("md"))
     first = F.col("group_index") == 1
     toc = F.when(first, F.concat(F.lit("\n\n**"), "name", F.lit("**\n"), "entry")).otherwise(F.concat(F.lit("\n"), "entry"))
     body = F.when(first, F.concat(F.lit("## "), "name", F.lit("\n\n"), "md")).otherwise(F.col("md"))
-    ordered = rows.agg(F.array_sort(F.collect_list(F.struct("global_index", toc.alias("toc"), body.alias("body")))).alias("r"), F.count("*").alias("n"))
+    ordered = rows.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("first", "profile_id", "group_index", toc.alias("toc"), body.alias("body")))).alias("r"), F.count("*").alias("n"))
+    every = totals.select("date", F.col("total").cast("string").alias("total")).join(ordered, "date", "left")
     cat = lambda k, by: F.array_join(F.transform("r", lambda x: x[k]), by)
-    said = F.replace(F.replace(F.lit(labels["selected"]), F.lit("{total}"), F.lit(str(total))), F.lit("{selected}"), F.col("n").cast("string"))
-    full = F.concat(F.lit(f"# {brand} - {date}\n\n> "), said, F.lit("\n\n---"), cat("toc", ""), F.lit("\n\n---\n\n"), cat("body", "\n\n"), F.lit("\n"))
-    empty = F.lit(f"# {brand} - {date}\n\n> {labels['empty'].replace('{total}', str(total))}\n")
-    return ordered.select(F.lit(date).alias("date"), F.lit(language).alias("language"), F.when(F.col("n") == 0, empty).otherwise(full).alias("markdown"))
+    said = F.replace(F.replace(F.lit(labels["selected"]), F.lit("{total}"), F.col("total")), F.lit("{selected}"), F.col("n").cast("string"))
+    head = F.concat(F.lit(f"# {brand} - "), "date", F.lit("\n\n> "))
+    full = F.concat(head, said, F.lit("\n\n---"), cat("toc", ""), F.lit("\n\n---\n\n"), cat("body", "\n\n"), F.lit("\n"))
+    empty = F.concat(head, F.replace(F.lit(labels["empty"]), F.lit("{total}"), F.col("total")), F.lit("\n"))
+    return every.select("date", F.lit(language).alias("language"), F.when(F.col("n").isNull(), empty).otherwise(full).alias("markdown"))
 
 
 def display_name(profile: Column, names: dict[str, str]) -> Column:

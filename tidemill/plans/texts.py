@@ -102,9 +102,10 @@ def readable_pages(t):
 
 @query()
 def daily_issue(t):
-    best = t("documents").join(t("labels").where("quality = 1"), "doc_id").orderBy("doc_id").limit(40)
-    items = best.select(F.col("source").alias("profile_id"), F.col("doc_id").alias("ord"), F.substring("text", 1, 60).alias("title"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"), F.col("quality").alias("score"), F.substring("text", 1, 300).alias("summary"), F.array("lang").alias("tags"), F.create_map().cast("map<string,string>").alias("metadata"), F.lit("rss").alias("source_type"), F.lit("desk").alias("author"), F.lit("2024-08-06").cast("timestamp").alias("published_at"), F.lit(None).cast("struct<language:string,title:string,blocks:array<struct<id:string,type:string,title:string,content:string,source_refs:array<string>,primary:boolean>>,sources:array<struct<id:string,title:string,url:string>>>").alias("artifact"))
-    return render.issue(items, "2024-08-06", 1000)
+    docs = t("documents").withColumn("date", F.expr("cast(date_add(date'2024-08-06', cast(doc_id div 100 as int)) as string)"))  # a day has a hundred documents
+    best = docs.join(t("labels").where("quality = 1"), "doc_id")
+    items = best.select("date", F.col("source").alias("profile_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.concat(F.lit("https://example.org/"), F.col("doc_id").cast("string")).alias("url"), F.col("quality").alias("score"), F.col("text").alias("summary"), F.array("lang").alias("tags"), F.create_map().cast("map<string,string>").alias("metadata"), F.lit("rss").alias("source_type"), F.lit("desk").alias("author"), F.col("date").cast("timestamp").alias("published_at"), F.lit(None).cast("struct<language:string,title:string,blocks:array<struct<id:string,type:string,title:string,content:string,source_refs:array<string>,primary:boolean>>,sources:array<struct<id:string,title:string,url:string>>>").alias("artifact"))
+    return render.issues(items, docs.groupBy("date").agg(F.count("*").alias("total")))
 
 
 @query("SELECT conv_id, list_reduce(list_prepend('', list('[' || role || ']: ' || CASE WHEN length(text) > 500 THEN substring(text, 1, 497) || '...' ELSE text END ORDER BY turn)), lambda a, x: CASE WHEN a = '' THEN x ELSE a || chr(10) || chr(10) || x END) AS thread FROM conversations GROUP BY conv_id")
