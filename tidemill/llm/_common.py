@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +40,33 @@ def shared_dir(spark: SparkSession) -> str:
 _own = ""
 
 
-#: Rows in a batch that goes to Python: texts and sets are long, and a batch of each running task is held.
-BATCH_ROWS = 2000
+#: Rows and bytes in a batch that goes to Python: texts and sets are long, and batches of each running task are held on both sides.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 #: Rows in a file of a table whose size is known to be small.
 FILE_ROWS = 250_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds on batches for Python, where they are higher. What is returned is lazy, so they stay so."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key)).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def lean(batches: Iterator) -> Iterator:
+    """``batches`` as they are; then the worker, which is used again, gives freed memory back to the machine."""
+    yield from batches
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Workspace:
     """Where an operator keeps what it reads more than once.
 
@@ -55,9 +76,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-        if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
-            spark.conf.set(batch, str(BATCH_ROWS))
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:

@@ -7,16 +7,17 @@ n-gram. A text's hits by language, corrected for the filter's false positives, d
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import lean, small_batches
 from ._hashing import U64, mix
 
 #: Most documents that the filters are fitted on, chosen by a hash of the id; and n-grams kept of a language.
@@ -24,7 +25,8 @@ TRAIN_DOCS, TRAIN_GRAMS = 20_000, 20_000
 #: An n-gram is a language's if it is there at least this often, and at this share of its highest rate in any.
 LEAST_COUNT, LEAST_SHARE = 3, 0.5
 SLOTS, HASHES = 1 << 20, 3
-PIECE = 1 << 18
+#: Characters that are looked at together; n-grams that a task holds.
+PIECE, HELD = 1 << 16, 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -89,32 +91,62 @@ def _places(g: np.ndarray, slots: int):
 
 
 def _counts(batches):
-    for b in batches:
-        of = defaultdict(list)
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            of[lang] += grams(text)
-        for lang, found in of.items():
-            g, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, U64), np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+    """Counts by (lang, n-gram), in several rows where there are many.
 
+    N-grams are counted whenever ``HELD`` have come, and the counts are told when so many distinct ones are held.
+    """
+    raw: dict[str, list[np.ndarray]] = {}
+    known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    waiting = 0
+
+    def fold():
+        for lang, parts in raw.items():
+            g, n = np.unique(np.concatenate(parts), return_counts=True)
+            if lang in known:
+                old, m = known[lang]
+                g, at = np.unique(np.concatenate([old, g]), return_inverse=True)
+                n = np.bincount(at, weights=np.concatenate([m, n]), minlength=len(g)).astype(np.int64)
+            known[lang] = g, n
+        raw.clear()
+
+    def told():
+        for lang, (g, n) in known.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+        known.clear()
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Filters:
+    for b in batches:
+        for lang, text in zip(b.column(0), b.column(1), strict=True):
+            for g in grams(text.as_py()):
+                raw.setdefault(lang.as_py(), []).append(g)
+                waiting += len(g)
+            if waiting > HELD:
+                fold()
+                waiting = 0
+                if sum(len(g) for g, _ in known.values()) > HELD:
+                    yield from told()
+    fold()
+    yield from told()
+
+
+def fit(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_grams: int = TRAIN_GRAMS) -> Filters:
     """Filters from rows with a text, a language and an id: about ``max_docs`` of them, by a hash of the id.
 
-    What comes to the driver is bounded by ``TRAIN_GRAMS`` for each language. Rows with a null are
+    What comes to the driver is bounded by ``max_grams`` for each language, the most frequent ones. Rows with a null are
     not learned from; of an empty table nothing is learned and every text is ``und``.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("id is not null and lang is not null and text is not null")
     n = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).count()
     chosen = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_docs / max(n, 1)))
-    counts = rows.where(chosen).select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.where(chosen).select("lang", "text").mapInArrow(lambda batches: lean(_counts(batches)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     from pyspark.sql import Window
 
     rate = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
     typical = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= LEAST_SHARE * F.col("top")))
-    kept = typical.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= TRAIN_GRAMS)
-    found = kept.select("lang", "gram").toPandas()
-    return Filters.build({lang: g["gram"].to_numpy(np.int64).view(U64) for lang, g in found.groupby("lang")})
+    kept = typical.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= max_grams)
+    found = kept.select("lang", "gram").toArrow()
+    langs, gram = found.column("lang"), found.column("gram")
+    return Filters.build({lang.as_py(): gram.filter(pc.equal(langs, lang)).to_numpy().view(U64) for lang in pc.unique(langs)})
 
 
 def predictions(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
@@ -122,13 +154,19 @@ def predictions(docs: DataFrame, filters: Filters, text_col: str = "text") -> Da
 
     The filters are of a fixed size (``SLOTS`` masks), so their broadcast doesn't grow with the data.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(filters)
     return docs.withColumn("__lang", _predict(sent)(F.col(text_col).cast("string"))).withColumns({"lang_pred": F.col("__lang.lang_pred"), "lang_score": F.col("__lang.lang_score")}).drop("__lang")
 
 
 def _predict(sent):
-    @F.pandas_udf("lang_pred string, lang_score double")
-    def predict(text: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([sent.value.decide(t) for t in text], columns=["lang_pred", "lang_score"])
+    @F.arrow_udf("lang_pred string, lang_score double")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def found():
+            for text in texts:
+                made = [sent.value.decide(t.as_py()) for t in text]
+                yield pa.StructArray.from_arrays([pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], ["lang_pred", "lang_score"])
+
+        yield from lean(found())
 
     return predict

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace
+from ._common import Workspace, lean
 from ._hashing import EXACT, LOWER, U64, mix, shingles, word_hashes
 from .graph import components
 
@@ -122,6 +122,11 @@ def _sets(text: pa.Array, n: int, lower: bool) -> Iterator[np.ndarray]:
         yield shingles(word_hashes(t, LOWER if lower else EXACT), n) if t is not None and t.size else np.empty(0, U64)
 
 
+def _run(work, **how):
+    """``work`` over batches with ``how``; its worker gives memory back at the end of a task."""
+    return lambda batches: lean(work(batches, **how))
+
+
 def _long(x) -> pa.Array:
     return pa.array(np.asarray(x, U64).view(np.int64))
 
@@ -248,7 +253,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     work = Workspace(spark, "ngram")
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     how = {"n": shingle, "lower": lower}
-    sets = work.small(docs.mapInArrow(partial(_fingerprints, **how), "id long, size long, f1 long, f2 long"), "sets", docs.count())
+    sets = work.small(docs.mapInArrow(_run(_fingerprints, **how), "id long, size long, f1 long, f2 long"), "sets", docs.count())
     real = sets.where("id is not null and size > 0")
     n = real.count()
     classes = work.save(real.groupBy("f1", "f2", "size").agg(F.min("id").alias("rep")), "classes", n)
@@ -261,13 +266,13 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     # an id on several rows may be a class of its own and a copy elsewhere: it stays
     copies = members.where("id <> rep").select("id").distinct().join(classes.select(F.col("rep").alias("id")), "id", "left_anti")
     copies = work.save(copies, "copies", n)
-    sigs = only(copies, "left_anti").mapInArrow(partial(_emit, percent=percent, n2=parts, k2=left_out, **how), "sig long, id long")
-    stars = work.save(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(partial(_stars, block=BLOCK), "sig long, id long, lo long, n long"), "stars")
+    sigs = only(copies, "left_anti").mapInArrow(_run(_emit, percent=percent, n2=parts, k2=left_out, **how), "sig long, id long")
+    stars = work.save(sigs.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_run(_stars, block=BLOCK), "sig long, id long, lo long, n long"), "stars")
     inside = stars.where("id is not null").select("sig", "id", "lo")
     best = inside.where("id <> lo").groupBy("id", "lo").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("m"))
     best = work.save(best.select(F.col("id").alias("a"), (-F.col("m.lo")).alias("b")), "best", n)
     met = work.save(inside.select("id").distinct(), "met", n)
-    arrays = work.save(only(met, "left_semi").mapInArrow(partial(_arrays, **how), "id long, found binary, size long, sketch binary"), "arrays")
+    arrays = work.save(only(met, "left_semi").mapInArrow(_run(_arrays, **how), "id long, found binary, size long, sketch binary"), "arrays")
 
     def verify(pairs: DataFrame) -> DataFrame:
         one = arrays.select(F.col("id").alias("a"), F.col("found").alias("x"))
@@ -276,7 +281,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             left, two = one.join(F.broadcast(pairs), "a"), two.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
         else:
             left = pairs.join(one, "a")
-        return left.join(two, "b").select("a", "b", "x", "y").mapInArrow(partial(_verified, percent=percent), "a long, b long")
+        return left.join(two, "b").select("a", "b", "x", "y").mapInArrow(_run(_verified, percent=percent), "a long, b long")
 
     # first each document with the one that it shares most signatures with; then only what is still apart
     links = work.small(verify(best).unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "links", 2 * n)
@@ -286,7 +291,7 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     live = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig").join(large, "sig", "left").select("sig", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     apart = placed.join(live, "sig").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     apart = apart.select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp").join(arrays.select("id", "size", "sketch"), "id").select("sig", "one", "two", "block", "id", "comp", "size", "sketch")
-    pairs = work.small(apart.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two", "block").mapInArrow(partial(_pairs, percent=percent), "a long, b long").distinct(), "pairs", 2 * n)
+    pairs = work.small(apart.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two", "block").mapInArrow(_run(_pairs, percent=percent), "a long, b long").distinct(), "pairs", 2 * n)
     second = work.small(verify(pairs).unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))), "links2", 2 * n)
     final = work.save(components(second, work, "final"), "comps2", n)
     work.drop("classes", "copies", "best", "met", "stars", "arrays", "links", "comps1", "placed", "pairs", "links2")

@@ -8,14 +8,15 @@ over the overall rate.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace
+from ._common import Workspace, lean, small_batches
 from ._hashing import SEPARATOR
 from .url_filter import _posterior
 
@@ -81,32 +82,45 @@ class Evidence:
         return np.clip((x - self.mean) / self.scale @ self.weights + self.bias, -30, 30)
 
 
+def _matrix(text: pa.Array) -> np.ndarray:
+    return np.stack([features(t.as_py()) for t in text]) if len(text) else np.empty((0, FEATURES), np.float32)
+
+
 def _features():
-    @F.pandas_udf("array<float>")
-    def vectors(text: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in text])
+    @F.arrow_udf("array<float>")
+    def vectors(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def found():
+            for text in texts:
+                x = _matrix(text)
+                yield pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES), pa.array(x.ravel(), pa.float32()))
+
+        yield from lean(found())
 
     return vectors
 
 
 def _evidence(model: Evidence):
-    @F.pandas_udf("double")
-    def log_odds(text: pd.Series) -> pd.Series:
-        x = np.stack([features(t) for t in text]) if len(text) else np.empty((0, FEATURES))
-        return pd.Series(np.round(model.log_odds(x), 9))
+    @F.arrow_udf("double")
+    def log_odds(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(pa.array(np.round(model.log_odds(_matrix(text)), 9), pa.float64()) for text in texts)
 
     return log_odds
 
 
 def fit_evidence(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_docs: int = TRAIN_DOCS) -> Evidence:
-    """The model from about ``max_docs`` labelled documents; ``labels(id, good)``, with nulls left out."""
+    """The model from about ``max_docs`` labelled documents; ``labels(id, good)``, with nulls left out.
+
+    Rows that repeat an id count as one, with the greatest text and the label that at least half of them have.
+    """
+    small_batches(docs.sparkSession)
     real = labels.where("id is not null and good is not null")
     share = int(1_000_000 * min(1.0, max_docs / max(1, real.count())))
-    chosen = real.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)
+    chosen = real.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).groupBy("id").agg(F.avg(F.col("good").cast("double")).alias("good"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most about max_docs rows
-    found = rows.select("id", _features()("text").alias("x"), F.col("good").cast("int").alias("y")).toPandas().sort_values("id", kind="stable")
-    x = np.stack(found["x"].to_numpy()) if len(found) else np.empty((0, FEATURES), np.float32)
-    return Evidence.fit(x, found["y"].to_numpy())
+    rows = rows.groupBy("id").agg(F.max("text").alias("text"), F.avg("good").alias("good"))  # repeated ids are one row
+    found = rows.select("id", _features()("text").alias("x"), (F.col("good") >= 0.5).cast("int").alias("y")).toArrow().sort_by("id")
+    x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+    return Evidence.fit(x, found.column("y").to_numpy())
 
 
 def scored(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", max_docs: int = TRAIN_DOCS) -> DataFrame:
