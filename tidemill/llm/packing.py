@@ -9,13 +9,12 @@ neither, found by searching on from the first bin with room.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SEPARATORS, Workspace, words_of
+from ._common import SEPARATORS, Workspace, lean, words_of
 
 #: Pieces in a block on average: all that a task holds of its input at once.
 BLOCK_PIECES = 4096
@@ -52,21 +51,25 @@ def best_fit(pieces: list[tuple], capacity: int) -> list[int]:
     return out
 
 
-def _pack(batches, *, capacity):
-    """Rows sorted by (block, size downwards, id, piece): packed block by block."""
-    held, block = [], None
+def _pack(batches, *, capacity, most):
+    """Rows sorted by (block, size downwards, id, piece): packed block by block, a block of over ``most`` rows in parts."""
+    held, block, used = [], None, 0
 
     def flush():
+        nonlocal used
         if held:
-            bins = best_fit([(r["size"], r["source"], r["cluster"]) for r in held], capacity)
+            bins = [used + b for b in best_fit([(r["size"], r["source"], r["cluster"]) for r in held], capacity)]
+            used = max(bins) + 1
             cols = [[r[k] for r in held] for k in ("id", "piece", "start", "size", "block")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*cols, bins)], ["id", "piece", "start", "size", "block", "bin"])
+            held.clear()
 
     for b in batches:
         for r in b.to_pylist():
-            if r["block"] != block:
+            if r["block"] != block or len(held) >= most:
                 yield from flush()
-                held, block = [], r["block"]
+                if r["block"] != block:
+                    block, used = r["block"], 0
             held.append(r)
     yield from flush()
 
@@ -80,16 +83,20 @@ def packed(docs: DataFrame, *, capacity: int = 2048, id_col: str = "doc_id", sou
     Documents of size 0 or null take no room: they have one piece of size 0 in a bin like any other.
     Bins are numbered within a block; (block, bin) names one. Ties are packed by id, then piece.
     Null and repeated ids are packed row by row; an empty table gives an empty result.
+
+    Pieces are dealt to blocks of about ``block_pieces`` by id, piece, source and cluster, those without an id
+    by a number of the row too. Rows that are equal in all of these meet in one block; it is packed in parts
+    of four times ``block_pieces``, so that no more is held. The tightest bin is that of the block or part.
     """
     size = F.size(words_of(F.col("text"))) if size is None else size
     cluster = cluster_of(F.col("text")) if cluster is None else cluster
     source = F.lit(None).cast("string") if source_col is None else F.col(source_col).cast("string")
     work = Workspace(docs.sparkSession, "packing")
     total = F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long")
-    rows = work.save(docs.select(F.col(id_col).cast("long").alias("id"), source.alias("source"), total.alias("total"), cluster.alias("cluster")), "rows")
+    rows = work.save(docs.select(F.col(id_col).cast("long").alias("id"), source.alias("source"), total.alias("total"), cluster.alias("cluster"), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).alias("row")), "rows")
     count = F.greatest(F.ceil(F.col("total") / capacity), F.lit(1).cast("long"))
     blocks = max(1, -(-(rows.agg(F.sum(count)).first()[0] or 0) // block_pieces))
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), count - 1))).withColumn("start", F.col("piece") * capacity)
-    dealt = pieces.withColumn("size", F.least(F.lit(capacity), F.col("total") - F.col("start"))).withColumn("block", F.pmod(F.xxhash64("id", "piece", "source"), F.lit(blocks)))
+    dealt = pieces.withColumn("size", F.least(F.lit(capacity), F.col("total") - F.col("start"))).withColumn("block", F.pmod(F.xxhash64("id", "piece", "source", "cluster", "row"), F.lit(blocks)))
     dealt = dealt.select("id", "piece", "start", "size", "source", "cluster", "block").repartition("block").sortWithinPartitions("block", F.desc("size"), "id", "piece", "source", "cluster")
-    return dealt.mapInArrow(partial(_pack, capacity=capacity), "id long, piece long, start long, size long, block long, bin long")
+    return dealt.mapInArrow(lambda batches: lean(_pack(batches, capacity=capacity, most=4 * block_pieces)), "id long, piece long, start long, size long, block long, bin long")

@@ -27,8 +27,8 @@ BLOCK_DIMS, WIDE_DIMS, MANY_ROWS = 8, 16, 131_072
 TILE = 8192
 #: Candidate pairs that are looked at together.
 CHUNK = 1 << 17
-#: Intervals into which a task cuts each dimension of a block.
-PARTS = 2
+#: Intervals into which a task cuts each dimension of a block; so few rows aren't cut.
+PARTS, FEW = 2, 32
 SLACK = 1e-9
 
 
@@ -85,6 +85,9 @@ def candidates(u: np.ndarray, budget: float):
     visits the other's cell and both distances together are within the budget: beside a bound that lies
     between them, two rows are at least as far apart as both are from it.
     """
+    if len(u) <= FEW:
+        yield np.triu_indices(len(u), 1)
+        return
     share = [j / PARTS for j in range(1, PARTS)]
     row, cell, side, spent = visits(u, list(np.quantile(u, share, axis=0).T), budget, one_sided=False)
     own = np.empty(len(u), np.int64)
