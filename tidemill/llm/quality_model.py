@@ -21,7 +21,7 @@ from ._hashing import SEPARATOR
 from .url_filter import _posterior
 
 #: Most labelled documents that the evidence model is fitted on, chosen by a hash of the id.
-TRAIN_DOCS = 10_000
+TRAIN_DOCS = 20_000
 #: Site groups up to this number (under 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 100_000
 FEATURES = 256 + 4
@@ -66,13 +66,17 @@ class Evidence:
         if len(np.unique(y)) < 2:
             return cls(np.zeros(FEATURES), np.zeros(FEATURES), np.ones(FEATURES), prior)
         mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-3
-        z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-        w = np.zeros(z.shape[1])
+        w = np.zeros(FEATURES + 1)
         penalty = np.full(len(w), ridge)
         penalty[-1] = 1e-6
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+            slope, curve = -penalty * w, np.diag(penalty)
+            for at in range(0, len(x), 1000):  # the normal equations are summed slice by slice: only the floats of x are held
+                z = np.column_stack([(x[at : at + 1000] - mean) / scale, np.ones(len(x[at : at + 1000]))])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                slope += z.T @ (y[at : at + 1000] - p)
+                curve += (z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z
+            step = np.linalg.solve(curve, slope)
             w += step
             if np.abs(step).max() < 1e-6:
                 break
