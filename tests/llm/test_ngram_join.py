@@ -120,3 +120,17 @@ def test_sets_without_a_sketch_are_compared_in_full(spark, monkeypatch):
     rows = corpus(11)
     got = sorted(((x.id, x.size, x.component_id) for x in nj.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=3, percent=80).collect()), key=str)
     assert got == brute(rows, 3, 80)
+
+
+def test_wide_sketches_never_rule_out_a_link():
+    r = np.random.default_rng(8)
+    for n in (1, 3, 128, 512, 513, 700, 2049, 9000):
+        x = nj.mix(r.integers(0, 2**62, n, dtype=np.uint64))
+        for share in (1.0, 0.9, 0.8):
+            kept = x[: max(1, int(n * share))]
+            assert nj._may_link(nj.wide_sketch(x), nj.wide_sketch(kept), len(x), len(kept), int(100 * len(kept) / len(x)))
+        other = nj.mix(r.integers(0, 2**62, n, dtype=np.uint64))
+        if n >= 128:
+            assert not nj._may_link(nj.wide_sketch(x), nj.wide_sketch(other), n, n, 80)
+    same = np.full(600, 7, np.uint64)
+    assert nj.wide_sketch(same) == b"" and nj._may_link(b"", b"", 600, 600, 80)

@@ -97,6 +97,11 @@ class Workspace:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def freed(self, *names: str) -> None:
+        """``drop``, and lets Spark remove the shuffles of finished jobs from executors' disks: it does so when the driver collects garbage."""
+        self.drop(*names)
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

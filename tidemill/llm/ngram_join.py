@@ -179,10 +179,56 @@ def _stars(batches, *, block):
             yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1], mask=large), pa.array(out[2]), pa.array(out[3])], ["sig", "id", "lo", "n"])
 
 
-def _arrays(batches, *, n, lower):
+def wide_sketch(found: np.ndarray) -> bytes:
+    """Like ``sketch``, with more counters for larger sets: at most four shingles a counter on average."""
+    counters = SKETCH
+    while counters * 4 < len(found):
+        counters *= 4
+    count = np.bincount((found & U64(counters - 1)).astype(np.int64), minlength=counters)
+    if count.max() >= 256:
+        return b""
+    count = count.astype(np.uint8)
+    return (count if count.max() >= 16 else count[::2] | (count[1::2] << 4)).tobytes()
+
+
+def _unpacked(made: bytes) -> np.ndarray:
+    """Counts of a wide sketch: by its length, in bytes or in halves of bytes."""
+    b = np.frombuffer(made, np.uint8)
+    if (len(b) // SKETCH).bit_length() % 2:  # SKETCH times a power of four
+        return b
+    out = np.empty(2 * len(b), np.uint8)
+    out[::2], out[1::2] = b & 15, b >> 4
+    return out
+
+
+def _may_link(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether two sets of ``n`` and ``m`` shingles may link, by their wide sketches."""
+    if 100 * min(n, m) < percent * max(n, m):
+        return False
+    if not x or not y:
+        return True
+    x, y = _unpacked(x).astype(np.int64), _unpacked(y).astype(np.int64)
+    counters = min(len(x), len(y))
+    both = int(np.minimum(x.reshape(-1, counters).sum(0), y.reshape(-1, counters).sum(0)).sum())
+    return 100 * both >= percent * (n + m - both)
+
+
+def _sketches(batches, *, n, lower):
     for b in batches:
         sets = list(_sets(b.column(1), n, lower))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["id", "found", "size", "sketch"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([wide_sketch(s) for s in sets], pa.binary())], ["id", "size", "sketch", "wide"])
+
+
+def _bounded(batches, *, percent):
+    """Pairs ``(a, b)`` with sizes and wide sketches: those that may link."""
+    for b in batches:
+        keep = pa.array([_may_link(x.as_py(), y.as_py(), n, m, percent) for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
+
+
+def _arrays(batches, *, n, lower):
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in _sets(b.column(1), n, lower)], pa.binary())], ["id", "found"])
 
 
 def _verified(batches, *, percent):
@@ -272,27 +318,34 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     best = inside.where("id <> lo").groupBy("id", "lo").agg(F.count("*").alias("n")).groupBy("id").agg(F.max(F.struct("n", (-F.col("lo")).alias("lo"))).alias("m"))
     best = work.save(best.select(F.col("id").alias("a"), (-F.col("m.lo")).alias("b")), "best", n)
     met = work.save(inside.select("id").distinct(), "met", n)
-    arrays = work.save(only(met, "left_semi").mapInArrow(_run(_arrays, **how), "id long, found binary, size long, sketch binary"), "arrays")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = arrays.select(F.col("id").alias("a"), F.col("found").alias("x"))
-        two = arrays.select(F.col("id").alias("b"), F.col("found").alias("y"))
-        if pairs.count() <= BROADCAST_IDS:  # 16 bytes each: then only the sets that are compared move
-            left, two = one.join(F.broadcast(pairs), "a"), two.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
-        else:
-            left = pairs.join(one, "a")
-        return left.join(two, "b").select("a", "b", "x", "y").mapInArrow(_run(_verified, percent=percent), "a long, b long")
+    work.freed("copies")
+    arrays = work.save(only(met, "left_semi").mapInArrow(_run(_sketches, **how), "id long, size long, sketch binary, wide binary"), "arrays")
+
+    def verify(pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs that link. Sketches rule most others out first, so that only sets of likely pairs are made and moved."""
+        one, two = (arrays.select(F.col("id").alias(x), F.col("size").alias(f"n{x}"), F.col("wide").alias(f"w{x}")) for x in "ab")
+        likely = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "wa", "wb").mapInArrow(_run(_bounded, percent=percent), "a long, b long")
+        likely = work.small(likely, f"{name}-likely", n)
+        compared = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        found = work.save(only(work.save(compared, f"{name}-ids", n), "left_semi").mapInArrow(_run(_arrays, **how), "id long, found binary"), f"{name}-sets")
+        both = likely.join(found.toDF("a", "x"), "a").join(found.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        return both.mapInArrow(_run(_verified, percent=percent), "a long, b long")
 
     # first each document with the one that it shares most signatures with; then only what is still apart
-    links = work.small(verify(best).unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "links", 2 * n)
+    links = work.small(verify(best, "first").unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))), "links", 2 * n)
+    work.freed("best", "met", "first-likely", "first-ids", "first-sets")
     first = work.save(components(links, work, "first"), "comps1", n)
     placed = work.save(inside.select("sig", "id").join(first, "id", "left").select("sig", "id", F.coalesce("comp", "id").alias("comp")), "placed")
+    work.freed("links")
     large = stars.where("id is null").groupBy("sig").agg(F.max("n").alias("n")).select("sig", (F.col("n") / BLOCK + 1).cast("int").alias("blocks"))
+    large = work.save(large, "large")
+    work.freed("stars")
     live = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig").join(large, "sig", "left").select("sig", F.coalesce("blocks", F.lit(1)).alias("blocks"))
     apart = placed.join(live, "sig").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     apart = apart.select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp").join(arrays.select("id", "size", "sketch"), "id").select("sig", "one", "two", "block", "id", "comp", "size", "sketch")
     pairs = work.small(apart.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two", "block").mapInArrow(_run(_pairs, percent=percent), "a long, b long").distinct(), "pairs", 2 * n)
-    second = work.small(verify(pairs).unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))), "links2", 2 * n)
+    work.freed("placed", "large")
+    second = work.small(verify(pairs, "second").unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))), "links2", 2 * n)
     final = work.save(components(second, work, "final"), "comps2", n)
-    work.drop("classes", "copies", "best", "met", "stars", "arrays", "links", "comps1", "placed", "pairs", "links2")
+    work.freed("classes", "arrays", "comps1", "pairs", "second-likely", "second-ids", "second-sets", "links2")
     return sets.join(final, "id", "left").select("id", "size", F.coalesce("comp", "id").alias("component_id"))
