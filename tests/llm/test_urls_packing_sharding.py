@@ -135,3 +135,34 @@ def test_sharding_small_tables(spark):
     df = spark.createDataFrame([], "doc_id long, source string")
     assert sharding.interleaved(df).collect() == []
     assert sorted(tuple(r) for r in sharding.interleaved(spark.createDataFrame([(1, "a"), (2, "a"), (3, None)], "doc_id long, source string"), shards=2).select("shard", "slot").collect()) == [(0, 0), (0, 1), (1, 0)]
+
+
+def test_sites_domains_and_suffixes(spark):
+    hosts = {"a.com:8080": ("a.com", "a.com", "com"), "u:p@w.a.com": ("w.a.com", "a.com", "com"), "u@x@b.co.uk:1": ("b.co.uk", "b.co.uk", "co.uk"), "w.me.github.io": ("w.me.github.io", "me.github.io", "github.io"), "x.gov.au": ("x.gov.au", "x.gov.au", "gov.au"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1", "10.0.0.1"), "com": ("com", "com", "com"), "co.uk": ("co.uk", "co.uk", "co.uk"), "": ("", "", ""), "a.b:": ("a.b", "a.b", "b")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").withColumn("s", url_filter.site_of(F.col("h")))
+    assert {r[0]: tuple(r[1:]) for r in rows.select("h", "s", url_filter.domain_of(F.col("s")), url_filter.suffix_of(F.col("s"))).collect()} == hosts
+
+
+def test_the_bound_blocks_and_ports_share_evidence(spark):
+    pages = [(i, f"http://{'u@' * (i % 2)}bad.a.xyz:80{i % 3}/{i}") for i in range(40)] + [(100 + i, f"http://good.b.xyz/{i}") for i in range(40)]
+    rows = spark.createDataFrame(pages, "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i < 40)) for i in [*range(40), *range(100, 140)]], "id long, bad int")
+    got = {r.page_id: r for r in url_filter.filtered(rows, outcomes, []).collect()}
+    assert len({(got[i].bad_rate, got[i].bad_bound, got[i].verdict) for i in range(40)}) == 1
+    assert got[0].verdict == "block" and got[0].bad_bound > 0.5 and got[0].bad_rate > got[0].bad_bound and got[100].verdict == "allow"
+    none = {r.verdict for r in url_filter.filtered(rows, outcomes, [], limit=got[0].bad_bound).collect()}
+    assert none == {"allow"}
+
+
+def test_op3_matches_its_sql(spark):
+    import duckdb
+
+    from tidemill.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.execute(queries.ORACLE_SQL["op3_url_filter"])
+    cols = [c[0] for c in want.description]
+    assert sorted(tuple(map(str, r)) for r in queries.op3_url_filter(spark, sf).select(*cols).collect()) == sorted(tuple(map(str, r)) for r in want.fetchall())

@@ -115,25 +115,30 @@ def _posterior_sql(name: str, source: str, parent: str, more: str) -> str:
 
 
 def _op3() -> str:
-    longs = ", ".join(f"'{x}'" for x in url_filter.LONG_SUFFIXES)
+    """Written from the contract: a label is of the document that the path names, and a site is a host without user and port."""
+    shared = ", ".join(f"'{x}'" for x in url_filter.SHARED_SUFFIXES)
+    second = ", ".join(f"'{x}'" for x in url_filter.SECOND_LEVEL)
     ordered = sorted(PATH_RULES, key=lambda r: (-len(r.rule), r.rule))
     case = lambda what: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, what)}'" for r in ordered) + " END"
     return rf"""
 WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-seen AS (SELECT host, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END)::BIGINT AS bad FROM u JOIN labels ON page_id = doc_id WHERE host <> '' GROUP BY host),
-parts AS (SELECT *, string_split(host, '.') AS l FROM seen),
-cut AS (SELECT host, n, bad, array_to_string(l[-1:], '.') AS one, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three FROM parts),
-hosts AS (SELECT host, n, bad, CASE WHEN regexp_matches(host, '^[0-9.]+(:[0-9]+)?$') THEN host WHEN two IN ({longs}) THEN three ELSE two END AS domain, CASE WHEN two IN ({longs}) THEN two ELSE one END AS suffix FROM cut),
+p AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS steps, string_split(host, '@')[-1] AS named FROM u),
+q AS (SELECT *, regexp_replace(named, ':[0-9]*$', '') AS site, CASE WHEN len(steps) = 2 AND steps[1] IN ('de', 'en', 'es', 'fr') AND path IN ('/' || steps[1] || '/' || steps[2], '/' || steps[1] || '/' || steps[2] || '/') AND regexp_full_match(steps[2], '[0-9]+(\.html)?') THEN TRY_CAST(string_split(steps[2], '.')[1] AS BIGINT) END AS doc FROM p),
+seen AS (SELECT site AS host, count(*) AS n, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END)::BIGINT AS bad FROM q JOIN labels ON doc = doc_id WHERE site <> '' GROUP BY site),
+parts AS (SELECT *, string_split(host, '.') AS l, regexp_full_match(host, '[0-9.]+') OR starts_with(host, '[') AS address FROM seen),
+cut AS (SELECT host, n, bad, address, array_to_string(l[-1:], '.') AS one, array_to_string(l[-2:], '.') AS two, array_to_string(l[-3:], '.') AS three,
+  (len(l) >= 2 AND l[-2] IN ({second}) AND regexp_full_match(l[-1], '[a-z][a-z]')) OR array_to_string(l[-2:], '.') IN ({shared}) AS long FROM parts),
+hosts AS (SELECT host, n, bad, CASE WHEN address THEN host WHEN long THEN three ELSE two END AS domain, CASE WHEN address THEN host WHEN long THEN two ELSE one END AS suffix FROM cut),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL),
 overall AS (SELECT round((coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2), 9) AS o FROM suffixes),
 {_posterior_sql("top", "(SELECT * FROM suffixes, overall)", "o", "suffix").strip()},
 {_posterior_sql("middle", "(SELECT d.*, mean FROM domains d JOIN top USING (suffix))", "mean", "domain, suffix").strip()},
-{_posterior_sql("host", "(SELECT h.*, mean FROM hosts h JOIN middle USING (domain, suffix))", "mean", "host").strip()}
-SELECT page_id, host, path, {case("rule")} AS rule, round(mean, 6) AS bad_rate,
-  coalesce({case("action")}, CASE WHEN mean - {url_filter.DEVIATIONS} * sqrt(mean * (1 - mean) / (weight + 1)) > {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
-FROM u LEFT JOIN host USING (host)"""
+{_posterior_sql("host", "(SELECT h.*, mean FROM hosts h JOIN middle USING (domain, suffix))", "mean", "host AS site").strip()},
+judged AS (SELECT page_id, q.host, path, mean, round(mean - {url_filter.DEVIATIONS} * sqrt(mean * (1 - mean) / (weight + 1)), 6) AS bad_bound FROM q LEFT JOIN host USING (site))
+SELECT page_id, host, path, {case("rule")} AS rule, round(mean, 6) AS bad_rate, bad_bound, coalesce({case("action")}, CASE WHEN bad_bound > {url_filter.LIMIT} THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged"""
 
 
 # CRC-32 by its rule: 3988292384 is its polynomial, bits reversed

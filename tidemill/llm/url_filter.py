@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ._common import Workspace
 
-#: Suffixes of two labels under which names are registered.
-LONG_SUFFIXES = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
+#: Under a country's code these labels are part of the suffix, as in ``co.uk`` or ``gov.au``.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gov", "gv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+#: Names under which others register, beside that rule.
+SHARED_SUFFIXES = ("blogspot.com", "firebaseapp.com", "github.io", "gitlab.io", "herokuapp.com", "netlify.app", "pages.dev", "vercel.app", "web.app", "wordpress.com")
 #: A host is blocked when its posterior bad rate less so many standard deviations is over LIMIT.
 DEVIATIONS = 1.0
 LIMIT = 0.5
@@ -55,14 +57,28 @@ def document_of(url: Column) -> Column:
     return F.regexp_extract(path_of(url), "^/(?:de|en|es|fr)/([0-9]+)(?:[.]html)?/?$", 1).try_cast("long")
 
 
-def suffix_of(host: Column) -> Column:
-    last, two = F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(last)
+def site_of(host: Column) -> Column:
+    """``host`` without user information and port: what it is known by. Rules and results keep the host as it is."""
+    return F.regexp_replace(F.regexp_replace(host, "(?s)^.*@", ""), ":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    two, three = F.substring_index(host, ".", -2), F.substring_index(host, ".", -3)
-    return F.when(host.rlike("^[0-9.]+(:[0-9]+)?$"), host).when(two.isin(*LONG_SUFFIXES), three).otherwise(two)
+def _is_address(site: Column) -> Column:
+    return site.rlike("^[0-9.]+$") | site.startswith("[")
+
+
+def _long_suffix(site: Column, shared: tuple[str, ...]) -> Column:
+    """Whether the last two labels are a suffix: a label of SECOND_LEVEL under two letters, or one of ``shared``."""
+    return F.substring_index(site, ".", -2).rlike(f"^({'|'.join(SECOND_LEVEL)})[.][a-z][a-z]$") | F.substring_index(site, ".", -2).isin(*shared)
+
+
+def suffix_of(site: Column, shared: tuple[str, ...] = SHARED_SUFFIXES) -> Column:
+    """The suffix of a site (``site_of``); an address is its own."""
+    return F.when(_is_address(site), site).when(_long_suffix(site, shared), F.substring_index(site, ".", -2)).otherwise(F.substring_index(site, ".", -1))
+
+
+def domain_of(site: Column, shared: tuple[str, ...] = SHARED_SUFFIXES) -> Column:
+    """The registered domain: one label more than the suffix; an address is its own."""
+    return F.when(_is_address(site), site).when(_long_suffix(site, shared), F.substring_index(site, ".", -3)).otherwise(F.substring_index(site, ".", -2))
 
 
 def rule_of(host: Column, path: Column, rules: list[PathRule]) -> tuple[Column, Column]:
@@ -89,14 +105,15 @@ def _posterior(groups: DataFrame, parent: Column) -> DataFrame:
     return groups.withColumn("mean", F.round((F.col("bad") + fitted * p) / weight, 9)).withColumn("weight", weight).drop("parent")
 
 
-def reputations(outcomes: DataFrame) -> DataFrame:
+def reputations(outcomes: DataFrame, shared: tuple[str, ...] = SHARED_SUFFIXES) -> DataFrame:
     """``outcomes(host, bad)`` with bad 0 or 1 -> ``(host, mean, weight)``; rows with a null are not counted.
 
-    Counts are partial aggregates, so a hot host costs one row a task; levels are joined by their key.
+    ``host`` is a site as ``site_of`` gives it. Counts are partial aggregates, so a hot host costs one row a
+    task; levels are joined by their key.
     """
     work = Workspace(outcomes.sparkSession, "urls")
     seen = outcomes.where("host is not null and bad is not null").groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-    hosts = work.save(seen.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    hosts = work.save(seen.withColumn("domain", domain_of(F.col("host"), shared)).withColumn("suffix", suffix_of(F.col("host"), shared)), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     # with one observation of either kind added, the overall rate is never 0 or 1
@@ -106,19 +123,22 @@ def reputations(outcomes: DataFrame) -> DataFrame:
     return _posterior(hosts.join(middle, ["domain", "suffix"]), F.col("of_domain")).select("host", "mean", "weight")
 
 
-def filtered(pages: DataFrame, outcomes: DataFrame, rules: list[PathRule], *, id_col: str = "page_id", url_col: str = "url", label: Column | None = None) -> DataFrame:
-    """Every row of ``pages`` as ``(id, host, path, rule, bad_rate, verdict)``.
+def filtered(pages: DataFrame, outcomes: DataFrame, rules: list[PathRule], *, id_col: str = "page_id", url_col: str = "url", label: Column | None = None, limit: float = LIMIT, deviations: float = DEVIATIONS, shared: tuple[str, ...] = SHARED_SUFFIXES) -> DataFrame:
+    """Every row of ``pages`` as ``(id, host, path, rule, bad_rate, bad_bound, verdict)``.
 
-    ``outcomes(id, bad)`` holds labels by the value of ``label`` over ``pages``: the page's id, unless given. A rule decides where one fits. Otherwise the
-    page is blocked when its host's posterior bad rate, less ``DEVIATIONS`` standard deviations, is
-    over ``LIMIT``; hosts without an outcome, and urls without a host, are allowed. Null urls have
-    an empty host and path. Ids that repeat are judged row by row; each of their labels counts once per row.
+    ``outcomes(id, bad)`` holds labels by the value of ``label`` over ``pages``: the page's id, unless given. A
+    rule decides where one fits. Otherwise the page is blocked when ``bad_bound``, its site's posterior bad rate
+    less ``deviations`` standard deviations, is over ``limit``; sites without an outcome, and urls without a
+    host, have null figures and are allowed. A site is the host without user information and port; ``shared``
+    are suffixes beside those of countries. Null urls have an empty host and path. Ids that repeat are judged
+    row by row; each of their labels counts once per row. Other columns aren't read.
     """
     url = F.col(url_col)
-    parts = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
-    labelled = pages.select((F.col(id_col) if label is None else label).alias("id"), host_of(url).alias("host")).where("host <> ''").join(outcomes.select("id", "bad"), "id")
-    known = reputations(labelled.select("host", "bad"))
+    parts = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("__site", site_of(F.col("host")))
+    labelled = pages.select((F.col(id_col) if label is None else label).alias("id"), site_of(host_of(url)).alias("host")).where("host <> ''").join(outcomes.select("id", "bad"), "id")
+    known = reputations(labelled.select("host", "bad"), shared).withColumnRenamed("host", "__site")
     action, rule = rule_of(F.col("host"), F.col("path"), rules)
-    lower = F.col("mean") - DEVIATIONS * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
-    own = F.when(F.coalesce(lower > LIMIT, F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
-    return parts.join(known, "host", "left").select(F.col(id_col), "host", "path", rule.alias("rule"), F.round("mean", 6).alias("bad_rate"), F.coalesce(action, own).alias("verdict"))
+    mean = F.col("mean")
+    bound = F.round(mean - F.lit(float(deviations)) * F.sqrt(mean * (1 - mean) / (F.col("weight") + 1)), 6)
+    own = F.when(F.coalesce(bound > limit, F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
+    return parts.join(known, "__site", "left").select(F.col(id_col), "host", "path", rule.alias("rule"), F.round("mean", 6).alias("bad_rate"), bound.alias("bad_bound"), F.coalesce(action, own).alias("verdict"))
