@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemill.functions import jsons, narration, times
 from tidemill.functions import text as tx
 from tidemill.operators import render, text_packing
+from tidemill.sources import archive
 
 
 def one(spark, column):
@@ -14,11 +15,25 @@ def one(spark, column):
 
 
 def test_sampling(spark):
-    text = "a" * 300 + "MIDDLE" + "b" * 300 + "ENDING"
-    got = one(spark, tx.selected_content(F.lit(text), 300, "head-middle-tail"))
-    assert len(got) <= 300 and got.endswith("ENDING") and "... middle ..." in got
-    assert one(spark, tx.selected_content(F.lit("x" * 1000), 500)) == "x" * 500
-    assert one(spark, tx.selected_content(F.lit("short"), 500, "head-middle-tail")) == "short"
+    text = "A" * 1000 + "MIDDLE-MARKER" + "B" * 1000 + "ENDING-MARKER"
+    got = one(spark, tx.selected_content(F.lit(text), 600, "head-middle-tail"))
+    assert len(got) <= 600 and got.startswith("[Opening excerpt]\nA") and got.endswith("ENDING-MARKER")
+    assert "A\n\n[Middle excerpt]\nA" in got and "MIDDLE-MARKER" in got and "B\n\n[Closing excerpt]\nB" in got
+    assert one(spark, tx.selected_content(F.lit("0123456789" * 100), 500)) == "0123456789" * 50
+    assert one(spark, tx.selected_content(F.lit("  short\u3000\n"), 500, "head-middle-tail")) == "short"
+    assert one(spark, tx.selected_content(F.lit("ab " * 9), 6)) == "ab ab"
+    assert one(spark, tx.selected_content(F.lit(None).cast("string"), 6)) is None
+
+
+def test_interests(spark):
+    source = lambda kind, description, tags, **config: (kind, description, tags, config)
+    presets = [(0, "code", ["python", "rust", "go", "zig"], [source("rss", "Weekly python news", ["ml"], url="https://a.b/x"), source("github_repo", "x", None, owner="o", repo="r")]), (1, "other", [], [source("rss", "again", ["python"], url="https://a.b/x")])]
+    domains = spark.createDataFrame(presets, "ord int, domain string, keywords array<string>, sources array<struct<type:string,description:string,tags:array<string>,config:map<string,string>>>")
+    rows = spark.createDataFrame([(1, "I like Python"), (2, "machine learning"), (3, None), (4, "")], "id int, text string")
+    got = {(r.id, r.domain): round(r.score, 9) for r in archive.interest_scores(rows, domains).collect()}
+    assert got == {(1, "code"): 0.25, (1, "other"): 0.3}
+    found = {(r.id, r.source): round(r.score, 9) for r in archive.source_scores(rows, domains, {"ML": ["machine learning"]}).collect()}
+    assert found == {(1, "rss:https://a.b/x"): round(1.3 / 3, 9), (1, "github_repo:o/r"): round(1 / 3, 9), (2, "rss:https://a.b/x"): 0.25}
 
 
 def test_parts(spark):
@@ -28,7 +43,8 @@ def test_parts(spark):
 
 
 def test_escapes(spark):
-    assert one(spark, tx.escaped_markdown(F.lit("a*b_[c](d) <x> & \n#1"))) == "a\\*b\\_\\[c\\]\\(d\\) &lt;x&gt; &amp;  \\#1"
+    assert one(spark, tx.escaped_markdown(F.lit("a*b_[c](d) <x> & \n#1"))) == "a\\*b\\_\\[c\\]\\(d\\) &lt;x&gt; &amp; \n\\#1"
+    assert one(spark, tx.escaped_markdown(F.lit("1. one\n- two - 2\n   + three\n    - code\n2) x\na|b~c's"))) == "\\1. one\n\\- two - 2\n   \\+ three\n    - code\n2\\) x\na|b~c's"
     assert one(spark, tx.balanced_highlights(F.lit("a <mark>b</mark> </mark> <mark>c"))) == "a <mark>b</mark>  <mark>c</mark>"
     assert one(spark, tx.spaced_scripts(F.lit("中文abc中"))) == "中文 abc 中"
     assert one(spark, tx.ellipsis(F.lit("é" * 10), 8)) == "ééééé..."

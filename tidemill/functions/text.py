@@ -13,9 +13,11 @@ from .udfs import vectorized
 
 #: What divides a body from its discussion, and what marks cuts.
 COMMENTS = "--- Top Comments ---"
-MIDDLE, ENDING = "\n\n[... middle ...]\n\n", "\n\n[... ending ...]\n\n"
-#: White space as Python's ``strip`` sees it within ASCII.
-GAPS = " \t\n\r\f\x0b\x1c\x1d\x1e\x1f"
+OPENING, MIDDLE, CLOSING = "[Opening excerpt]\n", "\n\n[Middle excerpt]\n", "\n\n[Closing excerpt]\n"
+#: White space as Python's ``strip`` sees it.
+GAPS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same as the inside of a character class.
+GAP_CLASS = "\\x09-\\x0d\\x1c-\\x20\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 
 
 def strip(x: Column) -> Column:
@@ -29,17 +31,20 @@ def content_parts(content: Column, marker: str = COMMENTS) -> Column:
 
 
 def selected_content(content: Column, limit: int, sampling: str = "prefix") -> Column:
-    """At most ``limit`` characters: the beginning, or beginning (40 %), middle (30 %) and ending between markers."""
-    n = F.length(content)
-    prefix = F.rtrim(F.substring(content, 1, limit))
-    room = limit - len(MIDDLE) - len(ENDING)
-    if sampling == "prefix" or room < 3:
-        return F.when(n <= limit, content).otherwise(prefix)
+    """The stripped text, at most ``limit`` characters of it: the beginning, or excerpts from its beginning (40 % of the
+    room), middle (30 %) and ending, each with a heading and without white space at its cuts. Limits too small for
+    the headings give the beginning.
+    """
+    text = strip(content)
+    n, gaps = F.length(text), F.lit(GAPS)
+    room = limit - len(OPENING) - len(MIDDLE) - len(CLOSING)
+    if sampling == "prefix" or room < 4:
+        return F.when(n <= limit, text).otherwise(F.rtrim(F.substring(text, 1, limit), gaps))
     first, middle = int(room * 0.4), int(room * 0.3)
     last = room - first - middle
-    at = F.floor((n - middle) / 2).cast("int")
-    cut = F.concat(F.substring(content, 1, first), F.lit(MIDDLE), F.substring(content, at + 1, F.lit(middle)), F.lit(ENDING), F.substring(content, n - last + 1, F.lit(last)))
-    return F.when(n <= limit, content).otherwise(cut)
+    at = F.floor(n / 2).cast("int") - middle // 2
+    cut = F.concat(F.lit(OPENING), F.rtrim(F.substring(text, 1, first), gaps), F.lit(MIDDLE), strip(F.substring(text, at + 1, F.lit(middle))), F.lit(CLOSING), F.ltrim(F.substring(text, n - last + 1, F.lit(last)), gaps))
+    return F.when(n <= limit, text).otherwise(cut)
 
 
 @vectorized("string")
@@ -64,9 +69,12 @@ def ellipsis(text: Column, limit: int, dots: str = "...") -> Column:
 
 
 def escaped_markdown(text: Column) -> Column:
-    """Markdown's own characters escaped, markup made entities, line breaks made spaces."""
-    plain = F.regexp_replace(F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), "[\\r\\n]+", " ")
-    return F.regexp_replace(plain, "([\\\\`*_{}\\[\\]()#+!|~-])", "\\\\$1")
+    """Text that Markdown shows as it is: markup as entities, its own characters escaped, and so what begins a list at
+    the start of a line (after up to three spaces). Line breaks stay; quotes, ``+``, ``|``, ``~`` and ``-`` within a line too.
+    """
+    plain = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    inline = F.regexp_replace(plain, "[\\\\`*_{}\\[\\]()#!]", "\\\\$0")
+    return F.regexp_replace(inline, "(?md)^( {0,3})(?=[-+] |\\p{Nd}+[.] )", "$1\\\\")
 
 
 def spaced_scripts(text: Column) -> Column:

@@ -69,7 +69,7 @@ def _items(t):
 
 
 @query("""
-WITH i AS (SELECT doc_id, source, substring(text, 1, 200) AS content, substring(text, 1, 40) AS k, lang FROM documents),
+WITH i AS (SELECT doc_id, source, text AS content, md5(lower(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) AS k, lang FROM documents),
 g AS (SELECT list({'doc_id': doc_id, 'source': source, 'content': content} ORDER BY doc_id) AS g FROM i GROUP BY k, lang),
 p AS (SELECT g, list_position(list_transform(g, lambda x: length(x.content)), list_max(list_transform(g, lambda x: length(x.content)))) AS k0 FROM g),
 o AS (SELECT g, g[k0] AS p, list_filter(g, lambda x, i: i <> k0 AND x.content <> '') AS rest FROM p)

@@ -11,9 +11,15 @@ from ..sources import archive, feeds, pages
 from .registry import query
 
 
+_GAPS = "".join(f"chr({ord(c)}) || " for c in tx.GAPS).removesuffix(" || ")
+
+
 @query(f"""
-SELECT doc_id, CASE WHEN length(text) <= 600 THEN text ELSE substring(text, 1, f) || m1 || substring(text, CAST(floor((length(text) - mid) / 2.0) AS BIGINT) + 1, mid) || m2 || substring(text, length(text) - l + 1, l) END AS content
-FROM (SELECT *, room - f - mid AS l FROM (SELECT *, CAST(floor(room * 0.4) AS BIGINT) AS f, CAST(floor(room * 0.3) AS BIGINT) AS mid FROM (SELECT doc_id, text, '{tx.MIDDLE}' AS m1, '{tx.ENDING}' AS m2, 600 - {len(tx.MIDDLE) + len(tx.ENDING)} AS room FROM documents)))""")
+WITH s AS (SELECT doc_id, trim(text, {_GAPS}) AS t, {_GAPS} AS gaps FROM documents),
+n AS (SELECT *, length(t) AS n, 600 - length('[Opening excerpt].' || '..[Middle excerpt].' || '..[Closing excerpt].') AS room FROM s),
+k AS (SELECT *, CAST(floor(room * 0.4) AS BIGINT) AS f, CAST(floor(room * 0.3) AS BIGINT) AS m FROM n)
+SELECT doc_id, CASE WHEN n <= 600 THEN t ELSE '[Opening excerpt]' || chr(10) || rtrim(substring(t, 1, f), gaps) || chr(10) || chr(10) || '[Middle excerpt]' || chr(10) || trim(substring(t, n // 2 - m // 2 + 1, m), gaps)
+  || chr(10) || chr(10) || '[Closing excerpt]' || chr(10) || ltrim(right(t, room - f - m), gaps) END AS content FROM k""")
 def content_sample(t):
     return t("documents").select("doc_id", tx.selected_content(F.col("text"), 600, "head-middle-tail").alias("content"))
 
@@ -23,7 +29,7 @@ def truncate_ellipsis(t):
     return t("conversations").select("conv_id", "turn", tx.ellipsis(F.col("text"), 80).alias("title"))
 
 
-@query(r"SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '[\r\n]+', ' ', 'g'), '([\\`*_{}\[\]()#+!|~-])', '\\\1', 'g') AS md FROM documents")
+@query(r"SELECT doc_id, regexp_replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '([\\`*_{}\[\]()#!])', '\\\1', 'g'), '(?m)^( {0,3})([-+] |\p{Nd}+[.] )', '\1\\\2', 'g') AS md FROM documents")
 def escape_markdown(t):
     return t("documents").select("doc_id", tx.escaped_markdown(F.col("text")).alias("md"))
 
@@ -123,11 +129,15 @@ def tag_normalize(t):
     return t("documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.transform(tags, plain_tag))), ",").alias("tags"))
 
 
-@query("SELECT doc_id, least(1.0, 1.0 * list_contains(string_split(lower(title), ' '), 'the')::INT + 0.3 * (NOT list_contains(string_split(lower(title), ' '), 'the') AND contains(lower(title), 'the'))::INT) AS score FROM (SELECT doc_id, regexp_replace(substring(text, 1, 100), '[^\\pL\\pM\\p{Nd}\\p{Pc}+#.-]+', ' ', 'g') AS title FROM documents) WHERE contains(lower(title), 'the')")
+@query("""
+WITH p(domain, keywords, tags) AS (VALUES ('d', ['the', 'Data', 'zebra', 'Lorem'], ['time', 'of']), ('e', ['quick'], ['ing']), ('none', []::VARCHAR[], ['the'])),
+s AS (SELECT doc_id, domain, least(1.0, (1.0 * len(list_filter(keywords, lambda k: contains(lower(text), lower(k)))) + 0.3 * len(list_filter(tags, lambda k: contains(lower(text), lower(k))))) / greatest(len(keywords), 1)) AS score FROM documents, p)
+SELECT doc_id, domain, CAST(score AS DOUBLE) AS score FROM s WHERE score >= 0.1""")
 def interest_match(t):
     spark = t("documents").sparkSession
-    domains = spark.createDataFrame([("d", ["the"])], "domain string, keywords array<string>")
-    return archive.interest_scores(t("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 100).alias("text")), domains).select(F.col("id").alias("doc_id"), "score")
+    presets = [("d", ["the", "Data", "zebra", "Lorem"], [(["time"],), (["of"],)]), ("e", ["quick"], [(["ing"],), (None,)]), ("none", [], [(["the"],)])]
+    domains = spark.createDataFrame(presets, "domain string, keywords array<string>, sources array<struct<tags:array<string>>>")
+    return archive.interest_scores(t("documents").select(F.col("doc_id").alias("id"), "text"), domains).withColumnRenamed("id", "doc_id")
 
 
 @query()

@@ -55,17 +55,54 @@ def merged_config(existing: DataFrame, new: DataFrame) -> DataFrame:
     return keep_first(keyed, "__key", order="__o").drop("__key", "__new", "__o")
 
 
-def interest_scores(interests: DataFrame, domains: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """``interests(id, text)`` against the preset domains: 1 for a keyword that is a word of the text, 0.3 for one within it, at most 1.
+def _said(low: Column, words: Column) -> Column:
+    """How many of the words a lower-cased text holds, as a word or within one."""
+    return F.size(F.filter(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.contains(low, F.lower(w)))).cast("double")
 
-    Presets are a fixed table of a few rows, so the pairing is bounded by the interests; what is scored is
-    a substring, which no equality join can find.
+
+def interest_scores(interests: DataFrame, domains: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """``interests(id, text)`` against the preset ``domains(domain, keywords, sources)`` -> ``(id, domain, score)``.
+
+    A keyword that the text holds gives 1, a tag of one of the domain's sources 0.3, over the number of keywords (at
+    least 1) and at most 1; scores under ``threshold`` are left out. ``sources`` are structs with ``tags``. A null
+    text scores nothing. Presets are a fixed table of a few rows, so the pairing is bounded by the interests; what
+    is scored is a substring, which no equality join can find.
+    """
+    pairs = interests.select("id", "text").join(F.broadcast(domains.select("domain", "keywords", "sources")))
+    low = F.lower("text")
+    tags = F.flatten(F.transform("sources", lambda s: F.coalesce(s["tags"], F.array().cast("array<string>"))))
+    score = (_said(low, F.col("keywords")) + 0.3 * _said(low, tags)) / F.greatest(F.size("keywords"), F.lit(1))
+    return pairs.select("id", "domain", F.least(score, F.lit(1.0)).alias("score")).where((F.col("score") >= threshold) & F.col("text").isNotNull())
+
+
+def source_scores(interests: DataFrame, domains: DataFrame, aliases: dict[str, list[str]] | None = None, threshold: float = 0.1) -> DataFrame:
+    """``interests(id, text)`` against each preset source -> ``(id, source, score)``, a source by its key (``preset_key``), in its first domain.
+
+    A keyword of the domain gives 1, a tag or one of its ``aliases`` 0.5, a word of at least three characters that is
+    also one of the source's description 0.3, over the number of distinct words of the text (at least 1) and at most 1.
+    ``domains(ord, keywords, sources)`` with structs of ``type``, ``description``, ``tags`` and ``config``.
     """
-    words = F.split(F.lower("text"), "(?U)[^\\w+#.-]+")
-    pairs = interests.select("id", "text", words.alias("words")).join(F.broadcast(domains.select("domain", "keywords").distinct()))
+    each = domains.select("ord", "keywords", F.posexplode("sources").alias("at", "s")).withColumn("source", preset_key(F.col("s.type"), F.col("s.config")))
+    first = each.groupBy("source").agg(F.min_by(F.struct("keywords", "s"), F.struct("ord", "at")).alias("x")).select("source", "x.keywords", "x.s.tags", "x.s.description")
+    known = F.create_map([F.lit(x) for k, v in (aliases or {}).items() for x in (k.lower(), "\x1f".join(v))]) if aliases else None
     low = F.lower("text")
-    score = F.aggregate(F.transform("keywords", F.lower), F.lit(0.0), lambda acc, k: acc + F.when(F.array_contains(F.col("words"), k), 1.0).when(F.contains(low, k), 0.3).otherwise(0.0))
-    return pairs.select("id", "domain", F.least(score, F.lit(1.0)).alias("score")).where(F.col("score") >= threshold)
+    words = F.array_distinct(F.array_remove(F.split(F.trim(F.regexp_replace(low, f"[{tx.GAP_CLASS}]+", " ")), " "), ""))
+    forms = lambda t: F.array(t) if known is None else F.concat(F.array(t), F.coalesce(F.split(F.try_element_at(known, F.lower(t)), "\x1f"), F.array().cast("array<string>")))
+    tagged = F.size(F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda t: _said(low, forms(t)) > 0))
+    shared = F.size(F.filter(F.array_intersect(words, F.split(F.lower(F.coalesce("description", F.lit(""))), f"[{tx.GAP_CLASS}]+")), lambda w: F.length(w) >= 3))
+    score = (_said(low, F.col("keywords")) + 0.5 * tagged + 0.3 * shared) / F.greatest(F.size(words), F.lit(1))
+    pairs = interests.select("id", "text").where("text is not null").join(F.broadcast(first))
+    return pairs.select("id", "source", F.least(score, F.lit(1.0)).alias("score")).where(F.col("score") >= threshold)
+
+
+def preset_key(kind: Column, config: Column) -> Column:
+    """What makes a preset source the same as another: the type with its own name as it is written, else its whole configuration."""
+    get = lambda k: F.coalesce(F.try_element_at(config, F.lit(k)), F.lit(""))
+    named = F.when(kind == "rss", F.concat(F.lit("rss:"), get("url"))).when(kind == "reddit_subreddit", F.concat(F.lit("reddit:"), get("subreddit")))
+    for one in ("reddit_user", "github_user"):
+        named = named.when(kind == one, F.concat(F.lit(f"{one}:"), get("username")))
+    named = named.when(kind == "github_repo", F.concat(F.lit("github_repo:"), get("owner"), F.lit("/"), get("repo"))).when(kind == "telegram", F.concat(F.lit("telegram:"), get("channel")))
+    return named.otherwise(F.concat(F.coalesce(kind, F.lit("")), F.lit(":"), F.to_json(F.map_from_entries(F.array_sort(F.map_entries(config))))))
 
 
 def profiles(spark: SparkSession, folder: str) -> DataFrame:
