@@ -100,10 +100,28 @@ def test_spoken_chunks():
     assert text_packing._spoken_chunks("") == [] and text_packing._spoken_chunks("a.\n\nb.") == ["a. b."]
 
 
-def test_captions():
-    seg = lambda *t: [{"start": float(i), "end": i + 1.0, "text": x} for i, x in enumerate(t)]
-    got = text_packing._captions(seg("hello", "hello", "hello world", "world again", "again"))
-    assert [(s["start"], s["end"], s["text"]) for s in got] == [(0.0, 3.0, "hello world"), (3.0, 5.0, "again")]
+def test_chunks_are_whole_even_and_within_bounds():
+    made = lambda t: text_packing._spoken_chunks(t)
+    sentences = lambda n, w="слово": " ".join(f"{w.capitalize()} номер {i} стоит тут." for i in range(n))
+    sizes = [len(p) for p in made(sentences(200))]
+    assert len(sizes) > 3 and max(sizes) <= 400 and min(sizes) >= 120 and max(sizes) - min(sizes) < 200
+    assert " ".join(made(sentences(200))).split() == sentences(200).split()
+    assert made("Коротко.\n\n" + sentences(6)) == ["Коротко. " + sentences(6)]
+    assert all("\r" not in p and p.endswith(".") for p in made("\r\n\r\n".join([sentences(30)] * 3)))
+    assert len(made("слово " * 400)) == 1 and made("\n\n   \n\n") == []
+    shape = "Короткий заголовок.\n\nЛид. " + "Слово всякое разное тут. " * 30 + "\n\nБлок. " + "Текст. " * 100
+    assert max(map(len, made(shape))) <= 400 and min(map(len, made(shape))) >= 120
+
+
+def test_captions(spark):
+    seg = lambda *t: [(float(i), i + 1.0, x) for i, x in enumerate(t)]
+    cases = [seg("hello", "hello", "hello world", "world again", "again"), seg("hello world", "hello world this is a test", "unrelated"), seg("abc def", "def ghi"), seg("abc", "xyz"), seg("long abcdefgh", "abcdefghij"), seg("x abc", "abcd"), [], None]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, s array<struct<start:double,end:double,text:string>>")
+    got = [r[0] and [tuple(x) for x in r[0]] for r in rows.orderBy("i").select(text_packing.rolled_captions(F.col("s"))).collect()]
+    assert got[0] == [(0.0, 3.0, "hello world"), (3.0, 5.0, "again")]
+    assert [x[2] for x in got[1]] == ["hello world this is a test", "unrelated"]
+    assert [[x[2] for x in g] for g in got[2:6]] == [["abc def", "ghi"], ["abc", "xyz"], ["long abcdefgh", "ij"], ["x abc", "abcd"]]
+    assert got[6:] == [[], None]
 
 
 def test_narration():
@@ -112,6 +130,30 @@ def test_narration():
     assert say("стоит $567 млн, 21 % и 11 тыс. т.е. 3.5 API") == "стоит пятьсот шестьдесят семь миллионов долларов, двадцать один процент и одиннадцать тысяч то есть три точка пять эй-пи-ай"
     assert say("§ 30-8-1 v1.36, x>=2") == "§ 30-8-1 v один точка тридцать шесть, x не ниже два"
     assert say("## Заголовок\nтекст https://a.b/c [1]") == "текст"
+    cases = {
+        "вышел 6 августа 2026 года.": "вышел шестого августа две тысячи двадцать шестого года.",
+        "занятие длится 90 минут": "занятие длится девяносто минут",
+        "подтверждается релизами \\[tool-2-1\\]\\[tool-2-2\\].": "подтверждается релизами.",
+        "подробнее https://example.com/a/b тут": "подробнее тут",
+        r"проверено \(tool-2-2, tool-2-3\), готово": "проверено, готово",
+        "тест [tool-2-1] конец tool-1-2": "тест конец",
+        "(https://a.b/c) x": "x",
+        r"число \[1\] тут": "число тут",
+        "роботы, IoT и т.д.": "роботы, IoT и так далее",
+        "Последняя мысль.\n\n## Блоги": "Последняя мысль.",
+        "тег #Тема тут": "тег #Тема тут",
+        "целые GPU и CLI": "целые джи-пи-ю и си-эл-ай",
+        "протокол MCP и JSON": "протокол эм-си-пи и джейсон",
+        "Kubernetes и Docker": "Kubernetes и Docker",
+        "на MI300X через AWS": "на MI300X через эй-дабл-ю-эс",
+        "1.2.3 и 1-2 и A-100": "1.2.3 и 1-2 и A-100",
+        "10 000 строк, 1.5rc2": "десять тысяч строк, один точка пять эр-си два",
+        "a &lt; 5": "a меньше пять",
+        "$2 и $1,5 млн": "два доллара и один точка пять миллиона долларов",
+    }
+    assert {k: say(k) for k in cases} == cases
+    assert [narration.number(n) for n in (0, 21, 1000, 2002, 10**6 + 12, 10**15)] == ["ноль", "двадцать один", "одна тысяча", "две тысячи два", "один миллион двенадцать", "1000000000000000"]
+    assert [narration.ordinal(n) for n in (3, 21, 100, 1990, 2000, 2013, 11000)] == ["третий", "двадцать первый", "сотый", "одна тысяча девятьсот девяностый", "двухтысячный", "две тысячи тринадцатый", "одиннадцатьтысячный"]
 
 
 def rows_for_issue(spark):

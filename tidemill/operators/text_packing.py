@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import pandas as pd
@@ -42,8 +43,6 @@ def truncated_segments(text: Column, limit: int, separator: str) -> Column:
         over = acc["full"] | (F.length(longer) > limit)
         return F.when(acc["s"].isNull(), F.struct(part.alias("s"), F.lit(False).alias("full"))).otherwise(F.struct(F.when(over, acc["s"]).otherwise(longer).alias("s"), over.alias("full")))
 
-    import re
-
     return F.aggregate(F.split(text, re.escape(separator)), start, step, lambda acc: acc["s"])
 
 
@@ -55,82 +54,83 @@ def sampled_frames(frames: Column, limit: int) -> Column:
     return F.when(F.size(frames) <= limit, frames).otherwise(F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda i: F.element_at(frames, (F.bround(i * step) + 1).cast("int"))))
 
 
+_SENTENCE_END = re.compile(r"(?<=[.!?…])\s+")
+
+
 def _sentences(text: str) -> list[str]:
-    import re
-
-    paragraphs = re.split(r"\n[ \t]*\n", "\n".join(text.splitlines()))
-    flat = (" ".join(filter(None, (line.strip() for line in p.split("\n")))) for p in paragraphs)
-    return [s for p in flat for s in re.split(r"(?<=[.!?…])\s+", p) if s]
-
-
-def _filled(sentences: list[str], share: float) -> list[str]:
-    """Sentences joined up to a share, further while a piece is below the floor, never over the ceiling by joining."""
-    out = sentences[:1]
-    for s in sentences[1:]:
-        size = len(out[-1]) + 1 + len(s)
-        if size <= MAX_CHUNK and (size <= share or len(out[-1]) < MIN_CHUNK):
-            out[-1] += " " + s
-        else:
-            out.append(s)
+    """Sentences in order; none runs over an empty line, and a line's end within one is a space."""
+    out, paragraph = [], []
+    for line in [*text.splitlines(), ""]:
+        if line.strip():
+            paragraph.append(line.strip())
+        elif paragraph:
+            out += _SENTENCE_END.split(" ".join(paragraph))
+            paragraph = []
     return out
 
 
 def _spoken_chunks(text: str) -> list[str]:
-    import re
+    """The division of the sentences with the fewest chunks under the floor, then the fewest chunks, then the most even sizes.
 
+    ``best[j]`` is the best division of the first ``j`` sentences; sizes come from prefix sums, and only as many
+    sentences as the ceiling holds are looked back at. A sentence over the ceiling is a chunk by itself.
+    """
     sentences = _sentences(text)
-    if not sentences:
-        return []
-    out, total = _filled(sentences, MAX_CHUNK), len(" ".join(sentences))
-    for _ in range(3):  # the same number of pieces, evenly
-        before, out = len(out), _filled(sentences, total / len(out))
-        if len(out) == before:
-            break
-    if len(out) > 1 and len(out[-1]) < MIN_CHUNK:
-        *out, giver, tail = out
-        if len(giver) + 1 + len(tail) <= MAX_CHUNK:
-            return [*out, f"{giver} {tail}"]
-        parts = re.split(r"(?<=[.!?…])\s+", giver)
-        while len(tail) < MIN_CHUNK and len(parts) > 1 and len(" ".join(parts[:-1])) >= MIN_CHUNK:
-            tail = f"{parts.pop()} {tail}"
-        out += [" ".join(parts), tail]
-    return out
+    ends = [0]
+    for s in sentences:
+        ends.append(ends[-1] + len(s) + 1)
+    best: list[tuple[tuple[int, int, int], int]] = [((0, 0, 0), 0)]
+    for j in range(1, len(ends)):
+        found = None
+        for i in range(j - 1, -1, -1):
+            size = ends[j] - ends[i] - 1
+            if size > MAX_CHUNK and i < j - 1:
+                break
+            short, many, squares = best[i][0]
+            here = ((short + (size < MIN_CHUNK), many + 1, squares + size * size), i)
+            found = here if found is None else min(found, here)
+        best.append(found)
+    cuts = [len(sentences)]
+    while cuts[-1]:
+        cuts.append(best[cuts[-1]][1])
+    cuts.reverse()
+    return [" ".join(sentences[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 @vectorized("array<string>")
 def spoken_chunks(text: pd.Series) -> pd.Series:
-    """Chunks for speech: whole sentences, pieces of even size between floor and ceiling, a short tail mended."""
+    """Chunks for speech: whole sentences, of even sizes between floor and ceiling where sentences allow it."""
     return text.map(lambda t: None if t is None else _spoken_chunks(t))
 
 
-def _overlap(a: str, b: str) -> int:
-    for k in range(min(len(a), len(b)), 0, -1):
-        if a.endswith(b[:k]) and (k >= 6 or k == len(b) or not b[k].isalnum()) and (k >= 6 or len(a) == k or not a[-k - 1].isalnum()):
-            return k
-    return 0
-
-
-def _captions(segments) -> list[dict]:
-    out: list[dict] = []
-    for s in segments:
-        text = s["text"]
-        if out:
-            last = out[-1]
-            if text == last["text"]:
-                last["end"] = s["end"]
-                continue
-            if text.startswith(last["text"] + " "):
-                last.update(text=text, end=s["end"])
-                continue
-            text = text[_overlap(last["text"], text) :].strip()
-            if not text:
-                last["end"] = s["end"]
-                continue
-        out.append({"start": s["start"], "end": s["end"], "text": text})
-    return out
+def _repeated(before: Column, text: Column) -> Column:
+    """Characters at the start of ``text`` that ``before`` ends with, at most; under six only whole words."""
+
+    def fits(k: Column) -> Column:
+        first, last = F.substring(before, F.length(before) - k, F.lit(1)), F.substring(text, k + 1, F.lit(1))
+        words = ((k == F.length(before)) | (first == " ")) & ((k == F.length(text)) | (last == " "))
+        return before.endswith(F.substring(text, F.lit(1), k)) & ((k >= 6) | words)
+
+    most = F.least(F.length(before), F.length(text))
+    return F.coalesce(F.array_max(F.filter(F.when(most > 0, F.sequence(F.lit(1), most)), fits)), F.lit(0))
+
+
+def rolled_captions(segments: Column) -> Column:
+    """Rolling captions ``(start, end, text)`` without what they repeat.
+
+    One that is the same as the last, or that ends up empty, makes the last longer; one that begins with the whole
+    last and a space takes its place; of another, what the last ends with is cut off. Null gives null.
+    """
+    made = "struct<start:double,end:double,text:string>"
+    caption = lambda start, end, text: F.struct(start.cast("double").alias("start"), end.cast("double").alias("end"), text.alias("text"))
+    state = lambda done, last: F.struct(done.alias("done"), last.alias("last"))
 
+    def step(acc: Column, s: Column) -> Column:
+        done, last, text = acc["done"], acc["last"], s["text"]
+        longer, replaced = caption(last["start"], s["end"], last["text"]), caption(last["start"], s["end"], text)
+        new = F.trim(F.substring(text, _repeated(last["text"], text) + 1, F.length(text)))
+        apart = let(new, lambda rest: F.when(rest == "", state(done, longer)).otherwise(state(F.concat(done, F.array(last)), caption(s["start"], s["end"], rest))))
+        return F.when(last.isNull(), state(done, caption(s["start"], s["end"], text))).when(text == last["text"], state(done, longer)).when(text.startswith(F.concat(last["text"], F.lit(" "))), state(done, replaced)).otherwise(apart)
 
-@vectorized("array<struct<start:double,end:double,text:string>>")
-def rolled_captions(segments: pd.Series) -> pd.Series:
-    """Rolling captions without what they repeat: equal ones extend, growing ones replace, overlaps are cut."""
-    return segments.map(lambda x: None if x is None else _captions(x))
+    start = state(F.array().cast(f"array<{made}>"), F.lit(None).cast(made))
+    return F.aggregate(segments, start, step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))))
