@@ -84,10 +84,14 @@ def searchable(t):
     return t("documents").select("doc_id", tx.search_text(F.col("text")).isNotNull().alias("searchable"))
 
 
-@query()
+@query("""
+WITH RECURSIVE l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, text FROM conversations),
+p AS (SELECT conv_id, n, 0 AS seq, text FROM l WHERE n = 1
+  UNION ALL SELECT l.conv_id, l.n, p.seq + (length(p.text) + 1 + length(l.text) > 3900)::INT, CASE WHEN length(p.text) + 1 + length(l.text) > 3900 THEN l.text ELSE p.text || chr(10) || l.text END FROM p JOIN l ON l.conv_id = p.conv_id AND l.n = p.n + 1)
+SELECT conv_id, seq, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, seq ORDER BY n DESC) AS back FROM p) WHERE back = 1""")
 def packed_headlines(t):
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.substring("text", 1, 300).alias("line")))), lambda x: x["line"])
-    return t("documents").groupBy("source").agg(lines.alias("lines")).select("source", F.posexplode(text_packing.packed_lines(F.col("lines"))).alias("seq", "text"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    return t("conversations").groupBy("conv_id").agg(lines.alias("lines")).select("conv_id", F.posexplode(text_packing.packed_lines(F.col("lines"))).alias("seq", "text"))
 
 
 @query()
@@ -142,5 +146,5 @@ def interest_match(t):
 
 @query()
 def appended_discussion(t):
-    lines = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: F.substring(x["text"], 1, 280)).alias("lines"))
-    return t("documents").select(F.col("doc_id").alias("conv_id"), F.substring("text", 1, 500).alias("content")).join(lines, "conv_id", "left").select("conv_id", feeds.with_discussion(F.col("content"), F.col("lines")).alias("content"))
+    lines = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("lines"))
+    return t("documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("content")).join(lines, "conv_id", "left").select("conv_id", feeds.with_discussion(F.col("content"), F.col("lines")).alias("content"))

@@ -60,18 +60,27 @@ def stop_reason(t):
     return verify.stop_reasons(t("events").select("user_id", r.alias("stop_reason")), "user_id")
 
 
-@query("SELECT b.item_id, d.doc_id, CAST(instr(d.text, left(b.text, 30)) - 1 AS INT) AS source_start FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 30)) WHERE instr(substring(d.text, instr(d.text, left(b.text, 30)) + 1), left(b.text, 30)) = 0")
+@query("SELECT b.item_id, d.doc_id, CAST(instr(d.text, b.text) - 1 AS INT) AS source_start FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> '' AND instr(substring(d.text, instr(d.text, b.text) + 1), b.text) = 0")
 def anchored_spans(t):
-    # the phrases are a fixed table of a few hundred rows
-    b = t("benchmark").select("item_id", F.substring("text", 1, 30).alias("span"))
-    pairs = t("documents").join(F.broadcast(b), F.contains("text", F.col("span")))
+    """Whole passages in whole documents. A passage's fourth to sixth words stand whole in any text that holds it, so
+    that only documents with those three words in a row are searched for it; passages of fewer words are searched for in all.
+    """
+    b = t("benchmark").select("item_id", F.col("text").alias("span")).where("span <> ''").withColumn("w", F.split("span", "[\\s\\x0B]+"))
+    words = F.filter(F.split("text", "[\\s\\x0B]+"), lambda w: w != "")
+    docs = t("documents").select("doc_id", "text")
+    rows = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)))
+    inner = b.where(F.size("w") >= 8).select("item_id", "span", F.xxhash64(F.element_at("w", 4), F.element_at("w", 5), F.element_at("w", 6)).alias("key"))
+    keys = docs.select("doc_id", words.alias("w")).where(F.size("w") >= 3).select("doc_id", F.explode(F.array_distinct(rows)).alias("key"))
+    met = keys.join(inner, "key").select("doc_id", "item_id", "span").join(docs, "doc_id")
+    few = docs.join(b.where(F.size("w") < 8).select("item_id", "span"), F.contains("text", F.col("span"))).select("doc_id", "item_id", "span", "text")
+    pairs = met.unionByName(few).where(F.contains("text", F.col("span")))
     return pairs.select("item_id", "doc_id", verify.span_start(F.col("text"), F.col("span")).alias("source_start")).where("source_start is not null")
 
 
 @query()
 def incident_merge(t):
     spark = t("events").sparkSession
-    e = t("events").where("event_type = 'purchase'")
+    e = t("events")
     state = incidents.state_of(F.col("event_id") % 50 == 0, F.when(F.col("event_id") % 3 == 0, "disputed").when(F.col("event_id") % 3 == 1, "corroborated_event"))
     rec = e.select(F.col("event_id").alias("ord"), F.concat(F.lit("incident-"), F.col("user_id").cast("string")).alias("incident_id"), F.lit("security").alias("profile"), F.col("props").alias("claim"), state.alias("state"), F.col("event_id").cast("string").alias("item_id"), F.concat(F.lit("https://example.org/"), F.col("event_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("checked_at"), F.lit(None).cast("string").alias("next_check_at"))
     old = incidents.merged(spark.createDataFrame([], incidents.SCHEMA), rec.where("ord % 2 = 0"), "2024-01-29T00:00:00Z")
