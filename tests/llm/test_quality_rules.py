@@ -40,6 +40,24 @@ def test_order_is_by_rejections_per_cost_and_never_changes_verdicts(spark):
     assert kept[0] == kept[1] == [i for i in range(200) if i % 40 >= 30]
 
 
+def test_costs_are_measured_on_a_bounded_random_sample(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("A b "), F.repeat(F.lit("word and "), F.when(F.col("id") % 2 == 0, 200).otherwise(300))).alias("text"))
+    sample = q.sampled(rows, 500)
+    ids = [r.doc_id for r in sample.collect()]
+    assert 300 < len(ids) <= 500 and max(ids) > 2000
+    featured = q.with_features(rows)
+    dear = q.Rule("dear", F.size(F.filter(q.words_of(F.col("text")), lambda w: F.regexp_count(w, F.lit("[a-z]")) > 99)) + F.col("n_words") < 500)
+    order = q.estimated_order(q.with_features(sample), [dear, q.Rule("cheap", F.col("n_words") < 500)])
+    assert [r.name for r, _, _ in order] == ["cheap", "dear"]
+    assert order[0][1] == order[1][1] > 0.4 and order[1][2] > 2 * order[0][2] >= 2 * q.COST_FLOOR
+    assert q.cascade(featured, [dear]).where("failed_rule is null").count() == 1500
+
+
+def test_repeated_rows_each_get_their_verdict(spark):
+    rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, None)], "doc_id long, text string")
+    assert sorted((r.n_words, r.kept) for r in q.judge(rows).collect()) == [(0, False), (3, False), (3, False)]
+
+
 def test_empty_table_and_no_rules(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert q.judge(empty).collect() == []

@@ -1,17 +1,18 @@
 """Quality rules as a short-circuit cascade of native column expressions.
 
-A rule's selectivity and cost are estimated on a bounded sample; rules then run in the order of
+A rule's selectivity and cost are measured on a bounded random sample; rules then run in the order of
 rejections per cost, and a row that one rule rejects never evaluates the later ones.
 """
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SEPARATORS, let, words_of
+from ._common import SEPARATORS, Workspace, let, words_of
 
 #: Words in a window that repeats.
 WINDOW = 8
@@ -19,15 +20,19 @@ WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 #: Most rows that the order of rules is estimated on. The order changes costs, never verdicts.
 SAMPLE_ROWS = 2000
+#: Least share of the rows that the sample is drawn from, so that it reads at most 50 times its rows.
+LEAST_SHARE = 0.02
+#: Nanoseconds a row below which measured costs aren't told apart, and runs of each rule, of which the quickest counts.
+COST_FLOOR, RUNS = 1000.0, 2
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails``: true where the rule rejects. ``cost``: work for a row, in nanoseconds, as a column."""
+    """``fails``: true where the rule rejects. ``cost``: nanoseconds for a row, as a column; null: measured."""
 
     name: str
     fails: Column
-    cost: Column
+    cost: Column | None = None
 
 
 def _repeated(hashes: Column, n_words: Column) -> Column:
@@ -78,43 +83,82 @@ def base_failed() -> Column:
 
 
 def default_rules(text_col: str = "text") -> list[Rule]:
-    """The rules over :func:`with_features`; those on letters read the text again, so they cost more."""
+    """The rules over :func:`with_features`; the last two read the text again."""
     col, text = F.col, F.coalesce(F.col(text_col), F.lit(""))
-    size = F.length(text)
     return [
-        Rule("few_words", col("n_words") < 20, F.lit(1.0)),
-        Rule("repeats", 100 * col("n_repeat_words") > 30 * col("n_words"), F.lit(1.0)),
-        Rule("symbols", 10 * col("n_symbols") > col("n_words"), F.lit(1.0)),
-        Rule("word_length", (col("word_chars") < 3 * col("n_words")) | (col("word_chars") > 15 * col("n_words")), F.lit(2.0)),
-        Rule("same_lines", 100 * col("n_dup_lines") > 30 * col("n_lines"), F.lit(1.0)),
-        Rule("capitals", 2 * F.regexp_count(text, F.lit("\\p{Lu}")) > col("word_chars"), 6.0 * size),
-        Rule("no_letters", 10 * F.size(F.filter(words_of(text), lambda w: ~w.rlike("\\p{L}"))) > 3 * col("n_words"), 30.0 * size),
+        Rule("few_words", col("n_words") < 20),
+        Rule("repeats", 100 * col("n_repeat_words") > 30 * col("n_words")),
+        Rule("symbols", 10 * col("n_symbols") > col("n_words")),
+        Rule("word_length", (col("word_chars") < 3 * col("n_words")) | (col("word_chars") > 15 * col("n_words"))),
+        Rule("same_lines", 100 * col("n_dup_lines") > 30 * col("n_lines")),
+        Rule("capitals", 2 * F.regexp_count(text, F.lit("\\p{Lu}")) > col("word_chars")),
+        Rule("no_letters", 10 * F.size(F.filter(words_of(text), lambda w: ~w.rlike("\\p{L}"))) > 3 * col("n_words")),
     ]
 
 
-def estimated_order(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
-    """(rule, rejection rate, mean cost) in the order of rejections per cost, from at most ``sample_rows`` rows.
+def sampled(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> DataFrame:
+    """At most ``sample_rows`` random rows: of the whole table, or of the first of a table 50 times as large or more.
 
-    The rows are taken as they come, from as few partitions as hold enough. Ties and an empty
-    table keep the given order.
+    The count reads no column; the limit stops the scan once it has enough.
     """
-    seen = df.select(*[F.coalesce(r.fails, F.lit(False)).cast("int").alias(f"f{i}") for i, r in enumerate(rules)], *[r.cost.cast("double").alias(f"c{i}") for i, r in enumerate(rules)]).limit(sample_rows).collect()
-    n = max(1, len(seen))
-    known = [(r, sum(x[i] for x in seen) / n, sum(x[i + len(rules)] or 0.0 for x in seen) / n) for i, r in enumerate(rules)]
+    share = min(1.0, max(LEAST_SHARE, 1.2 * sample_rows / max(1, rows.count())))
+    return rows.sample(share, seed).limit(sample_rows)
+
+
+def _seconds(rows: DataFrame, value: Column) -> float:
+    """The quickest of some runs of an aggregate over ``rows``."""
+    took = []
+    for _ in range(RUNS):
+        began = time.perf_counter()
+        rows.agg(F.sum(value)).collect()
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
+def estimated_order(sample: DataFrame, rules: list[Rule], text_col: str = "text") -> list[tuple[Rule, float, float]]:
+    """(rule, rejection rate, nanoseconds a row) in the order of rejections per cost, from a ``sample`` with features.
+
+    The sample is written once. A rule's cost is what a job that evaluates it takes beyond one that only reads the
+    columns, not below ``COST_FLOOR``. Ties and an empty table keep the given order.
+    """
+    work = Workspace(sample.sparkSession, "rule-costs")
+    rows = work.save(sample, "sample", rows=1)
+    failed = [F.coalesce(r.fails, F.lit(False)).cast("long") for r in rules]
+    declared = [F.avg(r.cost.cast("double")) if r.cost is not None else F.lit(None).cast("double") for r in rules]
+    seen = rows.agg(F.count("*").alias("n"), *[F.sum(f).alias(f"f{i}") for i, f in enumerate(failed)], *[c.alias(f"c{i}") for i, c in enumerate(declared)]).first()
+    n = max(1, seen["n"])
+    read = F.length(F.coalesce(F.col(text_col), F.lit(""))) if text_col in rows.columns else F.lit(0)
+    idle = _seconds(rows, read) if seen["n"] and any(r.cost is None for r in rules) else 0.0
+
+    def cost(i: int) -> float:
+        if rules[i].cost is not None or not seen["n"]:
+            return seen[f"c{i}"] or 0.0
+        return max(COST_FLOOR, (_seconds(rows, failed[i] + F.least(read, F.lit(0))) - idle) * 1e9 / n)
+
+    known = [(r, (seen[f"f{i}"] or 0) / n, cost(i)) for i, r in enumerate(rules)]
+    work.drop("sample")
     return sorted(known, key=lambda x: -x[1] / max(x[2], 1e-9))
 
 
-def cascade(df: DataFrame, rules: list[Rule], sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``df`` with ``failed_rule``: the first rule in the estimated order that rejects the row, null if none does."""
+def cascade(df: DataFrame, rules: list[Rule], sample: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+    """``df`` with ``failed_rule``: the first rule in the estimated order that rejects the row, null if none does.
+
+    ``sample``: rows of ``df`` to estimate on; if null, they are drawn from it.
+    """
     if not rules:
         return df.withColumn("failed_rule", F.lit(None).cast("string"))
     chain = F
-    for rule, _, _ in estimated_order(df, rules, sample_rows):
+    for rule, _, _ in estimated_order(sampled(df) if sample is None else sample, rules, text_col):
         chain = chain.when(F.coalesce(rule.fails, F.lit(False)), F.lit(rule.name))
     return df.withColumn("failed_rule", chain)
 
 
 def judge(docs: DataFrame, text_col: str = "text", rules: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Features, ``base_failed``, ``failed_rule`` and ``kept`` of every row; none is dropped."""
-    judged = cascade(with_features(docs, text_col), default_rules(text_col) if rules is None else rules, sample_rows)
+    """Features, ``base_failed``, ``failed_rule`` and ``kept`` of every row; none is dropped.
+
+    Which rule of several is named depends on measured costs; ``kept`` doesn't. Columns of ``docs`` by these
+    names are replaced.
+    """
+    sample = with_features(sampled(docs, sample_rows), text_col)
+    judged = cascade(with_features(docs, text_col), default_rules(text_col) if rules is None else rules, sample, text_col)
     return judged.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull())
