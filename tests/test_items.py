@@ -134,8 +134,8 @@ def test_recall(spark):
     assert {r.id: r.recall for r in stats.word_recall(rows, "id", "s", "h").collect()} == {"a": 0.75, "b": 1.0, "c": 0.0}
     tail = spark.createDataFrame([("a b a b x y", "x y"), ("", "q"), ("a a", "b")], "s string, h string")
     assert [r[0] for r in tail.select(stats.tail_recall(F.col("s"), F.col("h"))).collect()] == [1.0, 1.0, 0.0]
-    seg = spark.createDataFrame([([(0.0, 1.0, "hello"), (1.0, 9.0, "uh"), (9.0, 9.0, "none")],)], "s array<struct<start:double,end:double,text:string>>")
-    assert seg.select(stats.speech_end(F.col("s"))).first()[0] == 1.0
+    seg = spark.createDataFrame([([(0.0, 1.0, "hello"), (1.0, 9.0, "uh"), (9.0, 9.0, "none"), (9.0, 30.0, "hm")],)], "s array<struct<start:double,end:double,text:string>>")
+    assert seg.select(stats.speech_end(F.col("s"))).first()[0] == 9.0  # a segment without length is counted as a hundredth
 
 
 def test_labels(spark):

@@ -79,12 +79,14 @@ def escaped_markdown(text: Column) -> Column:
 
 def spaced_scripts(text: Column) -> Column:
     """A space between Han characters and Latin letters or digits."""
-    return F.regexp_replace(F.regexp_replace(text, "([\\u4e00-\\u9fff])([A-Za-z0-9])", "$1 $2"), "([A-Za-z0-9])([\\u4e00-\\u9fff])", "$1 $2")
+    han = "[\\u4e00-\\u9fff\\u3400-\\u4dbf]"
+    return F.regexp_replace(F.regexp_replace(text, f"({han})([A-Za-z0-9])", "$1 $2"), f"([A-Za-z0-9])({han})", "$1 $2")
 
 
 def has_cjk_leak(text: Column, language: str) -> Column:
-    """Kana, Han or Hangul where the language isn't written in them."""
-    return F.lit(False) if language.split("-")[0] in ("zh", "ja") else text.rlike("[\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af]")
+    """Kana, Han or Hangul in a text of another language; null holds none."""
+    leak = F.coalesce(text.rlike("[\\u3040-\\u30ff\\u3400-\\u4dbf\\u4e00-\\u9fff\\uac00-\\ud7af\\uf900-\\ufaff]"), F.lit(False))
+    return F.lit(False) if language.lower() in ("zh", "zh-cn", "zh-tw", "ja") else leak
 
 
 def spoken_words(text: Column) -> Column:
@@ -162,5 +164,5 @@ def plain_summary(text: Column) -> Column:
 
 
 def without_tool_tokens(text: Column) -> Column:
-    """Control marks that a model left in its text, gone."""
-    return strip(F.regexp_replace(text, "<\\|[^|>]*\\|>", ""))
+    """References to tool results that a model left in its text, such as ``[tool-2-1]``, gone with the blanks before them."""
+    return F.regexp_replace(text, "[ \\t]*(?:\\\\?\\[tool-[0-9]+-[0-9]+\\\\?\\])+", "")

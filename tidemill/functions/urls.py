@@ -106,8 +106,9 @@ def site(url: Column) -> Column:
 
 
 def without_secrets(url: Column) -> Column:
-    """For logs: user, query and fragment gone."""
-    return F.concat(scheme(url), F.lit("://"), F.regexp_replace(netloc(url), "^.*@", ""), path(url))
+    """For logs: user, query, fragment and a chat bot's token in the path gone; what has no scheme or host is not shown at all."""
+    shown = F.regexp_replace(path(url), "/bot[0-9]+:(?U:[\\w-]+)", "/bot<redacted>")
+    return F.when((scheme(url) == "") | (netloc(url) == ""), F.lit("<redacted-url>")).otherwise(F.concat(scheme(url), F.lit("://"), F.regexp_replace(netloc(url), "^.*@", ""), shown))
 
 
 def is_safe_link(url: Column) -> Column:
@@ -126,17 +127,23 @@ def is_markdown_link(url: Column) -> Column:
     return is_safe_link(url) & (count("(") == count(")"))
 
 
-def public_link(url: Column, keep_query_hosts: tuple[str, ...] = ()) -> Column:
-    """Query and fragment dropped, but for hosts whose pages are named by their query."""
-    bare = F.concat(scheme(url), F.lit("://"), netloc(url), path(url))
-    keep = host(url).isin(*keep_query_hosts) & (query(url) != "") if keep_query_hosts else F.lit(False)
-    return F.when(is_safe_link(url), F.when(keep, F.concat(bare, F.lit("?"), query(url))).otherwise(bare)).otherwise(F.lit(""))
+def public_link(url: Column, keep_query: dict[str, str] | None = None) -> Column:
+    """User, query and fragment dropped, the host in lower case; null if it isn't http or https or has no host.
+
+    ``keep_query``: parts of hosts whose pages are named by their query, with what such a query holds.
+    """
+    digits = F.regexp_extract(netloc(url), ":([0-9]+)$", 1)
+    bare = F.concat(scheme(url), F.lit("://"), host(url), F.when(digits != "", F.concat(F.lit(":"), digits)).otherwise(F.lit("")), path(url))
+    keep = F.lit(False)
+    for name, word in (keep_query or {}).items():
+        keep = keep | (F.contains(host(url), F.lit(name)) & F.contains(query(url), F.lit(word)))
+    return F.when(scheme(url).isin("http", "https") & (host(url) != ""), F.when(keep, F.concat(bare, F.lit("?"), query(url))).otherwise(bare))
 
 
 def video_id(url: Column) -> Column:
-    """An 11-character id, else the path's last segment."""
-    found = F.regexp_extract(url, "(?:v=|youtu\\.be/|/shorts/|/embed/|/live/)([A-Za-z0-9_-]{11})", 1)
-    return F.when(found != "", found).otherwise(F.regexp_extract(F.regexp_replace(path(url), "/+$", ""), "([^/]*)$", 1))
+    """An 11-character id after ``v=``, ``youtu.be/``, ``/shorts/`` or ``/live/``, else what follows the last slash that isn't at the end."""
+    found = F.regexp_extract(url, "(?:v=|youtu\\.be/|/shorts/|/live/)([A-Za-z0-9_-]{11})", 1)
+    return F.when(found != "", found).otherwise(F.regexp_extract(F.regexp_replace(url, "/+$", ""), "([^/]*)$", 1))
 
 
 def slug(text: Column) -> Column:
@@ -144,6 +151,12 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, "[^a-zA-Z0-9_-]+", "-"), "^-+|-+$", "")
 
 
+def anchor(profile: Column, index: Column) -> Column:
+    """An item's anchor in an issue."""
+    name = slug(profile)
+    return F.concat(F.lit("item-"), F.when(name == "", F.lit("unclassified")).otherwise(name), F.lit("-"), index.cast("string"))
+
+
 def is_public_address(address: pd.Series) -> pd.Series:
     import ipaddress
 

@@ -53,7 +53,7 @@ def view(items: DataFrame, language: str = "en", ranks: dict[str, int] | None =
     """Items with ranks and anchors; profiles in configured order, unlisted ones last, else by first appearance."""
     rank = None if ranks is None else F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in ranks.items() for x in p]), F.col("profile_id")), F.lit(1 << 20)) if ranks else None
     seen = view_ranks(items.withColumn("profile_id", F.coalesce("profile_id", F.lit("unclassified"))), "profile_id", [F.col("ord").asc()], rank)
-    return seen.withColumn("anchor", F.concat(F.lit("item-"), urls.slug(F.col("profile_id")), F.lit("-"), F.col("group_index").cast("string")))
+    return seen.withColumn("anchor", urls.anchor(F.col("profile_id"), F.col("group_index")))
 
 
 def issue(items: DataFrame, date: str, total: int, *, brand: str = "Digest", language: str = "en", names: dict[str, str] | None = None) -> DataFrame:
@@ -67,7 +67,7 @@ def issues(items: DataFrame, totals: DataFrame, *, brand: str = "Digest", langua
     labels = LABELS.get(language, LABELS["en"])
     group = Window.partitionBy("date", "profile_id")
     shown = items.withColumn("profile_id", F.coalesce("profile_id", F.lit("unclassified"))).withColumn("group_index", F.row_number().over(group.orderBy("ord"))).withColumn("first", F.min("ord").over(group))
-    shown = shown.withColumn("anchor", F.concat(F.lit("item-"), urls.slug(F.col("profile_id")), F.lit("-"), F.col("group_index").cast("string")))
+    shown = shown.withColumn("anchor", urls.anchor(F.col("profile_id"), F.col("group_index")))
     name = display_name(F.col("profile_id"), names or {})
     entry = F.concat(F.col("group_index").cast("string"), F.lit(". ["), tx.escaped_markdown(F.coalesce("artifact.title", "title")), F.lit("](#"), "anchor", F.lit(") ⭐️ "), F.coalesce(F.col("score").cast("string"), F.lit("?")), F.lit("/10"))
     rows = shown.select("date", "first", "profile_id", "group_index", tx.escaped_markdown(name).alias("name"), entry.alias("entry"), item_markdown(language).alias("md"))

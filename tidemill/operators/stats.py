@@ -111,9 +111,11 @@ def tail_recall(source: Column, heard: Column, words: int = 10) -> Column:
 
 
 def speech_end(segments: Column, least_rate: float = 3.0) -> Column:
-    """End of the last segment of ``segments(start, end, text)`` that has enough characters a second; null if none has."""
-    real = F.filter(segments, lambda s: (s["end"] > s["start"]) & (F.length(F.btrim(s["text"])) / (s["end"] - s["start"]) > least_rate))
-    return F.when(F.size(real) > 0, F.element_at(real, -1)["end"])
+    """End of the last of ``segments(start, end, text)`` that has enough characters a second, at least a hundredth counted; 0 if none has."""
+    from ..functions.text import strip
+
+    real = F.filter(segments, lambda s: F.length(strip(s["text"])) / F.greatest(s["end"] - s["start"], F.lit(0.01)) > least_rate)
+    return F.when(F.size(real) > 0, F.element_at(real, -1)["end"]).otherwise(F.lit(0.0))
 
 
 def video_stats(rows: DataFrame) -> DataFrame:

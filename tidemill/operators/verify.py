@@ -131,7 +131,7 @@ def anchored_claims(proposals: DataFrame, max_claims: int = 3) -> DataFrame:
 def search_queries(claim: Column, kind: Column) -> Column:
     """Three search phrases of a claim, from its first six different names and numbers."""
     words = F.regexp_extract_all(claim, F.lit("(?U)([^\\W_][\\w.-]*)"), F.lit(1))
-    named = F.filter(words, lambda w: (F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1))) | w.rlike("(?U)\\d"))
+    named = F.filter(words, lambda w: (F.substring(w, 1, 1) != F.lower(F.substring(w, 1, 1))) | w.rlike("(?U)\\d") | ((w == F.upper(w)) & (w != F.lower(w))))
     once = F.filter(named, lambda w, i: F.size(F.filter(F.slice(named, 1, F.greatest(i, F.lit(0))), lambda v: F.lower(v) == F.lower(w))) == 0)
     names = F.array_join(F.when(F.size(once) > 0, F.slice(once, 1, 6)).otherwise(F.slice(words, 1, 8)), " ")
     table = F.create_map(*[F.lit(x) for pair in QUERY_TERMS.items() for x in pair])
