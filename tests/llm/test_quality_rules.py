@@ -44,7 +44,8 @@ def test_costs_are_measured_on_a_bounded_random_sample(spark):
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("A b "), F.repeat(F.lit("word and "), F.when(F.col("id") % 2 == 0, 200).otherwise(300))).alias("text"))
     sample = q.sampled(rows, 500)
     ids = [r.doc_id for r in sample.collect()]
-    assert 300 < len(ids) <= 500 and max(ids) > 2000
+    assert 400 < len(ids) < 600 and min(ids) < 100 and max(ids) > 2900
+    assert q.sampled(rows.limit(40), 500).count() == 40
     featured = q.with_features(rows)
     dear = q.Rule("dear", F.size(F.filter(q.words_of(F.col("text")), lambda w: F.regexp_count(w, F.lit("[a-z]")) > 99)) + F.col("n_words") < 500)
     order = q.estimated_order(q.with_features(sample), [dear, q.Rule("cheap", F.col("n_words") < 500)])

@@ -18,10 +18,8 @@ from ._common import SEPARATORS, Workspace, let, words_of
 WINDOW = 8
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Most rows that the order of rules is estimated on. The order changes costs, never verdicts.
+#: About how many rows the order of rules is estimated on. The order changes costs, never verdicts.
 SAMPLE_ROWS = 2000
-#: Least share of the rows that the sample is drawn from, so that it reads at most 50 times its rows.
-LEAST_SHARE = 0.02
 #: Nanoseconds a row below which measured costs aren't told apart, and runs of each rule, of which the quickest counts.
 COST_FLOOR, RUNS = 1000.0, 2
 
@@ -97,12 +95,12 @@ def default_rules(text_col: str = "text") -> list[Rule]:
 
 
 def sampled(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 11) -> DataFrame:
-    """At most ``sample_rows`` random rows: of the whole table, or of the first of a table 50 times as large or more.
+    """About ``sample_rows`` random rows of the whole table, all of a smaller one.
 
-    The count reads no column; the limit stops the scan once it has enough.
+    The count reads no column. Drawing reads the table once, where it is, and only what is drawn goes on: a limit
+    would move that many rows of every partition into one task.
     """
-    share = min(1.0, max(LEAST_SHARE, 1.2 * sample_rows / max(1, rows.count())))
-    return rows.sample(share, seed).limit(sample_rows)
+    return rows.sample(min(1.0, sample_rows / max(1, rows.count())), seed)
 
 
 def _seconds(rows: DataFrame, value: Column) -> float:
@@ -122,7 +120,7 @@ def estimated_order(sample: DataFrame, rules: list[Rule], text_col: str = "text"
     columns, not below ``COST_FLOOR``. Ties and an empty table keep the given order.
     """
     work = Workspace(sample.sparkSession, "rule-costs")
-    rows = work.save(sample, "sample", rows=1)
+    rows = work.small(sample, "sample", 1)
     failed = [F.coalesce(r.fails, F.lit(False)).cast("long") for r in rules]
     declared = [F.avg(r.cost.cast("double")) if r.cost is not None else F.lit(None).cast("double") for r in rules]
     seen = rows.agg(F.count("*").alias("n"), *[F.sum(f).alias(f"f{i}") for i, f in enumerate(failed)], *[c.alias(f"c{i}") for i, c in enumerate(declared)]).first()
