@@ -153,7 +153,7 @@ def tool_calls(t):
     return stats.call_metrics(t("events").select(F.col("event_id").alias("at"), F.col("event_type").alias("tool"), F.when(F.col("event_id") % 9 == 0, "failed").alias("error_code"), F.col("value").alias("ms")))
 
 
-@query("SELECT conv_id, coalesce(max_by(turn * 100.0 + len, turn) FILTER (length(trim(text, ' ' || chr(10))) / greatest(len, 0.01) > 3), 0.0) AS ends FROM (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 20.0 WHEN 1 THEN 0.0 ELSE 90.0 END AS len FROM conversations) GROUP BY conv_id")
+@query("SELECT conv_id, CAST(coalesce(max_by(turn * 100.0 + len, turn) FILTER (length(trim(text, ' ' || chr(10))) / greatest(len, 0.01) > 3), 0.0) AS DOUBLE) AS ends FROM (SELECT conv_id, turn, text, CASE turn % 3 WHEN 0 THEN 20.0 WHEN 1 THEN 0.0 ELSE 90.0 END AS len FROM conversations) GROUP BY conv_id")
 def speech_ends(t):
     long = F.when(F.col("turn") % 3 == 0, 20.0).when(F.col("turn") % 3 == 1, 0.0).otherwise(90.0)
     segments = F.array_sort(F.collect_list(F.struct((F.col("turn") * 100.0).alias("start"), (F.col("turn") * 100.0 + long).alias("end"), "text")))
