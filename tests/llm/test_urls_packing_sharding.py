@@ -131,6 +131,20 @@ def test_sharding_matches_brute_force(spark, monkeypatch):
     assert max(mix) - min(mix) <= 2
 
 
+def test_sharding_keeps_columns_of_any_name_and_type(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 3)
+    monkeypatch.setattr(sharding, "WIDE", 2)
+    names = ["from", "key", "row", "bucket", "n", "wide", "near", "far", "before", "at", "rank", "total", "fraction", "all", "place", "a.b", "__source"]
+    rows = spark.range(60).select((F.col("id") % 7).alias("doc_id"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"), F.create_map(F.lit("k"), "id").alias("m"), F.array(F.struct(F.create_map("id", "id").alias("x"))).alias("deep"), F.lit("old").alias("shard"), *[F.col("id").alias(c) for c in names])
+    got = sharding.interleaved(rows, shards=4)
+    assert set(got.columns) == set(rows.columns) | {"slot"}
+    kept = [c for c in rows.columns if c != "shard"]
+    plain = lambda df: sorted(str(r) for r in df.select(*[F.col(f"`{c}`") for c in kept]).collect())
+    assert plain(got) == plain(rows)
+    want = brute_shards([tuple(r) for r in rows.select("doc_id", "source").collect()], 4, "tidemill")
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.select("doc_id", "source", "shard", "slot").collect())
+
+
 def test_sharding_small_tables(spark):
     df = spark.createDataFrame([], "doc_id long, source string")
     assert sharding.interleaved(df).collect() == []
