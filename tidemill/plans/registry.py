@@ -30,4 +30,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import contracts, selection, texts, verification  # noqa: E402, F401
+from . import contracts, evidence, selection, texts, verification  # noqa: E402, F401
