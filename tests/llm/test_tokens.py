@@ -66,8 +66,8 @@ def test_own_ids_are_the_librarys(spark):
         assert own.decode(own.encode(t)) == t
     rows = spark.createDataFrame([(1, "the documents")], "doc_id long, text string")
     want = library.encode("the documents")
-    assert pieces.encoded(rows, path).first().piece_ids == want
-    assert pieces.digests(rows, path).first()[1:3] == (len(want), zlib.crc32(np.array(want, "<i4").tobytes()))
+    assert pieces.encoded(rows, path, by_type=True).first().piece_ids == want
+    assert pieces.digests(rows, path, by_type=True).first()[1:3] == (len(want), zlib.crc32(np.array(want, "<i4").tobytes()))
 
 
 def test_sentencepiece_tables(spark):

@@ -1,10 +1,10 @@
-"""SentencePiece encoding and decoding by merge order, or by an Aho-Corasick automaton and a single-pass Viterbi.
+"""SentencePiece encoding and decoding by an Aho-Corasick automaton and a single-pass Viterbi.
 
-A BPE model's scores are ranks of its merges: of all neighbours the pair whose union has the best rank becomes
-one, until none has. Its own ids come so. For a unigram model scores are log-probabilities: the automaton holds
-every ordinary piece, reports at each position, along its output links, all pieces that end there, and each
-relaxes the best score of a path up to that position. Characters that no piece covers go by byte pieces, so
-every text comes back as it was.
+The automaton holds every ordinary piece and reports at each position, along its output links, all pieces that
+end there; each relaxes the best score of a path up to that position. For a unigram model, whose scores are
+log-probabilities, these are the library's ids. A BPE model's scores are ranks of its merges: there the path of
+the best sum is another segmentation than the library's, which ``by_type`` gives by merge order instead. Characters
+that no piece covers go by byte pieces, so every text comes back as it was either way.
 """
 
 from __future__ import annotations
@@ -226,11 +226,11 @@ def load(path: str, by_type: bool = False) -> Pieces:
     return Pieces(path, by_type)
 
 
-def encoded(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``piece_ids`` (array of int) by the model's own rule; null and empty texts have none. Other columns stay."""
+def encoded(docs: DataFrame, path: str, text_col: str = "text", by_type: bool = False) -> DataFrame:
+    """``docs`` with ``piece_ids`` (array of int) of the best path, or by the rule of the model's type; null and empty texts have none. Other columns stay."""
     @F.pandas_udf("array<int>")
     def ids(text: pd.Series) -> pd.Series:
-        model = load(path, by_type=True)
+        model = load(path, by_type)
         return pd.Series(model.encode_all(text.tolist()))
 
     return docs.withColumn("piece_ids", ids(F.col(text_col).cast("string")))
@@ -246,14 +246,14 @@ def decoded(rows: DataFrame, path: str, ids_col: str = "piece_ids") -> DataFrame
     return rows.withColumn("piece_text", text(F.col(ids_col)))
 
 
-def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_pieces, ids_crc32, text_crc32)``: encoded by the model's own rule and decoded in one pass; ``text_crc32`` is of what decoding gave.
+def digests(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", by_type: bool = False) -> DataFrame:
+    """``(id, n_pieces, ids_crc32, text_crc32)``: encoded (see :func:`encoded`) and decoded in one pass; ``text_crc32`` is of what decoding gave.
 
     CRCs are unsigned, of the ids as little-endian 32-bit integers and of UTF-8; null and empty texts have zeros.
     """
     @F.pandas_udf("n_pieces long, ids_crc32 long, text_crc32 long")
     def digest(text: pd.Series) -> pd.DataFrame:
-        model = load(path, by_type=True)
+        model = load(path, by_type)
         rows = []
         for i in range(0, len(text), 256):
             for ids in model.encode_all(text.iloc[i : i + 256].tolist()):
