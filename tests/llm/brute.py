@@ -1,6 +1,7 @@
 """Plain versions of operators that SQL can't express: no Spark, no Bloom filters, no partial sums."""
 
 import math
+import re
 
 import numpy as np
 
@@ -11,7 +12,7 @@ def trigrams(text):
     return [tuple(codes[i - 1 : i + 2]) for i in range(1, len(codes) - 1) if codes[i]]
 
 
-def learned_languages(rows, least=3, share=0.5, most=20_000):
+def learned_languages(rows, least=3, share=0.5):
     """``rows`` of (id, text, lang): the typical n-grams of each language, as sets."""
     counts = {}
     for i, text, lang in rows:
@@ -24,7 +25,6 @@ def learned_languages(rows, least=3, share=0.5, most=20_000):
     out = {}
     for lang, of in counts.items():
         typical = [g for g, n in of.items() if n >= least and rate(lang, g) >= share * max(rate(k, g) for k in counts)]
-        assert len(typical) <= most
         if typical:
             out[lang] = set(typical)
     return out
@@ -36,6 +36,34 @@ def language_shares(text, learned):
     return {lang: sum(x in of for x in g) / len(g) for lang, of in sorted(learned.items())} if g and learned else None
 
 
+class BestPath:
+    """Ids of the path of pieces with the greatest sum of scores, by trying every piece at every place; ties take the longest last piece."""
+
+    def __init__(self, model):
+        self.known = {p: (s, i) for i, (p, s, t) in enumerate(zip(model.pieces, model.scores, model.types, strict=True)) if t in (1, 4)}
+        self.longest, self.missing, self.bytes, self.made = max(map(len, self.known)), model.missing, model.bytes, {}
+
+    def of_word(self, word):
+        best = [(0.0, [])]
+        for end in range(1, len(word) + 1):
+            score, ids = best[end - 1]
+            now, kept = (score + self.missing, ids + [self.bytes[b] for b in word[end - 1].encode()]), True
+            for start in range(max(0, end - self.longest), end):
+                if (hit := self.known.get(word[start:end])) and (best[start][0] + hit[0] > now[0] or kept and best[start][0] + hit[0] >= now[0]):
+                    now, kept = (best[start][0] + hit[0], best[start][1] + [hit[1]]), False
+            best.append(now)
+        return best[-1][1]
+
+    def of_text(self, text):
+        """Of a text without the mark of spaces; no piece goes on over a space after another character."""
+        out = []
+        for word in re.findall("▁+[^▁]*", "▁" + text.replace(" ", "▁")) if text else []:
+            if word not in self.made:
+                self.made[word] = self.of_word(word)
+            out += self.made[word]
+        return out
+
+
 def byte_features(text):
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data:

@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import language, quality_model, vectors
+from tidemill.llm._common import SHARE, training_share
 
 WORDS = {"xx": ["alpha", "beta", "gamma"], "yy": ["schiff", "wasser", "über"], "zz": ["maison", "été", "chien"]}
 
@@ -27,6 +29,30 @@ def test_language_held_out_accuracy_and_edges(spark):
     assert all(0 <= s <= 1 for _, s in got.values())
 
 
+def test_training_share_of_any_size():
+    for n in (0, 1, 19_999, 20_000, 20_001, 10**6, 10**11, 10**15):
+        share = training_share(20_000, n)
+        assert abs(share / SHARE * n - min(n, 20_000)) < 1 and share >= 1 or n == 0 and share == SHARE
+    assert 0 < training_share(20_000, 10**30)
+
+
+def test_labels_of_which_none_is_chosen_are_an_error(spark, monkeypatch):
+    train = spark.createDataFrame([(1, "alpha beta", "xx")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "training_share", lambda most, n: 0)
+    with pytest.raises(RuntimeError, match="no labelled row"):
+        language.fit(train)
+    monkeypatch.setattr(quality_model, "training_share", lambda most, n: 0)
+    with pytest.raises(RuntimeError, match="no labelled document"):
+        quality_model.fit_evidence(train, spark.createDataFrame([(1, 1)], "id long, good int"))
+
+
+def test_language_without_a_cap_and_with_one(spark):
+    train = spark.createDataFrame(language_rows(), "doc_id long, text string, lang string")
+    every, few = language.fit(train), language.fit(train, max_grams=5)
+    bits = lambda f: int(np.bitwise_count(f.masks).sum())
+    assert bits(every) > bits(few) > 0 and bits(few) <= 3 * 5 * language.HASHES
+
+
 def test_language_without_training_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     filters = language.fit(empty)

@@ -22,6 +22,20 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t\\n\\x0B\\f\\r]+"), "")
 
 
+#: Values of the hash that a training share is cut from: so many that no table is large enough for a share of none of them.
+SHARE = 1 << 62
+
+
+def training_share(most: int, n: int) -> int:
+    """How many of ``SHARE`` values choose about ``most`` of ``n`` rows, at least one."""
+    return SHARE if n <= most else max(1, SHARE * most // n)
+
+
+def in_share(key: Column, share: int) -> Column:
+    """Whether a row is among those chosen by the hash of its ``key``."""
+    return F.shiftrightunsigned(F.xxhash64(key), 2) < F.lit(share)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one is set only where there is none, as in tests."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

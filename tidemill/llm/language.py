@@ -14,14 +14,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import lean, small_batches
+from ._common import Workspace, in_share, lean, small_batches, training_share
 from ._hashing import U64, mix
 
-#: Most documents that the filters are fitted on, chosen by a hash of the id; and n-grams kept of a language.
-TRAIN_DOCS, TRAIN_GRAMS = 20_000, 20_000
+#: About how many documents the filters are fitted on, chosen by a hash of the id.
+TRAIN_DOCS = 20_000
 #: An n-gram is a language's if it is there at least this often, and at this share of its highest rate in any.
 LEAST_COUNT, LEAST_SHARE = 3, 0.5
 SLOTS, HASHES = 1 << 20, 3
@@ -128,23 +128,28 @@ def _counts(batches):
     yield from told()
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_grams: int = TRAIN_GRAMS) -> Filters:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", max_docs: int = TRAIN_DOCS, max_grams: int | None = None) -> Filters:
     """Filters from rows with a text, a language and an id: about ``max_docs`` of them, by a hash of the id.
 
-    What comes to the driver is bounded by ``max_grams`` for each language, the most frequent ones. Rows with a null are
-    not learned from; of an empty table nothing is learned and every text is ``und``.
+    All typical n-grams of those rows come to the driver, so their number is bounded by the rows; ``max_grams`` keeps the most
+    frequent ones of each language only. Rows with a null are not learned from; of an empty table nothing is learned and
+    every text is ``und``. A table with rows to learn from of which none is chosen is an error, not an empty model.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    work = Workspace(spark, "languages")
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("id is not null and lang is not null and text is not null")
-    n = docs.where(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull()).count()
-    chosen = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_docs / max(n, 1)))
-    counts = rows.where(chosen).select("lang", "text").mapInArrow(lambda batches: lean(_counts(batches)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    from pyspark.sql import Window
-
-    rate = counts.withColumn("rate", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
+    chosen = rows.where(in_share(F.col("id"), training_share(max_docs, rows.count())))
+    counts = work.save(chosen.select("lang", "text").mapInArrow(lambda batches: lean(_counts(batches)), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
+    if not counts.limit(1).count() and rows.limit(1).count() and not chosen.limit(1).count():
+        raise RuntimeError("no labelled row was chosen to learn from, though there are some")
+    # both sides hold a row for each language
+    total = counts.groupBy("lang").agg(F.sum("n").alias("all"))
+    rate = counts.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("all"))
     typical = rate.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("n") >= LEAST_COUNT) & (F.col("rate") >= LEAST_SHARE * F.col("top")))
-    kept = typical.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= max_grams)
-    found = kept.select("lang", "gram").toArrow()
+    if max_grams is not None:
+        typical = typical.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= max_grams)
+    found = typical.select("lang", "gram").toArrow()
+    work.drop("counts")
     langs, gram = found.column("lang"), found.column("gram")
     return Filters.build({lang.as_py(): gram.filter(pc.equal(langs, lang)).to_numpy().view(U64) for lang in pc.unique(langs)})
 

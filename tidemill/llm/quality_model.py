@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace, lean, small_batches
+from ._common import Workspace, in_share, lean, small_batches, training_share
 from ._hashing import SEPARATOR
 from .url_filter import _posterior
 
-#: Most labelled documents that the evidence model is fitted on, chosen by a hash of the id.
+#: About how many labelled documents the evidence model is fitted on, chosen by a hash of the id.
 TRAIN_DOCS = 20_000
 #: Site groups up to this number (under 100 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_SITES = 100_000
@@ -118,11 +118,13 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     """
     small_batches(docs.sparkSession)
     real = labels.where("id is not null and good is not null")
-    share = int(1_000_000 * min(1.0, max_docs / max(1, real.count())))
-    chosen = real.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).groupBy("id").agg(F.avg(F.col("good").cast("double")).alias("good"))
+    n = real.count()
+    chosen = real.where(in_share(F.col("id"), training_share(max_docs, n))).groupBy("id").agg(F.avg(F.col("good").cast("double")).alias("good"))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")  # at most about max_docs rows
     rows = rows.groupBy("id").agg(F.max("text").alias("text"), F.avg("good").alias("good"))  # repeated ids are one row
     found = rows.select("id", _features()("text").alias("x"), (F.col("good") >= 0.5).cast("int").alias("y")).toArrow().sort_by("id")
+    if not found.num_rows and n and not chosen.limit(1).count():
+        raise RuntimeError("no labelled document was chosen to learn from, though there are some")
     x = found.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
     return Evidence.fit(x, found.column("y").to_numpy())
 
