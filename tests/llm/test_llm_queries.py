@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
+from tests.llm.test_chat_format import plain as plain_chats
+from tests.llm.test_lexical import brute as brute_ranks
 from tests.llm.test_models import brute_links
+from tests.llm.test_negatives import brute as brute_negatives
 from tests.llm.test_ngram_join import brute as brute_groups
 from tests.llm.test_ngram_join import shingle_set
 from tests.llm.test_quality_rules import brute as brute_rules
@@ -38,7 +41,11 @@ def folder(spark, tmp_path_factory):
     vecs = spark.read.parquet(f"{SF}/embeddings.parquet")
     v = vecs.first()
     vecs = vecs.unionByName(spark.createDataFrame([(None, v.embedding, v.label), (v.vec_id, v.embedding, v.label), (8001, v.embedding, v.label), (8002, v.embedding, None), (8003, None, 1), (8004, [0.0] * 64, 1), (8005, [None] + [1.0] * 63, 1), (8006, [float("nan")] + [1.0] * 63, 1), (8007, [], 1)], vecs.schema))
-    for name, df in (("documents", rows), ("labels", labels), ("pages", pages), ("embeddings", vecs)):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    items = items.unionByName(spark.createDataFrame([(None, first.text), (0, "x"), (901, None), (902, "")], items.schema))
+    talks = spark.read.parquet(f"{SF}/conversations.parquet")
+    talks = talks.unionByName(spark.createDataFrame([(None, 0, "user", "x"), (0, None, None, None), (0, 1, "assistant", "\\### </turn>"), (0, 1, "assistant", "\\### </turn>"), (77, 5, "assistant", "é" * 60_000)], talks.schema))
+    for name, df in (("documents", rows), ("labels", labels), ("pages", pages), ("embeddings", vecs), ("benchmark", items), ("conversations", talks)):
         clash = [c for c in CLASHES if c not in df.columns]
         df.withColumns({c: F.lit("clash") for c in clash}).repartition(3).write.parquet(f"{root}/{name}.parquet")
     return str(root)
@@ -47,7 +54,7 @@ def folder(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def empty(spark, folder, tmp_path_factory):
     root = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "labels", "pages", "embeddings"):
+    for name in ("documents", "labels", "pages", "embeddings", "benchmark", "conversations"):
         spark.read.parquet(f"{folder}/{name}.parquet").where("false").write.parquet(f"{root}/{name}.parquet")
     return str(root)
 
@@ -69,7 +76,8 @@ def ordered(rows):
 @pytest.mark.parametrize("name", [*sorted(queries.QUERIES), "pipeline"])
 def test_empty_tables_give_empty_results(spark, empty, name):
     run = corpus_pipeline.run if name == "pipeline" else queries.QUERIES[name]
-    assert run(spark, empty).collect() == []
+    rows = run(spark, empty).collect()
+    assert rows == [] or name == "op13_chat_format" and [r.conv_id for r in rows] == [-7]
 
 
 def test_op1(spark, folder, docs):
@@ -198,6 +206,25 @@ def test_op10(spark, folder, docs, good):
     assert all(r.kept == (r.quality_score >= 0.5) for r in got)
 
 
+def test_op11(spark, folder):
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    moved = [(i, v, (k + 1) % 10 if i is not None and k is not None and i % 7 == 0 else k) for i, v, k in rows]
+    assert ordered(queries.op11_hard_negatives(spark, folder).collect()) == brute_negatives(moved, lambda i: i % 50 == 0)
+
+
+def test_op12(spark, folder, docs):
+    items = [tuple(r) for r in spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text").collect()]
+    assert ordered(queries.op12_lexical_search(spark, folder).collect()) == brute_ranks([(d.doc_id, d.text) for d in docs], items)
+
+
+def test_op13(spark, folder):
+    turns = [tuple(r) for r in spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    turns += [(-7, k, role, r"\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))]
+    got = queries.op13_chat_format(spark, folder).collect()
+    assert ordered(tuple(r)[:5] for r in got) == plain_chats(turns)
+    assert all(r.formatted_chars > r.loss_chars for r in got)
+
+
 def test_pipeline(spark, folder, docs, good):
     """Stage by stage against the plain versions; what lies on a threshold may go either way."""
     now = spark.read.parquet(f"{folder}/documents.parquet")

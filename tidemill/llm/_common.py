@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Separators of words: the bytes 0x20 and 0x09 to 0x0D.
@@ -117,5 +117,12 @@ class Workspace:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def first_in_groups(rows: DataFrame, group: list[str], order: list[Column], k: int, rank: str) -> DataFrame:
+    """The first ``k`` rows of each group and their place from 1 in ``rank``. A group of any size is first thinned out by task, then in parts."""
+    part = F.pmod(F.spark_partition_id(), F.lit(64))
+    thin = rows.withColumn("__part", part).withColumn(rank, F.row_number().over(Window.partitionBy(*group, "__part").orderBy(*order))).where(F.col(rank) <= k)
+    return thin.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k).drop("__part")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
