@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -113,6 +115,65 @@ def test_chunks_are_whole_even_and_within_bounds():
     assert max(map(len, made(shape))) <= 400 and min(map(len, made(shape))) >= 120
 
 
+def chunks_by_rule(text):
+    """The rule of spoken chunks word for word, on strings."""
+    paragraphs, lines = [], []
+    for line in text.splitlines() + [""]:
+        if line.strip():
+            lines.append(line.strip())
+        elif lines:
+            paragraphs.append(" ".join(lines))
+            lines = []
+    sentences = [x for p in paragraphs for x in re.split(r"(?<=[.!?…])\s+", p) if x]
+
+    def fill(limit):
+        groups = []
+        for s in sentences:
+            now = groups[-1] if groups else None
+            size = len(" ".join([*now, s])) if now else 0
+            if now and size <= 400 and (size <= limit or len(" ".join(now)) < 120):
+                now.append(s)
+            else:
+                groups.append([s])
+        return groups
+
+    if not sentences:
+        return []
+    whole, groups = len(" ".join(sentences)), fill(400)
+    for _ in range(3):
+        again = fill(whole / len(groups))
+        same, groups = len(again) == len(groups), again
+        if same:
+            break
+    made = [" ".join(g) for g in groups]
+    if len(made) > 1 and len(made[-1]) < 120:
+        *made, giver, tail = made
+        if len(f"{giver} {tail}") <= 400:
+            return [*made, f"{giver} {tail}"]
+        gives = re.split(r"(?<=[.!?…])\s+", giver)
+        while len(tail) < 120 and len(gives) > 1 and len(" ".join(gives[:-1])) >= 120:
+            tail = f"{gives.pop()} {tail}"
+        made += [" ".join(gives), tail]
+    return made
+
+
+def test_spoken_chunks_are_those_of_the_rule(spark):
+    r = random.Random(8)
+    sentence = lambda: "слово " * r.choice([0, 1, 3, 12, 40, 90]) + r.choice(["да.", "нет!", "что?", "так…", "без точки", "x"])
+    texts = ["".join(sentence() + r.choice([" ", " ", "\n", "\n\n", "\r\n\r\n", "  "]) for _ in range(r.randint(0, 40))) for _ in range(1500)]
+    texts += [t.text for t in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").collect()]
+    for t in texts:
+        assert text_packing._spoken_chunks(t) == chunks_by_rule(t)
+
+
+def test_the_query_of_spoken_chunks(spark):
+    from tidemill.plans import registry
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = [tuple(x) for x in registry.QUERIES["spoken"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted((d.doc_id, i, c) for d in docs for i, c in enumerate(chunks_by_rule(d.text or "")))
+
+
 def test_captions(spark):
     seg = lambda *t: [(float(i), i + 1.0, x) for i, x in enumerate(t)]
     cases = [seg("hello", "hello", "hello world", "world again", "again"), seg("hello world", "hello world this is a test", "unrelated"), seg("abc def", "def ghi"), seg("abc", "xyz"), seg("long abcdefgh", "abcdefghij"), seg("x abc", "abcd"), [], None]
@@ -138,6 +199,10 @@ def test_narration():
         r"проверено \(tool-2-2, tool-2-3\), готово": "проверено, готово",
         "тест [tool-2-1] конец tool-1-2": "тест конец",
         "(https://a.b/c) x": "x",
+        "текст [см. выше] дальше": "текст дальше",
+        "https://example.com/a/b. тут": "тут",
+        "см. [заметку](https://a.b/c), да": "см. да",
+        "пусто ( , ) и (), tool-7 и TOOL-2-1-3": "пусто и, tool-7 и",
         r"число \[1\] тут": "число тут",
         "роботы, IoT и т.д.": "роботы, IoT и так далее",
         "Последняя мысль.\n\n## Блоги": "Последняя мысль.",

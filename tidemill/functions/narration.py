@@ -91,10 +91,10 @@ def spoken_date(day: int, month: str, year: int) -> str:
     return f"{genitive(ordinal(day))} {month} {genitive(ordinal(year))} года"
 
 
-_ID = r"(?:tool(?:-\d+)+|\d+)"
-_DROPPED = r"tool(?:-\d+)+|https?://[^\s)]+"
-#: What isn't read: references in brackets with their link, parentheses that hold only references and links, and bare ones.
-_UNREAD = re.compile(rf"\[\s*{_ID}(?:\s*,\s*{_ID})*\s*\](?:\([^)]*\))?|\(\s*(?:(?:{_DROPPED})[\s,]*)*\)|(?<![\w-])tool(?:-\d+)+(?![\w-])|https?://\S*[^\s.,;:!?)]")
+#: What isn't read: links with what stands against them, notes in brackets, references to tools, and parentheses that are left with nothing.
+_LINK = re.compile(r"\(?https?://\S+\)?")
+_NOTE = re.compile(r"[ \t]*(?:\[[^\]]*\])+|(?<!\w)tool(?:-\d+){2,}(?!\w)", re.IGNORECASE)
+_HOLLOW = re.compile(r"\([\s,]*\)")
 _TOKEN = re.compile(
     "|".join(
         (
@@ -154,7 +154,8 @@ def _is_read(line: str) -> bool:
 
 def _speakable(text: str) -> str:
     lines = "\n".join(filter(_is_read, text.splitlines()))
-    plain = _UNREAD.sub("", html.unescape(_ESCAPED.sub(r"\1", lines)))
+    plain = html.unescape(_ESCAPED.sub(r"\1", _LINK.sub(" ", lines)))
+    plain = _HOLLOW.sub("", _NOTE.sub("", plain))
     read = "\n".join(" ".join(line.split()) for line in _TOKEN.sub(_said, plain).split("\n"))
     return re.sub(r"\s+(?=[.,;:!?])", "", read).strip()
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column
@@ -69,32 +71,52 @@ def _sentences(text: str) -> list[str]:
     return out
 
 
+def _filled(ends: list[int], limit: float) -> list[int]:
+    """Bounds of pieces, each filled before the next is begun.
+
+    A piece takes sentences while it stays within ``limit``, or as long as what it has is under the floor; never beyond the
+    ceiling, but one sentence at least. ``ends[j] - ends[i] - 1`` is the size of sentences ``i`` to ``j``, so where a piece ends is
+    found by bisection.
+    """
+    bounds, last = [0], len(ends) - 1
+    while bounds[-1] < last:
+        base = ends[bounds[-1]] + 1
+        within = bisect_right(ends, base + min(limit, MAX_CHUNK)) - 1
+        above_floor = bisect_left(ends, base + MIN_CHUNK)
+        most = bisect_right(ends, base + MAX_CHUNK) - 1
+        bounds.append(min(last, max(bounds[-1] + 1, min(most, max(within, above_floor)))))
+    return bounds
+
+
 def _spoken_chunks(text: str) -> list[str]:
-    """The division of the sentences with the fewest chunks under the floor, then the fewest chunks, then the most even sizes.
+    """Whole sentences in pieces of even sizes.
 
-    ``best[j]`` is the best division of the first ``j`` sentences; sizes come from prefix sums, and only as many
-    sentences as the ceiling holds are looked back at. A sentence over the ceiling is a chunk by itself.
+    Filling to the ceiling says how many pieces there must be; filling again to an even share of that number evens them out, up to
+    three times until the number stays. A last piece under the floor joins the one before it, or else takes over sentences from
+    its end, while that one keeps to the floor.
     """
     sentences = _sentences(text)
-    ends = [0]
-    for s in sentences:
-        ends.append(ends[-1] + len(s) + 1)
-    best: list[tuple[tuple[int, int, int], int]] = [((0, 0, 0), 0)]
-    for j in range(1, len(ends)):
-        found = None
-        for i in range(j - 1, -1, -1):
-            size = ends[j] - ends[i] - 1
-            if size > MAX_CHUNK and i < j - 1:
-                break
-            short, many, squares = best[i][0]
-            here = ((short + (size < MIN_CHUNK), many + 1, squares + size * size), i)
-            found = here if found is None else min(found, here)
-        best.append(found)
-    cuts = [len(sentences)]
-    while cuts[-1]:
-        cuts.append(best[cuts[-1]][1])
-    cuts.reverse()
-    return [" ".join(sentences[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+    if not sentences:
+        return []
+    ends = [0, *accumulate(len(s) + 1 for s in sentences)]
+    bounds, before = _filled(ends, MAX_CHUNK), 0
+    for _ in range(3):
+        if before == len(bounds):
+            break
+        before, bounds = len(bounds), _filled(ends, (ends[-1] - 1) / (len(bounds) - 1))
+    size = lambda i, j: ends[j] - ends[i] - 1
+    if len(bounds) > 2 and size(*bounds[-2:]) < MIN_CHUNK:
+        first, cut, last = bounds[-3:]
+        if size(first, last) <= MAX_CHUNK:
+            del bounds[-2]
+        else:
+            for to in range(cut - 1, first, -1):
+                if size(cut, last) >= MIN_CHUNK or size(first, to) < MIN_CHUNK:
+                    break
+                if sentences[to - 1][-1] in ".!?…":  # what no stop ends isn't told from what follows it
+                    cut = to
+            bounds[-2] = cut
+    return [" ".join(sentences[i:j]) for i, j in pairwise(bounds)]
 
 
 @vectorized("array<string>")
