@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..functions import jsons, times
 from ..functions import text as tx
-from ..operators import render, stats, text_packing
+from ..operators import archive_index, render, stats, text_packing
 from ..sources import archive, feeds, pages
 from .registry import query
 
@@ -64,19 +65,38 @@ def props_json(t):
     return t("events").select("event_id", F.expr("try_cast(from_json(props, 'page string').page as bigint)").alias("page"), p["ref"].alias("ref"))
 
 
-def _search_sql(words: list[str]) -> str:
-    tf = ", ".join(f"len(list_filter(c, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(words))
+def _search_sql(words: list[str], text: str = "text", title: str = "''") -> str:
+    terms = lambda x: rf"list_filter(regexp_split_to_array(lower({x}), '[^\pL\pM\p{{Nd}}\p{{Pc}}]+'), lambda x: x <> '')"
+    tf = ", ".join(f"3 * len(list_filter(t, lambda x: x = '{w}')) + len(list_filter(c, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(words))
     df = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(words)))
     score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / mean))" for i in range(len(words)))
     hit = " OR ".join(f"tf{i} > 0" for i in range(len(words)))
-    return rf"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pM\p{{Nd}}\p{{Pc}}]+'), lambda x: x <> '') AS c FROM documents),
-f AS (SELECT doc_id, len(c) AS len, {tf} FROM w), s AS (SELECT count(*) AS n, avg(len) AS mean, {df} FROM f)
+    return rf"""WITH w AS (SELECT doc_id, {terms(text)} AS c, {terms(title)} AS t FROM documents),
+f AS (SELECT doc_id, 3 * len(t) + len(c) AS len, {tf} FROM w), s AS (SELECT count(*) AS n, avg(len) AS mean, {df} FROM f)
 SELECT doc_id, round(0.0 + {score}, 6) AS score FROM f, s WHERE {hit} ORDER BY score DESC, doc_id LIMIT 30"""
 
 
+def _found(docs, path, words):
+    return archive_index.search(docs.sparkSession, path, words).select(F.col("id").alias("doc_id"), "score")
+
+
 @query(_search_sql(["the", "thing"]))
 def search_topk(t):
-    return render.search(t("documents").withColumn("title", F.lit("")), "The thing", id_col="doc_id", content_col="text")
+    docs = t("documents").withColumn("title", F.lit(""))
+    path = storage.scratch(docs.sparkSession, "archive")
+    archive_index.upsert(docs, path, id_col="doc_id", content_col="text")
+    return _found(docs, path, "The thing")
+
+
+@query(_search_sql(["en", "la", "thing"], "CASE WHEN doc_id % 3 = 0 THEN text || ' la thing' ELSE text END", "CASE WHEN doc_id % 3 = 0 THEN lang ELSE '' END"))
+def search_upserted(t):
+    """A third of the documents comes again with another title and text."""
+    docs = t("documents").select("doc_id", "text", F.lit("").alias("title"), "lang")
+    path = storage.scratch(docs.sparkSession, "archive")
+    archive_index.upsert(docs, path, id_col="doc_id", content_col="text")
+    again = docs.where("doc_id % 3 = 0").select("doc_id", F.concat("text", F.lit(" la thing")).alias("text"), F.col("lang").alias("title"))
+    archive_index.upsert(again, path, id_col="doc_id", content_col="text")
+    return _found(docs, path, "la en THING, la")
 
 
 @query("SELECT doc_id, CASE WHEN length(text) < 2 THEN NULL ELSE trim(text) END IS NOT NULL AS searchable FROM (SELECT doc_id, substring(trim(regexp_replace(text, '[\\s\\x0B\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')), 1, 200) AS text FROM documents)")
