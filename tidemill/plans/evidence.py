@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
+from .. import storage
 from ..operators import evidence
+from ..streaming import ledger
 from .registry import query
 
+_NOW = dt.datetime(2024, 8, 6, 10)
+
 _FIELD = "CASE l_orderkey % 5 WHEN 0 THEN 'title' WHEN 4 THEN 'summary' ELSE 'content' END"
-_TEXT = "CASE l_linenumber % 6 WHEN 0 THEN repeat('x', 1001) WHEN 1 THEN '' WHEN 2 THEN '   ' WHEN 3 THEN NULL ELSE l_shipmode END".replace("l_shipmode", "l_returnflag || l_linestatus")
+_TEXT = "CASE l_linenumber % 6 WHEN 0 THEN repeat('x', 1001) WHEN 1 THEN '' WHEN 2 THEN '   ' WHEN 3 THEN NULL ELSE l_returnflag || l_linestatus END"
 _IMPORTANCE = "CASE l_partkey % 4 WHEN 0 THEN 'headline' WHEN 1 THEN 'minor' ELSE 'load_bearing' END"
 
 
@@ -131,3 +137,38 @@ def order_gaps(t):
     missing, unknown = evidence.order_gaps(loaded, listed)
     wanted = F.when(F.col("s_nationkey") % 2 > 0, listed).otherwise(F.when(F.col("s_nationkey") % 4 == 0, F.array().cast("array<string>")))
     return t("supplier").select("s_suppkey", missing.alias("missing"), unknown.alias("unknown"), evidence.in_languages(F.lit("a"), wanted).alias("sent"))
+
+
+_SHA = lambda schema, payload: f"sha256('{schema}' || chr(0) || {payload})"
+_FETCHED, _SELECTED = "'fetched ' || doc_id || ' ' || coalesce(text, '')", "'selected ' || top || ' ' || source"
+
+
+@query(f"""
+WITH f AS (SELECT doc_id, source, {_SHA("fetched-input/v1", _FETCHED)} AS snapshot FROM documents),
+m AS (SELECT doc_id // 6 * 6 AS top, min(doc_id) OVER (PARTITION BY doc_id // 6) AS first, doc_id, snapshot FROM f),
+s AS (SELECT top, (SELECT source FROM documents d WHERE d.doc_id = top) AS source, list(snapshot ORDER BY doc_id) AS snapshots FROM m GROUP BY top)
+SELECT top AS doc_id, {_SHA("selected-input/v1", _SELECTED)} AS snapshot_id, sha256(array_to_string(snapshots, ',')) AS lineage, CAST(len(snapshots) AS INTEGER) AS n, 'selected' AS stage FROM s""")
+def ledger_lineage(t):
+    """All documents fetched in one run; every sixth selected, for three pairs that were merged by URL and then by topic."""
+    docs = t("documents").select("doc_id", "text", "source")
+    book = ledger.Ledger(docs.sparkSession, storage.scratch(docs.sparkSession, "ledger"))
+    named = lambda c: F.col(c).cast("string")
+    book.start("run-1", docs.select(named("doc_id").alias("item_id"), F.col("source").alias("source_type"), F.expr(_FETCHED).alias("payload")), _NOW)
+    pairs = docs.select(F.expr("cast(doc_id div 2 * 2 as string)").alias("survivor"), F.expr("cast(doc_id % 2 as int)").alias("ord"), named("doc_id").alias("member"))
+    topics = docs.where("doc_id % 2 = 0").select(F.expr("cast(doc_id div 6 * 6 as string)").alias("survivor"), F.expr("cast(doc_id % 6 as int)").alias("ord"), named("doc_id").alias("member"))
+    chosen = docs.where("doc_id % 6 = 0").withColumn("top", F.col("doc_id"))
+    book.capture_selected("run-1", chosen.select(named("doc_id").alias("item_id"), F.col("source").alias("source_type"), F.lit("tech").alias("profile"), F.expr(_SELECTED).alias("payload")), pairs, topics, _NOW)
+    return book.table("run-1", "selected").select(F.col("item_id").cast("long").alias("doc_id"), "snapshot_id", F.sha2(F.array_join("fetched_snapshots", ","), 256).alias("lineage"), F.size("fetched_snapshots").alias("n"), F.lit(book.manifest("run-1")["stage"]).alias("stage"))
+
+
+@query("SELECT 'fetched' AS measure, source AS name, count(*) AS n FROM documents GROUP BY source UNION ALL SELECT 'selected', lang, count(*) FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY lang")
+def ledger_collection(t):
+    """What the newest readable run fetched and selected; a newer one has written no manifest."""
+    docs, good = t("documents"), t("labels").where("quality = 1").select("doc_id").distinct()
+    book = ledger.Ledger(docs.sparkSession, storage.scratch(docs.sparkSession, "ledger"))
+    items = lambda df: df.select(F.col("doc_id").cast("string").alias("item_id"), F.col("source").alias("source_type"), F.col("lang").alias("profile"), F.to_json(F.struct("doc_id", "text")).alias("payload"))
+    none = docs.sparkSession.createDataFrame([], "survivor string, ord int, member string")
+    book.start("run-1", items(docs), _NOW)
+    book.capture_selected("run-1", items(docs.join(good, "doc_id")), none, none, _NOW)
+    docs.select("doc_id").write.parquet(f"{book.root}/runs/run-2/fetched-unfinished")
+    return book.collection(book.readable())

@@ -8,7 +8,7 @@ from .. import storage
 from ..functions import jsons, times
 from ..functions import text as tx
 from ..operators import archive_index, render, stats, text_packing
-from ..sources import archive, feeds, pages
+from ..sources import archive, captures, feeds, pages
 from .registry import query
 
 
@@ -168,3 +168,14 @@ def interest_match(t):
 def appended_discussion(t):
     lines = t("conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("lines"))
     return t("documents").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("content")).join(lines, "conv_id", "left").select("conv_id", feeds.with_discussion(F.col("content"), F.col("lines")).alias("content"))
+
+
+@query("SELECT event_id, 'capture-' || event_id % 3 AS capture, 'events' AS source, json_extract_string(props, '$.k') AS k, event_type FROM events")
+def captured_events(t):
+    """All events written as three captures of one source and read back by the data source."""
+    events = t("events").select("event_id", "event_type", "props")
+    path = storage.scratch(events.sparkSession, "captures")
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).select(F.to_json(F.struct("event_id", "event_type", "props"))).write.text(f"{path}/events/capture-{k}")
+    read = captures.captured(events.sparkSession, path, "events").select("capture", "source", F.from_json("body", "event_id long, event_type string, props string").alias("e"))
+    return read.select("e.event_id", "capture", "source", F.get_json_object("e.props", "$.k").alias("k"), "e.event_type")
