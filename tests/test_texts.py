@@ -53,7 +53,6 @@ def test_escapes(spark):
     assert one(spark, tx.has_cjk_leak(F.lit("текст 中"), "ru")) and not one(spark, tx.has_cjk_leak(F.lit("中"), "zh-CN"))
     assert one(spark, tx.normalized_lines(F.lit("a \t b\r\n\r\n\rc "))) == "a b\nc"
     assert one(spark, tx.headers(F.lit("A: 1\nbad\nA: 2\nB:x:y"))) == {"A": "2", "B": "x:y"}
-    assert one(spark, tx.rendered(F.lit("#{a} #{b}"), {"a": F.lit("1")})) == "1 #{b}"
 
 
 def test_titles(spark):

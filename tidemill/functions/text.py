@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from urllib.parse import urlsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -136,13 +138,6 @@ def normalized_lines(text: Column, limit: int = 100_000) -> Column:
     return F.nullif(F.substring(F.array_join(plain, "\n"), 1, limit), F.lit(""))
 
 
-def rendered(template: Column, values: dict[str, Column]) -> Column:
-    """``#{key}`` replaced by its value; unknown keys stay."""
-    for key, value in values.items():
-        template = F.replace(template, F.lit("#{" + key + "}"), F.coalesce(value, F.lit("")))
-    return template
-
-
 def headers(text: Column) -> Column:
     """``Name: value`` lines as a map, the last of a name winning."""
     lines = F.filter(F.split(text, "\\r?\\n"), lambda x: x.rlike("^\\s*[^:\\s][^:]*:"))
@@ -157,10 +152,48 @@ def plural_index(n: Column) -> Column:
     return F.when((ten == 1) & (hundred != 11), 0).when(ten.between(2, 4) & ~hundred.between(12, 14), 1).otherwise(2)
 
 
-def plain_summary(text: Column) -> Column:
-    """``<details>`` made headed paragraphs, other tags dropped, blank lines collapsed."""
-    opened = F.regexp_replace(text, "(?is)<details[^>]*>\\s*<summary[^>]*>(.*?)</summary>(.*?)</details>", "\n**$1**\n\n$2\n")
-    return strip(F.regexp_replace(F.regexp_replace(opened, "(?i)</?(?:details|summary|a|p|div|span|br)\\b[^>]*>", ""), "\\n{3,}", "\n\n"))
+_DETAILS = re.compile(r"<details>\s*<summary>(.*?)</summary>\s*(.*?)\s*</details>", re.I | re.S)
+_ANCHOR = re.compile(r"<a\s+[^>]*id=[\"'][^\"']+[\"'][^>]*>\s*</a>", re.I)
+_POINT = re.compile(r"<li>\s*(.*?)\s*</li>", re.I | re.S)
+_POINTED = re.compile(r"\s*<a\s+[^>]*href=[\"']([^\"']+)[\"'][^>]*>(.*?)</a>\s*", re.I | re.S)
+_SCHEMES = ("http", "https", "mailto")
+
+
+def _shown(markup: str) -> str:
+    """What a piece of HTML says, for Markdown."""
+    said = " ".join(html.unescape(re.sub("<[^>]+>", "", markup)).split())
+    return re.sub(r"[\\`*_{}\[\]<>()#+!|]", r"\\\g<0>", said)
+
+
+def _is_link(url: str) -> bool:
+    """A link that Markdown can hold: of a known scheme, with a place, its parentheses in pairs, nothing that breaks out."""
+    if re.search(r"[\x00-\x1f\x7f\s<>\[\]\\]", url) or url.count("(") != url.count(")"):
+        return False
+    try:
+        parts = urlsplit(url)
+    except ValueError:
+        return False
+    return parts.scheme in _SCHEMES and bool(parts.path if parts.scheme == "mailto" else parts.netloc)
+
+
+def _pointed(point: str) -> str:
+    m = _POINTED.fullmatch(point)
+    if m is None:
+        return _shown(point)
+    url, label = html.unescape(m[1]).strip(), _shown(m[2])
+    return f"[{label}]({url})" if label and _is_link(url) else label
+
+
+def _section(m: re.Match) -> str:
+    points = [f"- {x}" for x in map(_pointed, _POINT.findall(m[2])) if x]
+    inside = "\n".join(points) or _shown(m[2])
+    return f"**{_shown(m[1]) or 'References'}**" + (f"\n\n{inside}" if inside else "")
+
+
+@vectorized("string")
+def details_to_markdown(text: pd.Series) -> pd.Series:
+    """Folded sections made headings with their points, empty anchors dropped; other HTML stays, whoever shows it knows what is safe."""
+    return text.map(lambda t: None if t is None else _DETAILS.sub(_section, _ANCHOR.sub("", t)))
 
 
 def without_tool_tokens(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..functions import jsons, times
+from ..functions import jsons, templates, times
 from ..functions import text as tx
 from ..operators import archive_index, render, stats, text_packing
 from ..sources import archive, captures, feeds, pages
@@ -179,3 +179,14 @@ def captured_events(t):
         events.where(F.col("event_id") % 3 == k).select(F.to_json(F.struct("event_id", "event_type", "props"))).write.text(f"{path}/events/capture-{k}")
     read = captures.captured(events.sparkSession, path, "events").select("capture", "source", F.from_json("body", "event_id long, event_type string, props string").alias("e"))
     return read.select("e.event_id", "capture", "source", F.get_json_object("e.props", "$.k").alias("k"), "e.event_type")
+
+
+@query(r"""
+WITH s AS (SELECT doc_id, source, text, string_split(text, '. ') AS p FROM documents),
+k AS (SELECT *, array_to_string(p[1:list_max(list_filter(range(1, least(len(p), 102) + 1), lambda k: k = 1 OR length(array_to_string(p[1:k], '. ')) <= 200))], '. ') AS short FROM s)
+SELECT doc_id, '{"kind": "note", "n": 3, "content": {"title": ' || to_json('From "' || source || '": ' || short)::VARCHAR || ', "all": [' || to_json(text)::VARCHAR || ', "#{nobody}"]}}' AS body FROM k""")
+def webhook_bodies(t):
+    """A message's body for every document: a whole text and its first sentences in a tree of templates."""
+    docs = t("documents")
+    tree = {"kind": "note", "n": 3, "content": {"title": 'From "#{source}": #{text?limit=200&split=. }', "all": ["#{text}", "#{nobody}"]}}
+    return docs.select("doc_id", templates.compiled_json(tree, {"source": F.col("source"), "text": F.col("text")}).alias("body"))
