@@ -11,17 +11,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.udfs import vectorized
+from ..functions.udfs import let, vectorized
 
 #: Characters of a headline message; floor and ceiling of a spoken chunk.
 HEADLINE_CHARS, MIN_CHUNK, MAX_CHUNK = 3900, 120, 400
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def packed_lines(lines: Column, limit: int = HEADLINE_CHARS, joint: str = "\n") -> Column:
     """Lines in messages of at most ``limit`` characters, greedily; a longer line is a message by itself."""
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))

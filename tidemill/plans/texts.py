@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import storage
-from ..functions import jsons, templates, times
+from ..functions import configs, jsons, templates, times
 from ..functions import text as tx
 from ..operators import archive_index, render, stats, text_packing
 from ..sources import archive, captures, feeds, pages
@@ -190,3 +190,16 @@ def webhook_bodies(t):
     docs = t("documents")
     tree = {"kind": "note", "n": 3, "content": {"title": 'From "#{source}": #{text?limit=200&split=. }', "all": ["#{text}", "#{nobody}"]}}
     return docs.select("doc_id", templates.compiled_json(tree, {"source": F.col("source"), "text": F.col("text")}).alias("body"))
+
+
+_ENV = {"HOST": "h.example", "TOKEN": "t-1", "WHO": "${HOST}"}
+
+
+@query("""SELECT c_custkey, '{"api_key":"<redacted>","feeds":[{"deep":[[{"name":"' || c_name || ' ${HOST} ${NOBODY}"}]],"url":"https://<redacted>@h.example:8443/' || c_custkey || '?token=%3Credacted%3E&n=' || c_nationkey || '"}],"headers":"Authorization: <redacted>\\nX-Segment: ' || c_mktsegment || '","limit":' || c_nationkey || ',"token_env":"TOKEN"}' AS config FROM customer""")
+def config_trees(t):
+    """A configuration for each customer, references put in and secrets taken out."""
+    c = F.col
+    feed = F.struct(F.concat(F.lit("https://me:${TOKEN}@${HOST}:8443/"), c("c_custkey").cast("string"), F.lit("?token=${TOKEN}&n="), c("c_nationkey").cast("string")).alias("url"), F.array(F.array(F.struct(F.concat("c_name", F.lit(" ${WHO} ${NOBODY}")).alias("name")))).alias("deep"))
+    tree = F.struct(F.array(feed).alias("feeds"), F.lit("k-${TOKEN}").alias("api_key"), F.lit("TOKEN").alias("token_env"), c("c_nationkey").alias("limit"), F.concat(F.lit("Authorization: Bearer ${TOKEN}\nX-Segment: "), "c_mktsegment").alias("headers"))
+    env = F.create_map(*[F.lit(x) for pair in _ENV.items() for x in pair])
+    return t("customer").select("c_custkey", F.to_json(configs.redacted(configs.expanded(F.parse_json(F.to_json(tree)), env))).alias("config"))
