@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import verify
+from ..operators import evaluation, verify
 from ..streaming import incidents
 from .registry import query
 
+#: Passages up to this number (their texts and a key each) are broadcast.
+BROADCAST_PASSAGES = 20_000
+
 _KIND = "CASE l_orderkey % 7 WHEN 0 THEN 'announcement' WHEN 1 THEN 'release' WHEN 2 THEN 'quote' WHEN 3 THEN 'quantity' WHEN 4 THEN 'event' WHEN 5 THEN 'opinion' ELSE 'other' END"
 _CHECK = "CASE WHEN l_orderkey % 11 = 0 THEN 'not_checkable' ELSE 'checkable' END"
 _STANCE = "CASE WHEN l_linenumber % 5 = 4 THEN 'contradicts' WHEN l_linenumber % 7 = 6 THEN 'context' ELSE 'supports' END"
@@ -63,16 +66,22 @@ def stop_reason(t):
 @query("SELECT b.item_id, d.doc_id, CAST(instr(d.text, b.text) - 1 AS INT) AS source_start FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> '' AND instr(substring(d.text, instr(d.text, b.text) + 1), b.text) = 0")
 def anchored_spans(t):
     """Whole passages in whole documents. A passage's fourth to sixth words stand whole in any text that holds it, so
-    that only documents with those three words in a row are searched for it; passages of fewer words are searched for in all.
+    that only documents with those three words in a row are searched for it; for one of three to seven words, only documents with
+    its second word. Passages of one or two words are searched for in all.
     """
     b = t("benchmark").select("item_id", F.col("text").alias("span")).where("span <> ''").withColumn("w", F.split("span", "[\\s\\x0B]+"))
     words = F.filter(F.split("text", "[\\s\\x0B]+"), lambda w: w != "")
     docs = t("documents").select("doc_id", "text")
-    rows = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.element_at("w", i), F.element_at("w", i + 1), F.element_at("w", i + 2)))
-    inner = b.where(F.size("w") >= 8).select("item_id", "span", F.xxhash64(F.element_at("w", 4), F.element_at("w", 5), F.element_at("w", 6)).alias("key"))
-    keys = docs.select("doc_id", words.alias("w")).where(F.size("w") >= 3).select("doc_id", F.explode(F.array_distinct(rows)).alias("key"))
-    met = keys.join(inner, "key").select("doc_id", "item_id", "span").join(docs, "doc_id")
-    few = docs.join(b.where(F.size("w") < 8).select("item_id", "span"), F.contains("text", F.col("span"))).select("doc_id", "item_id", "span", "text")
+    three = lambda w, i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2))
+    long, middle = F.size("w") >= 8, F.size("w").between(3, 7)
+    keyed = b.where(long | middle).select("item_id", "span", F.when(long, three(F.col("w"), F.lit(4))).otherwise(F.xxhash64(F.element_at("w", 2))).alias("key"))
+    # passages are few beside documents: where they are, each task looks its documents' keys up and nothing is shuffled
+    asked = F.broadcast(keyed) if keyed.count() <= BROADCAST_PASSAGES else keyed
+    rows = F.when(F.size("w") >= 3, F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: three(F.col("w"), i))).otherwise(F.array().cast("array<bigint>"))
+    ones = F.transform("w", lambda x: F.xxhash64(x))
+    keys = docs.select("doc_id", words.alias("w")).select("doc_id", F.explode(F.array_distinct(F.concat(rows, ones))).alias("key"))
+    met = keys.join(asked, "key").select("doc_id", "item_id", "span").distinct().join(docs, "doc_id")
+    few = docs.join(b.where(F.size("w") < 3).select("item_id", "span"), F.contains("text", F.col("span"))).select("doc_id", "item_id", "span", "text")
     pairs = met.unionByName(few).where(F.contains("text", F.col("span")))
     return pairs.select("item_id", "doc_id", verify.span_start(F.col("text"), F.col("span")).alias("source_start")).where("source_start is not null")
 
@@ -85,3 +94,37 @@ def incident_merge(t):
     rec = e.select(F.col("event_id").alias("ord"), F.concat(F.lit("incident-"), F.col("user_id").cast("string")).alias("incident_id"), F.lit("security").alias("profile"), F.col("props").alias("claim"), state.alias("state"), F.col("event_id").cast("string").alias("item_id"), F.concat(F.lit("https://example.org/"), F.col("event_id").cast("string")).alias("url"), F.lit(None).cast("string").alias("checked_at"), F.lit(None).cast("string").alias("next_check_at"))
     old = incidents.merged(spark.createDataFrame([], incidents.SCHEMA), rec.where("ord % 2 = 0"), "2024-01-29T00:00:00Z")
     return incidents.merged(old, rec.where("ord % 2 = 1"), "2024-01-30T00:00:00Z")
+
+
+_STANCE_OF = "CASE o_orderstatus WHEN 'F' THEN 'supports' WHEN 'O' THEN 'contradicts' ELSE 'context' END"
+_CLASS_OF = "CASE o_orderpriority WHEN '1-URGENT' THEN 'original' WHEN '2-HIGH' THEN 'competent_record' ELSE 'independent_reporting' END"
+_MATCH_OF = "CASE WHEN o_orderkey % 5 > 0 AND o_orderkey % 3 = o_custkey % 3 THEN 'match' ELSE 'mismatch' END"
+_EXPECTED = "CASE c_custkey % 3 WHEN 0 THEN 'supported_by_evidence' WHEN 1 THEN 'insufficient_evidence' ELSE 'mixed_evidence' END"
+
+
+@query(f"""
+WITH k AS (SELECT o_custkey AS id, {_STANCE_OF} AS stance, {_CLASS_OF} AS class, o_orderkey % 2 AS origin FROM orders WHERE {_MATCH_OF} = 'match'),
+g AS (SELECT id, bool_or(stance = 'supports') AS s, bool_or(stance = 'contradicts') AS c, bool_or(stance = 'contradicts' AND class <> 'independent_reporting') AS dc, bool_or(stance = 'supports' AND class <> 'independent_reporting') AS ds,
+  bool_or(stance = 'supports' AND class = 'competent_record') AS rs, count(DISTINCT origin) FILTER (stance = 'supports') AS origins FROM k GROUP BY id),
+a AS (SELECT c_custkey AS case_id, {_EXPECTED} AS expected, CASE WHEN c_custkey % 7 = 0 THEN 'not_checkable' WHEN c_custkey % 10 = 0 THEN 'verification_error' WHEN s AND c THEN 'mixed_evidence' WHEN dc THEN 'contradicted_by_evidence'
+  WHEN CASE WHEN c_nationkey % 2 = 0 THEN rs OR origins >= 2 ELSE ds END THEN 'supported_by_evidence' ELSE 'insufficient_evidence' END AS actual FROM customer LEFT JOIN g ON id = c_custkey)
+SELECT case_id, expected, actual, expected = actual AS passed, actual = 'supported_by_evidence' AND expected <> actual AS false_supported FROM a""")
+def adversarial_replay(t):
+    """A case of adjudication for each customer, its cards the customer's orders."""
+    orders = t("orders").selectExpr("o_custkey", f"struct({_STANCE_OF} AS stance, {_CLASS_OF} AS source_class, {_MATCH_OF} AS entity_match, cast(o_orderkey % 2 as string) AS origin_key) AS card")
+    cards = orders.groupBy("o_custkey").agg(F.collect_list("card").alias("cards"))  # the cards of one case
+    rows = t("customer").join(cards, F.col("c_custkey") == F.col("o_custkey"), "left")
+    case = F.struct(F.lit("adjudication").alias("type"), F.expr(_EXPECTED).alias("expected_status"), (F.col("c_custkey") % 10 == 0).alias("required_stage_error"), F.struct(F.when(F.col("c_nationkey") % 2 == 0, "event").otherwise("release").alias("kind"), F.when(F.col("c_custkey") % 7 == 0, "not_checkable").otherwise("checkable").alias("checkability")).alias("claim"), "cards")
+    return evaluation.replayed(rows.select(F.col("c_custkey").alias("case_id"), F.to_json(case).alias("case"))).drop("type")
+
+
+@query("""
+WITH p AS (SELECT doc_id, doc_id % 11 > 0 AS a, doc_id % 13 > 0 AS b, lang, n_chars FROM documents)
+SELECT doc_id, 'present' AS field, CAST(a AS VARCHAR) AS one, CAST(b AS VARCHAR) AS two FROM p WHERE a <> b
+UNION ALL SELECT doc_id, 'lang', lang, 'xx' FROM p WHERE a AND b AND doc_id % 5 = 0
+UNION ALL SELECT doc_id, 'n_chars', CAST(n_chars AS VARCHAR), CAST(n_chars + 1 AS VARCHAR) FROM p WHERE a AND b AND doc_id % 7 = 0""")
+def compared_runs(t):
+    """Two runs over all documents that differ in some, and that each lack some."""
+    docs = t("documents").select("doc_id", "lang", "n_chars", "source")
+    two = docs.where("doc_id % 13 > 0").withColumns({"lang": F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")), "n_chars": F.col("n_chars") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)})
+    return evaluation.compared_runs(docs, docs.where("doc_id % 11 > 0"), two, key="doc_id")
