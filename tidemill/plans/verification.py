@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, verify
+from ..operators import evaluation, site_pages, verify
 from ..streaming import incidents
 from .registry import query
 
@@ -128,3 +128,34 @@ def compared_runs(t):
     docs = t("documents").select("doc_id", "lang", "n_chars", "source")
     two = docs.where("doc_id % 13 > 0").withColumns({"lang": F.when(F.col("doc_id") % 5 == 0, "xx").otherwise(F.col("lang")), "n_chars": F.col("n_chars") + F.when(F.col("doc_id") % 7 == 0, 1).otherwise(0)})
     return evaluation.compared_runs(docs, docs.where("doc_id % 11 > 0"), two, key="doc_id")
+
+
+_PAGE_KIND = "CASE l_linenumber % 3 WHEN 0 THEN 'event' WHEN 1 THEN 'quote' ELSE 'opinion' END"
+_PAGE_STATUS = "CASE l_linenumber % 4 WHEN 0 THEN 'mixed_evidence' WHEN 1 THEN 'verification_error' ELSE 'supported_by_evidence' END"
+_PAGE_STANCE = "CASE s_suppkey % 5 WHEN 0 THEN 'irrelevant' WHEN 1 THEN 'contradicts' WHEN 2 THEN 'context' ELSE 'supports' END"
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey, min(l_partkey) AS l_partkey, min(l_returnflag) AS l_returnflag FROM lineitem WHERE l_linenumber % 6 > 0 GROUP BY ALL),
+ids AS (SELECT l_orderkey, l_linenumber, 0 AS n, l_suppkey AS e FROM l UNION ALL SELECT l_orderkey, l_linenumber, 1, l_partkey % 40 FROM l UNION ALL SELECT l_orderkey, l_linenumber, 2, l_suppkey FROM l),
+c AS (SELECT s_suppkey AS e, {_PAGE_STANCE} AS stance, 'https://s' || s_suppkey % 9 || '.example/' AS url FROM supplier WHERE s_suppkey % 5 > 0),
+f AS (SELECT l_orderkey, l_linenumber, url, stance, min(n) AS n FROM ids JOIN c USING (e) GROUP BY ALL),
+s AS (SELECT l_orderkey, l_linenumber, string_agg(stance || ' ' || url, ' ' ORDER BY n) AS sources FROM f GROUP BY ALL),
+k AS (SELECT l.*, {_PAGE_KIND} AS kind, {_PAGE_STATUS} AS status, coalesce(sources, '') AS sources FROM l LEFT JOIN s USING (l_orderkey, l_linenumber)),
+t AS (SELECT l_orderkey, count(*) AS n, string_agg(l_returnflag || l_linenumber || ' ' || kind || ' ' || CASE status WHEN 'mixed_evidence' THEN 'disputed' WHEN 'verification_error' THEN 'check_error' ELSE CASE kind WHEN 'event' THEN 'corroborated_event' WHEN 'quote' THEN 'attributed_quote' ELSE 'anecdotal' END END || ': ' || sources, '; ' ORDER BY l_linenumber) AS said FROM k GROUP BY l_orderkey)
+SELECT o_orderkey AS report_id, c_name AS title, CAST(coalesce(n, 0) AS INTEGER) AS claims, coalesce(said, '') AS said FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN t ON l_orderkey = o_orderkey""")
+def page_models(t):
+    """A report for each order about its customer, its lines the claims; suppliers are cards."""
+    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_returnflag")])
+    key = F.concat("l_orderkey", F.lit("-"), "l_linenumber")
+    named = lambda x: F.concat(F.lit("e"), x.cast("string"))
+    row = F.struct("l_linenumber", F.struct(key, F.expr(_PAGE_STATUS)).alias("status"), F.struct(key, F.array(named(F.col("l_suppkey")), named(F.col("l_partkey") % 40), named(F.col("l_suppkey")))).alias("ids"))
+    of = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("x"))  # the lines of one order
+    maps = of.select("l_orderkey", F.map_from_entries(F.transform("x", lambda v: v["status"])).alias("status_by_claim"), F.map_from_entries(F.transform("x", lambda v: v["ids"])).alias("evidence_ids_by_claim"))
+    reports = t("orders").join(maps, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("item_id"), F.col("o_orderdate").alias("checked_at"), "status_by_claim", "evidence_ids_by_claim")
+    items = t("customer").select(F.col("c_custkey").alias("item_id"), F.col("c_name").alias("title"), F.lit("https://n.example/").alias("url"), F.lit(None).cast("timestamp").alias("published_at"))
+    claims = lines.where("l_linenumber % 6 > 0").select(key.alias("claim_id"), F.expr(_PAGE_KIND).alias("kind"), F.concat("l_returnflag", "l_linenumber").alias("source_text"), F.lit("said").alias("normalized_claim"))
+    cards = t("supplier").select(named(F.col("s_suppkey")).alias("evidence_id"), F.col("s_suppkey").alias("snapshot_id"), F.expr(_PAGE_STANCE).alias("stance"), F.lit("original").alias("source_class"))
+    snapshots = t("supplier").select(F.col("s_suppkey").alias("snapshot_id"), F.concat(F.lit("https://s"), (F.col("s_suppkey") % 9).cast("string"), F.lit(".example/")).alias("final_url"))
+    said = F.transform("claims", lambda c: F.concat(c["text"], F.lit(" "), c["kind"], F.lit(" "), c["public_status"], F.lit(": "), F.array_join(F.transform(c["sources"], lambda s: F.concat(s["stance"], F.lit(" "), s["url"])), " ")))
+    return site_pages.page_models(reports, items, claims, cards, snapshots).select("report_id", "title", F.size("claims").alias("claims"), F.array_join(said, "; ").alias("said"))
