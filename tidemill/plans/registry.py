@@ -30,4 +30,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import contracts, evidence, retrieval, selection, texts, verification  # noqa: E402, F401
+from . import contracts, evidence, retrieval, rows, selection, texts, verification  # noqa: E402, F401
