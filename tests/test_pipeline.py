@@ -80,6 +80,19 @@ def test_run(spark, tmp_path):
         p.store.load("../etc", "raw")
 
 
+def test_second_pass_and_failed_enrichment(spark, tmp_path):
+    config = Config(profiles={"tech": ProfileSettings(5.0, {})}, default_profile="tech")
+    p = Pipeline(spark, str(tmp_path / "runs"), config, fake)
+    items = rows(spark, ("tech great one", "x", None), ("tech great two", "y", None), ("tech great three", "z", None))
+    run_id = p.fetch_items({"a": items}, NOW)["run_id"]
+    p.score_items(run_id)
+    assert sorted(r.id for r in p.filter_items(run_id).collect()) == ["i0", "i1", "i2"]
+    lowered = p.filter_items(run_id, expand=lambda df: df.withColumns({"content": F.concat("content", F.lit(" more")), "score": F.when(F.col("id") == "i1", 1.0).otherwise(F.col("score"))}))
+    assert sorted((r.id, r.content) for r in lowered.collect()) == [("i0", "x more"), ("i2", "z more")]
+    done = p.enrich_items(run_id, lambda df: df.withColumn("artifact", F.lit(None).cast("string")).withColumn("enrichment_failed", F.when(F.col("id") == "i2", True)))
+    assert [r.id for r in done.collect()] == ["i0"] and "enrichment_failed" not in done.columns
+
+
 def test_run_ids_rise(spark, tmp_path):
     store = runs.RunStore(spark, str(tmp_path))
     a, b = store.create(NOW), store.create(NOW)

@@ -71,28 +71,30 @@ def merged_across_sources(items: DataFrame) -> DataFrame:
     )
 
 
-def merged_topics(items: DataFrame, groups: DataFrame) -> DataFrame:
+def merged_topics(items: DataFrame, groups: DataFrame, by: str | None = None) -> DataFrame:
     """``items(pos, id, content, source_type, ...)`` merged by proposed ``groups(group_id, members)`` of positions.
 
     The first member keeps, the others go; groups whose first member is out of range, and members that
     are out of range or the first itself, count for nothing. A dropped item may still give or take in a
-    later group, so contents are folded in the order of the groups. Positions run from 0 within the table;
-    ``lineage`` lists the ids that went into each survivor.
+    later group, so contents are folded in the order of the groups. Positions run from 0 within the table, or
+    within each value of the column ``by``, which both tables then have; ``lineage`` lists the ids that went into each survivor.
     """
-    n = items.agg(F.count("*").alias("__count"))
-    valid = groups.crossJoin(F.broadcast(n)).select("group_id", "members", "__count").where((F.size("members") >= 2) & (F.element_at("members", 1) >= 0) & (F.element_at("members", 1) < F.col("__count")))
-    flat = valid.select("group_id", F.element_at("members", 1).alias("keep"), F.posexplode(F.slice("members", 2, F.size("members"))).alias("rank", "gone"), "__count").where("gone >= 0 and gone < __count and gone <> keep").drop("__count")
-    given = flat.join(items.select(F.col("pos").alias("gone"), F.col("id").alias("gone_id"), F.col("content").alias("gone_content"), F.col("source_type").alias("gone_source")), "gone")
-    gifts = given.groupBy("keep").agg(F.array_sort(F.collect_list(F.struct("group_id", "rank", "gone_id", "gone_content", "gone_source"))).alias("gifts"))
+    keys = [] if by is None else [by]
+    n = items.groupBy(*keys).agg(F.count("*").alias("__count"))
+    counted = groups.join(n, keys) if keys else groups.crossJoin(F.broadcast(n))
+    valid = counted.where((F.size("members") >= 2) & (F.element_at("members", 1) >= 0) & (F.element_at("members", 1) < F.col("__count")))
+    flat = valid.select(*keys, "group_id", F.element_at("members", 1).alias("keep"), F.posexplode(F.slice("members", 2, F.size("members"))).alias("rank", "gone"), "__count").where("gone >= 0 and gone < __count and gone <> keep").drop("__count")
+    given = flat.join(items.select(*keys, F.col("pos").alias("gone"), F.col("id").alias("gone_id"), F.col("content").alias("gone_content"), F.col("source_type").alias("gone_source")), [*keys, "gone"])
+    gifts = given.groupBy(*keys, F.col("keep").alias("pos")).agg(F.array_sort(F.collect_list(F.struct("group_id", "rank", "gone_id", "gone_content", "gone_source"))).alias("gifts"))
 
     def fold(acc: Column, x: Column) -> Column:
         add = F.concat(F.coalesce(acc, F.lit("")), F.lit("\n\n--- From "), x["gone_source"], F.lit(" ---\n"), x["gone_content"])
         return F.when((F.coalesce(x["gone_content"], F.lit("")) != "") & ~F.contains(F.coalesce(acc, F.lit("")), x["gone_content"]), add).otherwise(acc)
 
-    kept = items.join(flat.select(F.col("gone").alias("pos")).distinct(), "pos", "left_anti").join(gifts, items["pos"] == F.col("keep"), "left")
+    kept = items.join(flat.select(*keys, F.col("gone").alias("pos")).distinct(), [*keys, "pos"], "left_anti").join(gifts, [*keys, "pos"], "left")
     content = F.when(F.col("gifts").isNull(), F.col("content")).otherwise(F.aggregate("gifts", F.col("content"), fold))
     lineage = F.array_distinct(F.concat(F.array("id"), F.coalesce(F.transform("gifts", lambda x: x["gone_id"]), F.array().cast("array<string>"))))
-    return kept.withColumn("content", content).withColumn("lineage", lineage).drop("keep", "gifts")
+    return kept.withColumn("content", content).withColumn("lineage", lineage).drop("gifts")
 
 
 def two_hop_lineage(selected: DataFrame, topic: DataFrame, url: DataFrame, snapshots: DataFrame) -> DataFrame:

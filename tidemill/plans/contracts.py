@@ -22,10 +22,10 @@ def tool_tokens(t):
 _LEAKS = "CASE doc_id % 6 WHEN 0 THEN text || '中' WHEN 1 THEN 'カ' || text WHEN 2 THEN text || '한' WHEN 3 THEN text || '豈' WHEN 4 THEN NULL ELSE text END"
 
 
-@query(f"SELECT doc_id, coalesce(regexp_matches({_LEAKS}, '[\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{ac00}}-\\x{{d7af}}\\x{{f900}}-\\x{{faff}}]'), false) AS in_russian, false AS in_chinese FROM documents")
+@query(f"SELECT doc_id, coalesce(regexp_matches({_LEAKS}, '[\\x{{3040}}-\\x{{30ff}}\\x{{3400}}-\\x{{4dbf}}\\x{{4e00}}-\\x{{9fff}}\\x{{ac00}}-\\x{{d7af}}\\x{{f900}}-\\x{{faff}}]'), false) AS in_russian FROM documents")
 def cjk_leaks(t):
     text = F.expr(_LEAKS)
-    return t("documents").select("doc_id", tx.has_cjk_leak(text, "ru").alias("in_russian"), tx.has_cjk_leak(text, "zh-TW").alias("in_chinese"))
+    return t("documents").select("doc_id", tx.has_cjk_leak(text, "ru").alias("in_russian"))
 
 
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(replace(replace(text, 'e', '中'), 'o', '㐀'), '([\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}])([A-Za-z0-9])', '\1 \2', 'g'), '([A-Za-z0-9])([\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}])', '\1 \2', 'g') AS text FROM documents")

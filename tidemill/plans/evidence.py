@@ -98,19 +98,19 @@ def enriched_customers(t):
 _STAGE = "CASE event_type WHEN 'purchase' THEN 'evidence' ELSE 'claims' END"
 
 
-@query(f"SELECT user_id, max(ts) AS latest, arg_max({_STAGE}, ts) AS stage, max(ts) FILTER (event_type = 'purchase' AND value > 50) AS complete FROM (SELECT event_id AS ts, user_id % 1 AS user_id, event_type, value FROM events) GROUP BY 1")
+@query(f"SELECT max(event_id) AS latest, arg_max({_STAGE}, event_id) AS stage, max(event_id) FILTER ({_STAGE} = 'evidence' AND value > 50) AS complete FROM events")
 def latest_runs(t):
     runs = t("events").select(F.col("event_id").alias("run_id"), F.expr(_STAGE).alias("stage"), (F.col("value") > 50).alias("has_claims"))
-    return evidence.latest_runs(runs).select(F.lit(0).cast("long").alias("user_id"), "latest", "stage", "complete")
+    return evidence.latest_runs(runs)
 
 
-@query("""WITH r AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, count(l_orderkey) FILTER (l_returnflag = 'A') AS a, count(l_orderkey) FILTER (l_tax > 0.04) AS x FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
+@query("""WITH r AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, count(l_orderkey) FILTER (l_returnflag = 'A') AS a, count(l_orderkey) FILTER (l_tax > 0.04) AS x, count(l_orderkey) FILTER (l_discount > 0.05) AS y FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL)
   SELECT 'verdict' AS measure, l_returnflag AS name, count(*) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 2 UNION ALL SELECT 'audit', CASE WHEN o_orderstatus = 'P' THEN 'missing' ELSE o_orderstatus END, count(*) FROM r GROUP BY 2
   UNION ALL SELECT 'model', o_orderpriority, count(*) FROM r WHERE o_orderpriority <> '' GROUP BY 2 UNION ALL SELECT 'total', 'reports', count(*) FROM r UNION ALL SELECT 'total', 'unchecked_spans', sum(a)::BIGINT FROM r
-  UNION ALL SELECT 'total', 'search_errors', sum(x)::BIGINT FROM r UNION ALL SELECT 'total', 'fetch_errors', 0""")
+  UNION ALL SELECT 'total', 'search_errors', sum(x)::BIGINT FROM r UNION ALL SELECT 'total', 'fetch_errors', sum(y)::BIGINT FROM r""")
 def run_summary(t):
-    lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("statuses"), F.count_if(F.col("l_returnflag") == "A").alias("unchecked_spans"), F.count_if(F.col("l_tax") > 0.04).alias("search_errors"))
-    reports = t("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("statuses", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("audit_status"), "unchecked_spans", F.col("o_orderpriority").alias("model"), "search_errors", F.lit(None).cast("long").alias("fetch_errors"))
+    lines = t("lineitem").groupBy("l_orderkey").agg(F.collect_list("l_returnflag").alias("statuses"), F.count_if(F.col("l_returnflag") == "A").alias("unchecked_spans"), F.count_if(F.col("l_tax") > 0.04).alias("search_errors"), F.count_if(F.col("l_discount") > 0.05).alias("fetch_errors"))
+    reports = t("orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("statuses", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("audit_status"), "unchecked_spans", F.col("o_orderpriority").alias("model"), "search_errors", "fetch_errors")
     return evidence.run_summary(reports)
 
 
@@ -120,7 +120,7 @@ _STOP = "CASE l_partkey % 9 WHEN 0 THEN 'no_novelty' WHEN 1 THEN 'budget' WHEN 2
 
 @query(f"""WITH l AS (SELECT l_orderkey, count(*) AS n, sum(l_linenumber)::BIGINT AS calls, sum(l_quantity) AS q, bool_and({_STOP} = 'not_checkable') AS nc, bool_or({_STOP} = 'budget') AS b, bool_or({_STOP} = 'no_novelty') AS nn, string_agg(DISTINCT {_LINE} || '=' || l_returnflag, ',' ORDER BY {_LINE} || '=' || l_returnflag) AS st FROM lineitem WHERE l_orderkey % 4 > 0 GROUP BY 1)
   SELECT o_orderkey AS item_id, coalesce(calls, 0) AS search_calls, coalesce(n, 0) AS documents_fetched, coalesce(st, '') AS statuses, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'budget' ELSE 'backend_error' END WHEN n IS NULL THEN 'no_novelty' WHEN nc THEN 'not_checkable' WHEN b THEN 'budget' WHEN nn THEN 'no_novelty' ELSE 'sufficient' END AS stop_reason,
-    CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'timeout' ELSE 'model_error' END END AS verification_error, 1 + coalesce(q, 0) AS duration_seconds FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""".replace("{} AS none, ", ""))
+    CASE WHEN o_orderstatus = 'F' THEN CASE WHEN o_orderkey % 2 = 0 THEN 'timeout' ELSE 'model_error' END END AS verification_error, 1 + coalesce(q, 0) AS duration_seconds FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
 def report_totals(t):
     results = t("lineitem").where("l_orderkey % 4 > 0").select(F.col("l_orderkey").alias("item_id"), F.expr(_LINE).alias("claim_id"), F.col("l_returnflag").alias("status"), F.expr(_STOP).alias("stop_reason"), F.col("l_linenumber").alias("search_calls"), F.lit(1).alias("documents_attempted"), F.lit(1).alias("documents_fetched"), F.lit(0).alias("cache_reuse"), F.col("l_quantity").alias("duration_seconds"))
     outcomes = t("orders").select(F.col("o_orderkey").alias("item_id"), F.when(F.col("o_orderstatus") == "F", "error").otherwise("ok").alias("status"), F.when(F.col("o_orderstatus") == "F", F.when(F.col("o_orderkey") % 2 == 0, "timeout").otherwise("model_error")).alias("error_code"), F.lit(1.0).alias("duration_seconds"))

@@ -28,7 +28,10 @@ class Config:
 
 
 class Pipeline:
-    """Stages over a run store. ``model`` classifies and scores; ``topics`` proposes duplicate groups from scored items."""
+    """Stages over a run store. ``model`` classifies and scores; 
+
+    ``topics`` maps scored items with ``profile_id`` and ``pos``, their place in the profile, to proposed ``(profile_id, group_id, members)``.
+    """
 
     def __init__(self, spark: SparkSession, root: str, config: Config, model: models.ModelFn | None = None, topics=None):
         self.spark, self.store, self.config, self.model, self.topics = spark, RunStore(spark, root), config, model, topics
@@ -53,39 +56,41 @@ class Pipeline:
         self.store.save(run_id, "scored", scored)
         return models.assert_not_all_failed(self.store.load(run_id, "scored"))
 
-    def filter_items(self, run_id: str, threshold: float | None = None, topic_dedup: bool = True) -> DataFrame:
+    def _passing(self, rows: DataFrame, threshold: float | None) -> DataFrame:
+        rows = rows.withColumn("analysed", F.lit(True)).withColumn("category", F.get_json_object(F.to_json("metadata"), "$.category"))
+        return select.passes(rows, self.config.profiles, threshold).where("passed").drop("passed", "analysed", "applied_threshold")
+
+    def filter_items(self, run_id: str, threshold: float | None = None, topic_dedup: bool = True, expand=None) -> DataFrame:
+        """``expand`` maps the items that pass to the same with more content and new scores; what it lowers below its profile's threshold goes."""
         c = self.config
-        rows = self.store.load(run_id, "scored").withColumn("analysed", F.lit(True)).withColumn("category", F.get_json_object(F.to_json("metadata"), "$.category"))
-        kept = select.passes(rows, c.profiles, threshold).where("passed").drop("passed", "analysed", "applied_threshold")
+        kept = self._passing(self.store.load(run_id, "scored"), threshold)
         if topic_dedup and self.topics is not None:
             kept = self._without_topic_copies(kept)
+        if expand is not None:
+            kept = self._passing(expand(kept).drop("category"), threshold)
         final = select.balanced(kept, c.groups, default=c.default_group, default_limit=c.default_group_limit, max_items=c.max_items)
         self.store.save(run_id, "filtered", final)
         return self.store.load(run_id, "filtered")
 
     def _without_topic_copies(self, kept: DataFrame) -> DataFrame:
+        """Copies of a topic are merged within each profile; profiles that don't want it keep all."""
         from pyspark.sql import Window
 
-        done = []
-        for (profile,) in kept.select("profile_id").distinct().collect():  # a handful of configured profiles
-            mine = kept.where(F.col("profile_id") == profile)
-            settings = self.config.profiles.get(profile)
-            if settings is None or settings.topic_dedup:
-                mine = mine.withColumn("pos", F.row_number().over(Window.orderBy(*select.by_score())) - 1)
-                mine = dedup.merged_topics(mine, self.topics(mine)).drop("pos")
-            else:
-                mine = mine.withColumn("lineage", F.array("id"))
-            done.append(mine)
-        out = done[0]
-        for d in done[1:]:
-            out = out.unionByName(d)
-        return out
+        apart = [p for p, s in self.config.profiles.items() if not s.topic_dedup]
+        merges = ~F.coalesce(F.col("profile_id").isin(*apart), F.lit(False)) if apart else F.lit(True)
+        mine = kept.where(merges).withColumn("profile_id", F.coalesce("profile_id", F.lit("")))
+        mine = mine.withColumn("pos", F.row_number().over(Window.partitionBy("profile_id").orderBy(*select.by_score())) - 1)
+        merged = dedup.merged_topics(mine, self.topics(mine), "profile_id").drop("pos").withColumn("profile_id", F.nullif("profile_id", F.lit("")))
+        return merged.unionByName(kept.where(~merges).withColumn("lineage", F.array("id")))
 
     def enrich_items(self, run_id: str, enrich=None) -> DataFrame:
-        """``enrich`` maps items to the same with ``artifact``; without it they have none."""
+        """``enrich`` maps items to the same with ``artifact``; without it they have none. Items for which it sets ``enrichment_failed`` go."""
         rows = self.store.load(run_id, "filtered")
         empty = F.lit(None).cast("struct<language:string,title:string,blocks:array<struct<id:string,type:string,title:string,content:string,source_refs:array<string>,primary:boolean>>,sources:array<struct<id:string,title:string,url:string>>>")
-        self.store.save(run_id, "enriched", enrich(rows) if enrich else rows.withColumn("artifact", empty))
+        made = enrich(rows) if enrich else rows.withColumn("artifact", empty)
+        if "enrichment_failed" in made.columns:
+            made = made.where(~F.coalesce("enrichment_failed", F.lit(False))).drop("enrichment_failed")
+        self.store.save(run_id, "enriched", made)
         return self.store.load(run_id, "enriched")
 
     def generate_summary(self, run_id: str, date: str, language: str = "en") -> str:
@@ -123,7 +128,7 @@ def same_words_topics():
 
     def propose(items: DataFrame) -> DataFrame:
         words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower("title"), "(?U)[^\\w]+"), lambda w: w != "")))
-        groups = items.groupBy(words.alias("w")).agg(F.array_sort(F.collect_list("pos")).alias("members")).where("size(members) > 1")
-        return groups.select(F.element_at("members", 1).cast("long").alias("group_id"), "members")
+        groups = items.groupBy("profile_id", words.alias("w")).agg(F.array_sort(F.collect_list("pos")).alias("members")).where("size(members) > 1")
+        return groups.select("profile_id", F.element_at("members", 1).cast("long").alias("group_id"), "members")
 
     return propose

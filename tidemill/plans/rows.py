@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions import jsons, times, urls
 from ..functions import text as tx
-from ..operators import dedup, models, publish, select, stats, text_packing, verify
-from ..sources import archive, feeds, video
+from ..operators import dedup, models, publish, render, select, stats, text_packing, verify
+from ..sources import archive, common, feeds, sinks, video
 from ..streaming import incidents
 from .registry import query
 
@@ -239,3 +239,115 @@ def repository_events(t):
     bodies = t("orders").groupBy("o_custkey").agg(F.to_json(F.collect_list(event)).alias("body"))  # a customer's orders
     raw = bodies.join(t("customer").select("c_custkey", F.col("c_name").alias("username")), F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_custkey").alias("ord"), "username", "body")
     return feeds.github_events(raw, dt.datetime(1995, 1, 1)).select("id", "title", "content", "url", F.date_format("published_at", "yyyy-MM-dd").alias("day"))
+
+
+_DAY = "strftime(o_orderdate, '%Y-%m-%d')"
+
+
+def _raw(t, body, *more):
+    """Each order as one captured JSON payload."""
+    return t("orders").select(F.col("o_orderkey").alias("ord"), *more, F.to_json(body).alias("body"))
+
+
+def _shown(items, *more):
+    return items.select("id", "title", "content", "url", "author", F.date_format("published_at", "yyyy-MM-dd").alias("day"), *more)
+
+
+@query(f"SELECT 'github:release:' || o_orderkey AS id, 'o' || o_custkey || '/r released v' || o_orderkey AS title, CASE WHEN o_orderstatus = 'P' THEN '' ELSE o_orderpriority END AS content, 'https://x/' || o_orderkey AS url, 'me' AS author, {_DAY} AS day, CASE WHEN o_orderstatus = 'F' THEN 'true' ELSE 'false' END AS prerelease FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01 00:00:00'")
+def repository_releases(t):
+    release = F.struct(F.col("o_orderkey").alias("id"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("tag_name"), F.concat(F.lit("https://x/"), F.col("o_orderkey").cast("string")).alias("html_url"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("body"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("published_at"), F.when(F.col("o_orderstatus") == "F", True).alias("prerelease"), F.struct(F.lit("me").alias("login")).alias("author"))
+    raw = _raw(t, F.array(release), F.concat(F.lit("o"), F.col("o_custkey").cast("string")).alias("owner"), F.lit("r").alias("repo"))
+    return _shown(feeds.github_releases(raw, dt.datetime(1995, 1, 1)), F.col("metadata")["prerelease"].alias("prerelease"))
+
+
+@query(f"""
+WITH k AS (SELECT l_orderkey, list('[' || l_returnflag || ']: ' || l_shipmode ORDER BY l_linenumber) AS said FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_shipmode, min(l_suppkey) AS s FROM lineitem GROUP BY ALL) WHERE l_linenumber <= 3 AND s % 4 > 0 GROUP BY l_orderkey)
+SELECT 'hackernews:story:' || o_orderkey AS id, 'Story ' || o_orderpriority AS title, array_to_string(list_filter([CASE WHEN o_orderstatus = 'P' THEN o_orderpriority END, CASE WHEN len(said) > 0 THEN chr(10) || '--- Top Comments ---' || chr(10) || chr(10) || array_to_string(said, chr(10) || chr(10)) END], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS content,
+  CASE WHEN o_orderstatus = 'F' THEN 'https://a/' || o_orderkey ELSE 'https://news.ycombinator.com/item?id=' || o_orderkey END AS url, 'c' || o_custkey AS author, {_DAY} AS day FROM orders LEFT JOIN k ON l_orderkey = o_orderkey WHERE o_totalprice::BIGINT % 500 >= 100 AND o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'""")
+def discussed_stories(t):
+    """Orders as stories, their first lines as comments, of which some are gone."""
+    key = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("by"), F.min("l_linestatus").alias("text"), F.min("l_suppkey").alias("s"))
+    comments = lines.select(key.alias("id"), "by", "text", (F.col("s") % 4 == 0).alias("deleted"), F.lit(False).alias("dead"))
+    kids = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("l_linenumber")), lambda n: F.col("l_orderkey") * 100 + n).alias("kids"))  # an order's lines
+    firsts = kids.select("l_orderkey", F.filter("kids", lambda k: k % 100 <= 3).alias("kids"))
+    stories = t("orders").join(firsts, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("ord"), F.col("o_orderkey").alias("id"), F.concat(F.lit("Story "), "o_orderpriority").alias("title"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("https://a/"), F.col("o_orderkey").cast("string"))).alias("url"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("by"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("time"), (F.round("o_totalprice").cast("long") % 500).alias("score"), F.lit(None).cast("long").alias("descendants"), F.lit("story").alias("type"), F.when(F.col("o_orderstatus") == "P", F.col("o_orderpriority")).alias("text"), "kids")
+    return _shown(feeds.hacker_news(stories, comments, dt.datetime(1996, 1, 1)))
+
+
+@query(f"""SELECT 'twitter:tweet:' || o_orderkey AS id, '@c' || o_custkey || ': ' || substring('Said & done ' || o_orderpriority || ' ' || repeat('x', o_orderkey % 60) || '.', 1, 50) || CASE WHEN length('Said & done ' || o_orderpriority || ' ' || repeat('x', o_orderkey % 60) || '.') > 50 THEN '...' ELSE '' END AS title,
+  'Said & done ' || o_orderpriority || ' ' || repeat('x', o_orderkey % 60) || '.' AS content, CASE WHEN o_orderstatus = 'F' THEN 'https://t/' || o_orderkey ELSE 'https://twitter.com/c' || o_custkey || '/status/' || o_orderkey END AS url, 'c' || o_custkey AS author, {_DAY} AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'""")
+def tweets(t):
+    k = F.col("o_orderkey").cast("string")
+    tweet = F.struct(k.alias("id_str"), F.date_format("o_orderdate", "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("created_at"), F.concat(F.lit("Said &amp; done "), "o_orderpriority", F.lit(" "), F.repeat(F.lit("x"), F.col("o_orderkey").cast("int") % 60), F.lit(".")).alias("full_text"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("https://t/"), k)).alias("url"), F.struct(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("screen_name")).alias("user"))
+    return _shown(feeds.tweets(_raw(t, tweet), dt.datetime(1996, 1, 1)))
+
+
+@query("""SELECT 'gdelt:article:' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '::https://g/' || o_orderkey AS id, o_orderpriority AS title, 'https://g/' || o_orderkey AS url, 'd' || o_custkey AS author, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderkey % 5 > 0 AND o_orderkey % 7 > 0""")
+def news_articles(t):
+    """Orders as articles, some without a title, some without a time."""
+    k = F.col("o_orderkey").cast("string")
+    article = F.struct(F.concat(F.lit(" https://g/"), k).alias("url"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderpriority")).otherwise(" ").alias("title"), F.when(F.col("o_orderkey") % 7 > 0, F.date_format("o_orderdate", "yyyyMMdd'T'HHmmss'Z'")).otherwise("then").alias("seendate"), F.concat(F.lit("d"), F.col("o_custkey").cast("string")).alias("domain"))
+    return _shown(feeds.gdelt(_raw(t, F.struct(F.array(article).alias("articles"))))).drop("content")
+
+
+@query("""SELECT doc_id, sha256(CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || chr(10) || '--- Top Comments ---' || chr(10) || source || chr(10) || lang WHEN 2 THEN '--- Top Comments ---' || chr(10) || source || chr(10) || lang
+  ELSE text || '--- Top Comments ---' || chr(10) || source || CASE WHEN doc_id % 8 = 3 THEN chr(10) || lang ELSE chr(10) || source || chr(10) || lang END END) AS content FROM documents""")
+def added_discussion(t):
+    """Lines added to texts: none, below a text, to nothing, below other comments, and where they are already."""
+    k = F.col("doc_id")
+    lines = F.when(k % 4 == 0, F.array().cast("array<string>")).otherwise(F.array("source", "lang"))
+    shown = F.when(k % 4 == 2, "").when(k % 4 == 3, F.concat("text", F.lit("--- Top Comments ---\n"), "source", F.when(k % 8 == 3, F.concat(F.lit("\n"), "lang")).otherwise(""))).otherwise(F.col("text"))
+    return t("documents").select("doc_id", F.sha2(feeds.with_discussion(shown, lines), 256).alias("content"))
+
+
+@query("""
+WITH c AS (SELECT c_custkey AS ord, 0 AS fresh, lower('HTTPS://A/' || c_nationkey) AS k FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 1, 'https://a/' || c_custkey % 40 FROM customer WHERE c_custkey % 2 = 1)
+SELECT ord, fresh FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY fresh, ord) = 1""")
+def merged_sources(t):
+    """Configured feeds by customer and new ones: what is there wins, whatever the case of its address."""
+    c = t("customer")
+    config = lambda url: F.create_map(F.lit("url"), url)
+    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ord"), F.lit("rss").alias("type"), config(F.concat(F.lit("HTTPS://A/"), F.col("c_nationkey").cast("string"))).alias("config"), F.lit(0).alias("fresh"))
+    new = c.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("ord"), F.lit("rss").alias("type"), config(F.concat(F.lit("https://a/"), (F.col("c_custkey") % 40).cast("string"))).alias("config"), F.lit(1).alias("fresh"))
+    return archive.merged_config(old, new).select("ord", "fresh")
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'code=' || event_id % 7 WHEN 1 THEN 'StatusCode=19001' END AS feishu, CASE event_id % 4 WHEN 2 THEN 'errcode=' || 40000 + event_id % 3 END AS dingtalk FROM events WHERE event_id % 4 > 0 OR event_id % 7 > 0 UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 4 = 0 AND event_id % 7 = 0")
+def response_errors(t):
+    """Answers of chat platforms: errors in them, none, and what isn't JSON."""
+    k = F.col("event_id")
+    body = F.when(k % 4 == 0, F.concat(F.lit('{"code": '), (k % 7).cast("string"), F.lit(', "msg": "x"}'))).when(k % 4 == 1, F.lit('{"code": 0, "StatusCode": 19001}')).when(k % 4 == 2, F.concat(F.lit('{"errcode": '), (40000 + k % 3).cast("string"), F.lit("}"))).otherwise("<html>")
+    return t("events").select("event_id", sinks.response_error("feishu", body).alias("feishu"), sinks.response_error("dingtalk", body).alias("dingtalk"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE '{"a":[' || event_id || ',{"y":null,"z":"é"}],"b":"' || event_type || '"}' END AS canonical FROM events""")
+def canonical_objects(t):
+    k = F.col("event_id")
+    text = F.when(k % 5 == 0, F.lit('{"a": NaN}')).otherwise(F.concat(F.lit('{ "b" : "'), "event_type", F.lit('", "a": ['), k.cast("string"), F.lit(', {"z": "\\u00e9", "y": null}]}')))
+    return t("events").select("event_id", jsons.canonical(text).alias("canonical"))
+
+
+@query("""
+WITH p AS (SELECT user_id, event_id, 'q' || event_id % 5 AS q FROM events WHERE event_type IN ('click', 'view') AND event_id % 6 > 0), f AS (SELECT user_id, q, min(event_id) AS event_id FROM p GROUP BY ALL)
+SELECT user_id, q FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) <= 3""")
+def planned_tools(t):
+    """Tool calls that a model plans, by user: an allowed tool, each query once, at most three."""
+    tool = F.when(F.col("event_type").isin("click", "view"), "web_search").otherwise("shell")
+    plans = t("events").select(F.col("user_id").alias("item_id"), F.col("event_id").alias("ord"), tool.alias("tool"), F.when(F.col("event_id") % 6 > 0, F.concat(F.lit("q"), (F.col("event_id") % 5).cast("string"))).otherwise(" ").alias("query"))
+    return models.planned_tools(plans).select(F.col("item_id").alias("user_id"), F.col("query").alias("q"))
+
+
+@query("SELECT source || ' ' || lang AS profile, CASE WHEN lang = 'en' THEN 'English' ELSE upper(lang[1]) || lang[2:] END AS shown, count(*) AS n FROM documents GROUP BY ALL")
+def display_names(t):
+    name = render.display_name(F.col("lang"), {"en": "English"})
+    return t("documents").groupBy(F.concat("source", F.lit(" "), "lang").alias("profile"), name.alias("shown")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT conv_id, CASE WHEN n % 3 = 0 THEN 'rss,reddit,hn' ELSE 'hn,rss' END AS valid, CASE WHEN n % 3 = 0 THEN '' ELSE 'x' || conv_id END AS unknown FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id)")
+def selected_sources(t):
+    """Sources asked for by conversation: none, which is all, or some of them and an unknown one."""
+    rows = t("conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
+    wanted = F.when(F.col("n") % 3 > 0, F.array(F.lit("hn"), F.concat(F.lit("x"), F.col("conv_id").cast("string")), F.lit("rss")))
+    chosen = common.selected_sources(F.array(*map(F.lit, ("rss", "reddit", "hn"))), wanted)
+    return rows.select("conv_id", F.array_join(chosen["valid"], ",").alias("valid"), F.array_join(chosen["unknown"], ",").alias("unknown"))

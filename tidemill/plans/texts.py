@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import storage
 from ..functions import configs, jsons, templates, times
 from ..functions import text as tx
-from ..operators import archive_index, render, stats, text_packing
+from ..operators import archive_index, messages, render, stats, text_packing
 from ..sources import archive, captures, feeds, pages
 from .registry import query
 
@@ -203,3 +203,19 @@ def config_trees(t):
     tree = F.struct(F.array(feed).alias("feeds"), F.lit("k-${TOKEN}").alias("api_key"), F.lit("TOKEN").alias("token_env"), c("c_nationkey").alias("limit"), F.concat(F.lit("Authorization: Bearer ${TOKEN}\nX-Segment: "), "c_mktsegment").alias("headers"))
     env = F.create_map(*[F.lit(x) for pair in _ENV.items() for x in pair])
     return t("customer").select("c_custkey", F.to_json(configs.redacted(configs.expanded(F.parse_json(F.to_json(tree)), env))).alias("config"))
+
+
+@query("""
+WITH g AS (SELECT d.doc_id, 'issue-' || d.doc_id // 100 AS date, lang FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+p AS (SELECT *, min(doc_id) OVER (PARTITION BY date, lang) AS first, row_number() OVER (PARTITION BY date, lang ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY date, lang) AS kn, count(*) OVER (PARTITION BY date) AS n FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY first, doc_id) AS i FROM p)
+SELECT date, CAST(n - i AS INTEGER) AS seq, 'item' AS kind, upper(lang[1]) || lang[2:] || ' ' || k || '/' || kn || ' title ' || doc_id AS title, CAST(i AS INTEGER) AS item_index, n AS item_count FROM r
+UNION ALL SELECT 'issue-' || k.i, CAST(coalesce(max(n), 0) AS INTEGER), 'overview', 'Digest issue-' || k.i || ' Overview', 0, coalesce(max(n), 0) FROM (SELECT DISTINCT doc_id // 100 AS i FROM documents) k LEFT JOIN r ON r.date = 'issue-' || k.i GROUP BY k.i""")
+def item_messages(t):
+    """A message for each good document and an overview for each issue of a hundred ids, the overview last."""
+    docs = t("documents").withColumn("date", F.concat(F.lit("issue-"), F.expr("cast(doc_id div 100 as string)")))
+    none = F.lit(None)
+    artifact = none.cast("struct<language:string,title:string,blocks:array<struct<id:string,type:string,title:string,content:string,source_refs:array<string>,primary:boolean>>,sources:array<struct<id:string,title:string,url:string>>>")
+    items = docs.join(t("labels").where("quality = 1").select("doc_id").distinct(), "doc_id").select("date", F.col("lang").alias("profile_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("title "), F.col("doc_id").cast("string")).alias("title"), F.lit("https://n.example/").alias("url"), none.cast("double").alias("score"), F.col("text").alias("summary"), none.cast("array<string>").alias("tags"), none.cast("map<string,string>").alias("metadata"), F.col("source").alias("source_type"), none.cast("string").alias("author"), none.cast("timestamp").alias("published_at"), artifact.alias("artifact"))
+    issues = docs.groupBy("date").agg(F.count("*").alias("total"), F.lit("").alias("markdown"))
+    return messages.daily_messages(items, issues, delivery=messages.ITEMS, overview_last=True).select("date", "seq", "kind", "title", F.coalesce("item_index", F.lit(0)).alias("item_index"), "item_count")
