@@ -147,3 +147,17 @@ def test_lineage(spark):
     t = spark.createDataFrame
     got = dedup.two_hop_lineage(t([("a", 0), ("z", 1)], "id string, ord int"), t([("a", ["a", "b"])], "id string, members array<string>"), t([("b", ["c", "d", "c"])], "id string, members array<string>"), t([("a", "sa"), ("c", "sc"), ("d", "sd")], "item_id string, snapshot_id string")).orderBy("ord").collect()
     assert [(r.id, r.snapshot_ids, r.missing) for r in got] == [("a", ["sa", "sc", "sd"], 0), ("z", [], 1)]
+
+
+def test_running_totals_over_ranges(spark):
+    import itertools
+    import random
+
+    r = random.Random(2)
+    data = [(i, r.choice([None, *range(1, 40)]), r.randint(0, 9)) for i in range(400)]
+    df = spark.createDataFrame(data, "ord int, size int, mtime int").repartition(7)
+    ordered = sorted(data, key=lambda x: (-x[2], x[0]))
+    totals = itertools.accumulate(x[1] or 0 for x in ordered)
+    want = {x[0]: k == 0 or total <= 900 for k, (x, total) in enumerate(zip(ordered, totals, strict=True))}
+    assert {x.ord: x.kept for x in select.running_total_within(df, "size", 900, "mtime").collect()} == want
+    assert select.running_total_within(df.where("false"), "size", 900, "mtime").collect() == []

@@ -72,7 +72,7 @@ def upsert(docs: DataFrame, path: str, *, title_weight: float = 3.0, buckets: in
     if n != distinct:
         raise ValueError("an id is repeated")
     weighed = F.concat(_weighed("t", title_weight), _weighed("c", 1.0))
-    each = rows.select("id", "date", "len", F.explode(weighed).alias("x")).groupBy("id", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"), F.first("len").alias("len"), F.first("date").alias("date"))
+    each = rows.select("id", "date", "len", F.explode(weighed).alias("x")).groupBy("id", "date", "len", F.col("x.term").alias("term")).agg(F.sum("x.w").alias("tf"))
     _written(each, f"{path}/postings/segment={segment}", buckets)
     gone, lost, dead = 0, 0.0, state["dead"]
     if state["segments"]:
@@ -111,7 +111,7 @@ def search(spark: SparkSession, path: str, query: str, *, limit: int = 30, k1: f
     words = [t.term for t in terms]
     postings = _segments(spark, path, "postings", state).where(F.col("bucket").isin(sorted({t.bucket for t in terms})) & F.col("term").isin(words))
     postings = _live(postings, _dead(spark, path, state), state["n_dead"])
-    rows = postings.groupBy("id").agg(F.first("date").alias("date"), F.first("len").alias("len"), *[F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0.0)).alias(f"tf{i}") for i, w in enumerate(words)])
+    rows = postings.groupBy("id", "date", "len").agg(*[F.coalesce(F.max(F.when(F.col("term") == w, F.col("tf"))), F.lit(0.0)).alias(f"tf{i}") for i, w in enumerate(words)])
     # a row for all terms
     df = postings.agg(*[F.count_if(F.col("term") == w).alias(f"df{i}") for i, w in enumerate(words)])
     score, mean = F.lit(0.0), state["length"] / state["n"]

@@ -176,6 +176,21 @@ def shadow_eligible(items: DataFrame, priorities: dict[str, int], limit: int) ->
 
 
 def running_total_within(rows: DataFrame, size: str, limit: int, newest: str) -> DataFrame:
-    """``kept``: newest first, as long as the running total stays within the limit; the newest row always."""
-    w = Window.orderBy(F.col(newest).desc(), "ord").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("kept", (F.sum(size).over(w) <= limit) | (F.row_number().over(Window.orderBy(F.col(newest).desc(), "ord")) == 1))
+    """``kept``: newest first, as long as the running total stays within the limit; the newest row always.
+
+    Rows are dealt out by ranges of the order and written once, so that ranges stay what they are; a range's total is one row, sums
+    of those are what each range begins with, and no task sees more than a range.
+    """
+    from .. import storage
+
+    spark = rows.sparkSession
+    order = [F.col(newest).desc(), F.col("ord").asc()]
+    path = storage.scratch(spark, "ranges")
+    rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task that wrote
+    starts = dealt.groupBy("__range").agg(F.sum(size).alias("__sum")).select("__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__start"), (F.row_number().over(Window.orderBy("__range")) == 1).alias("__newest"))
+    inside = Window.partitionBy("__range").orderBy(*order)
+    total = F.col("__start") + F.coalesce(F.sum(size).over(inside.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    kept = (total <= limit) | (F.col("__newest") & (F.row_number().over(inside) == 1))
+    return dealt.join(F.broadcast(starts), "__range").withColumn("kept", kept).drop("__range", "__start", "__newest")

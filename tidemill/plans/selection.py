@@ -180,14 +180,14 @@ def shadow_eligible(t):
 @query("""
 WITH f AS (SELECT doc_id, text, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents),
 u AS (SELECT min(doc_id) AS doc_id, list(doc_id ORDER BY doc_id) AS members FROM documents GROUP BY text),
-t AS (SELECT min(doc_id) AS doc_id, list(doc_id ORDER BY doc_id) AS members FROM f WHERE n = 1 GROUP BY source),
+t AS (SELECT min(doc_id) AS doc_id, list(doc_id ORDER BY doc_id) AS members FROM f WHERE n = 1 GROUP BY source, f.doc_id // 100),
 a AS (SELECT t.doc_id, m1, i FROM t, unnest(members) WITH ORDINALITY AS x(m1, i)),
 b AS (SELECT a.doc_id, a.i, m2, j FROM a JOIN u ON u.doc_id = m1, unnest(u.members) WITH ORDINALITY AS y(m2, j))
 SELECT doc_id, len(list(m2)) AS n, md5(array_to_string(list(m2 ORDER BY i, j), ',')) AS snapshots, 0 AS missing FROM b GROUP BY doc_id""")
 def lineage_two_hop(t):
     d = t("documents").select("doc_id", "text", "source")
     url = d.groupBy("text").agg(F.min("doc_id").alias("id"), F.array_sort(F.collect_list("doc_id")).alias("members"), F.min_by("source", "doc_id").alias("source"))
-    topic = url.groupBy("source").agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("members")).select("id", "members")
+    topic = url.groupBy("source", F.expr("id div 100")).agg(F.min("id").alias("id"), F.array_sort(F.collect_list("id")).alias("members")).select("id", "members")
     found = dedup.two_hop_lineage(topic.select("id", F.col("id").alias("ord")), topic, url.select("id", "members"), d.select(F.col("doc_id").alias("item_id"), F.col("doc_id").cast("string").alias("snapshot_id")))
     return found.select(F.col("id").alias("doc_id"), F.size("snapshot_ids").cast("long").alias("n"), F.md5(F.array_join("snapshot_ids", ",")).alias("snapshots"), F.col("missing").cast("int").alias("missing"))
 
