@@ -44,6 +44,29 @@ def page_models(reports: DataFrame, items: DataFrame, claims: DataFrame, cards:
     return head.join(nested, "report_id", "left").select("report_id", "item_id", "title", F.col("item_url").alias("url"), "published_at", "checked_at", "age_hours", F.coalesce("claims", none).alias("claims"))
 
 
+#: Public statuses that leave a page provisional beside a provisional claim.
+SETTLED = ("provisional", "official_announcement", "official_release", "attributed_quote", "corroborated_event", "source_documented_quantity", "source_supported")
+
+
+def page_state(statuses: Column, public: Column, unchecked: Column, verification_error: Column, audit_status: Column) -> Column:
+    """The state of a report on its page, from its claims' ``statuses`` and ``public`` statuses (of those that are there).
+
+    A failed check comes first, then that there is nothing to show; spans without a claim make it partial, and it is provisional only
+    if all other claims are settled.
+    """
+    within = lambda xs, allowed: F.forall(xs, lambda x: x.isin(*allowed))
+    failed = F.coalesce(verification_error, F.lit(False)) | F.array_contains(statuses, "verification_error") | F.coalesce(audit_status == "error", F.lit(False))
+    return (
+        F.when(failed, "check_error")
+        .when(F.size(public) == 0, "not_applicable")
+        .when(F.coalesce(unchecked, F.lit(0)) > 0, "partial")
+        .when(within(public, ("anecdotal", "not_applicable")), "not_applicable")
+        .when(F.array_contains(public, "provisional") & within(public, SETTLED), "provisional")
+        .when(F.arrays_overlap(statuses, F.array(F.lit("insufficient_evidence"), F.lit("not_checkable"))), "partial")
+        .otherwise("complete")
+    )
+
+
 def tx_or(*names: str) -> Column:
     """The first of the columns that has a text."""
     return F.coalesce(*[F.nullif(F.col(n), F.lit("")) for n in names])
