@@ -206,3 +206,27 @@ _PIECE = re.compile(r"[A-Za-z0-9]+(?:[._/+:-][A-Za-z0-9]+)*")
 def latin_tokens(text: pd.Series) -> pd.Series:
     """What a Russian voice would still read in Latin letters: names with a letter, their inner signs included."""
     return text.map(lambda t: [x for x in _PIECE.findall(t or "") if any(c.isalpha() for c in x)])
+
+
+#: Longest written and spoken forms of a suggested reading, and how many of a text's are taken.
+MOST_WRITTEN, MOST_SPOKEN, MOST_READINGS = 100, 160, 40
+
+
+def accepted_readings(rows, sources, *, id_col: str = "doc_id", limit: int = MOST_READINGS):
+    """Suggested readings ``rows(doc_id, ord, written, spoken)`` that may reach speech, of each text of ``sources(doc_id, text)``.
+
+    A reading is of a name in Latin letters that stands in the text as a whole word, whatever its case, and is said in Cyrillic
+    letters without Latin ones; neither has markup or line breaks. Of one name the first that holds stays, and of a text the first ``limit``.
+    """
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from .text import folded, strip
+
+    written, spoken = F.col("written"), F.col("spoken")
+    whole = F.concat(F.lit("(?i)(?<![A-Za-z0-9])\\Q"), F.replace(written, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
+    given = rows.select(id_col, "ord", strip(F.coalesce("written", F.lit(""))).alias("written"), strip(F.coalesce("spoken", F.lit(""))).alias("spoken"))
+    plain = given.where(F.length("written").between(1, MOST_WRITTEN) & F.length("spoken").between(1, MOST_SPOKEN) & written.rlike("[A-Za-z]") & ~written.rlike("[<>{}\\n\\r]") & spoken.rlike("[А-Яа-яЁё]") & ~spoken.rlike("[A-Za-z<>{}\\n\\r]"))
+    there = plain.join(sources.select(id_col, "text"), id_col).where(F.rlike(F.col("text"), whole)).drop("text").withColumn("__key", folded(written))
+    first = there.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__key").orderBy("ord"))).where("__n = 1")
+    return first.withColumn("__r", F.row_number().over(Window.partitionBy(id_col).orderBy("ord"))).where(F.col("__r") <= limit).drop("__n", "__r", "__key")

@@ -133,3 +133,11 @@ def evaluation_totals(cases: DataFrame) -> DataFrame:
     """From ``cases(expected, actual)``."""
     ok = F.col("expected") == F.col("actual")
     return cases.agg(F.count("*").alias("cases"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"), F.count_if((F.col("actual") == "supported_by_evidence") & ~ok).alias("false_supported"))
+
+
+def latin_names(texts: DataFrame, text: str = "text", lexicon: dict[str, str] | None = None) -> DataFrame:
+    """``(name, n)``: what a Russian voice would still read in Latin letters, counted over all texts, known readings put in first."""
+    from ..functions.narration import latin_tokens, with_lexicon
+
+    said = F.col(text) if not lexicon else with_lexicon(F.col(text), lexicon)
+    return texts.select(F.explode(latin_tokens(said)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))

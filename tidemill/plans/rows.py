@@ -6,11 +6,11 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions import jsons, times, urls
+from ..functions import jsons, narration, times, urls
 from ..functions import text as tx
 from ..operators import dedup, models, publish, render, select, stats, text_packing, verify
-from ..sources import archive, common, feeds, sinks, video
-from ..streaming import incidents
+from ..sources import archive, collection, common, feeds, sinks, video
+from ..streaming import incidents, ledger
 from .registry import query
 
 _GAPS = "".join(f"chr({ord(c)}) || " for c in tx.GAPS).removesuffix(" || ")
@@ -351,3 +351,65 @@ def selected_sources(t):
     wanted = F.when(F.col("n") % 3 > 0, F.array(F.lit("hn"), F.concat(F.lit("x"), F.col("conv_id").cast("string")), F.lit("rss")))
     chosen = common.selected_sources(F.array(*map(F.lit, ("rss", "reddit", "hn"))), wanted)
     return rows.select("conv_id", F.array_join(chosen["valid"], ",").alias("valid"), F.array_join(chosen["unknown"], ",").alias("unknown"))
+
+
+@query("""
+SELECT conv_id, turn, sha256('{"content":' || to_json(text) || ',"id":"' || conv_id || '-' || turn || '","title":' || CASE WHEN role = 'system' THEN 'null' ELSE to_json(role) END || '}') AS fetched,
+  sha256(CASE turn % 3 WHEN 0 THEN '{"content":' || to_json(text) || ',"id":"' || conv_id || '-' || turn || '","title":' || CASE WHEN role = 'system' THEN 'null' ELSE to_json(role) END || '}'
+    ELSE '{"content":' || to_json('A' || chr(10) || text || chr(10) || chr(10) || 'B' || chr(10) || role) || ',"id":"' || conv_id || '-' || turn || '","title":' || to_json(CASE turn % 3 WHEN 1 THEN 'ru ' ELSE 'en ' END || role) || ',"verification_language":"' || CASE turn % 3 WHEN 1 THEN 'ru' ELSE 'en' END || '"}' END) AS selected FROM conversations""")
+def item_payloads(t):
+    """Turns as items: as fetched, and as readers see them, by the first of their artifacts."""
+    block = lambda a, b: F.struct(F.lit(a).alias("title"), b.alias("content"))
+    made = lambda k: F.struct(F.concat(F.lit(f"{k} "), "role").alias("title"), F.array(block("A", F.col("text")), block("B", F.col("role"))).alias("blocks"))
+    k = F.col("turn") % 3
+    artifacts = F.when(k == 1, F.create_map(F.lit("en"), made("en"), F.lit("ru"), made("ru"))).when(k == 2, F.create_map(F.lit("en"), made("en")))
+    items = t("conversations").select("conv_id", "turn", F.concat("conv_id", F.lit("-"), "turn").alias("id"), F.when(F.col("role") != "system", F.col("role")).alias("title"), F.col("text").alias("content"), artifacts.alias("artifacts"))
+    columns = ("id", "title", "content")
+    return items.select("conv_id", "turn", F.sha2(ledger.fetched_payload(*columns), 256).alias("fetched"), F.sha2(ledger.selected_payload(*columns, languages=("ru", "en")), 256).alias("selected"))
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, text, list_filter(string_split(regexp_replace(text, '[^A-Za-z ]', ' ', 'g'), ' '), lambda x: x <> '')[1:60] AS w FROM documents),
+u AS (SELECT doc_id, text, unnest(w) AS written, generate_subscripts(w, 1) AS ord FROM w),
+v AS (SELECT * FROM u WHERE ord % 3 > 0 AND regexp_matches(text, '(^|[^A-Za-z0-9])(?i:' || written || ')([^A-Za-z0-9]|$)')),
+f AS (SELECT doc_id, lower(written) AS k, min(ord) AS ord FROM v GROUP BY ALL)
+SELECT doc_id, CAST(ord AS INTEGER) AS ord, k AS name FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord) <= 40""")
+def accepted_readings(t):
+    """The first sixty Latin words of each text suggested as readings, a third of them said in Latin letters."""
+    docs = t("documents").select("doc_id", "text")
+    words = F.slice(F.filter(F.split(F.regexp_replace("text", "[^A-Za-z ]", " "), " "), lambda x: x != ""), 1, 60)
+    rows = docs.select("doc_id", F.posexplode(words).alias("at", "written")).select("doc_id", (F.col("at") + 1).alias("ord"), "written", F.when((F.col("at") + 1) % 3 > 0, "слово").otherwise("word").alias("spoken"))
+    return narration.accepted_readings(rows, docs).select("doc_id", "ord", F.lower("written").alias("name"))
+
+
+@query("""
+WITH f AS (SELECT c_custkey AS config_id, 1 AS ord, 'rss' AS source, c_name || ' \\[' || c_mktsegment || '\\]' AS label, 'https://h' || c_nationkey || '.example/f' AS url, CASE c_custkey % 3 WHEN 0 THEN 'tech' WHEN 1 THEN 'news,tech' ELSE 'auto' END AS profiles FROM customer WHERE c_custkey % 4 > 0),
+x AS (SELECT c_custkey AS config_id, CASE WHEN c_custkey % 4 > 0 THEN 2 ELSE 1 END AS ord, 'twitter' AS source, '@u' || c_nationkey AS label, 'https://x.com/u' || c_nationkey AS url, 'news' AS profiles FROM customer WHERE c_acctbal > 0)
+SELECT c_custkey AS config_id, 0 AS ord, 'hackernews' AS source, 'top stories' AS label, NULL AS url, 'auto' AS profiles FROM customer UNION ALL SELECT * FROM f UNION ALL SELECT * FROM x""")
+def configured_sources(t):
+    """A configuration for each customer: a feed with a key in its address, an account, and sections that are off."""
+    c = F.col
+    profile = F.when(c("c_custkey") % 3 == 0, F.lit('"tech"')).when(c("c_custkey") % 3 == 1, F.lit('["news", " ", "tech"]')).otherwise("null")
+    feed = F.concat(F.lit('{"name": "'), "c_name", F.lit(" ["), "c_mktsegment", F.lit(']", "url": "https://me:pw@H'), c("c_nationkey").cast("string"), F.lit('.example/f?key=1#x", "enabled": '), (c("c_custkey") % 4 > 0).cast("string"), F.lit(', "profile": '), profile, F.lit("}"))
+    config = F.concat(F.lit('{"token": "t", "sources": {"rss": ['), feed, F.lit('], "twitter": {"enabled": '), (c("c_acctbal") > 0).cast("string"), F.lit(', "profile": "news", "users": ["u'), c("c_nationkey").cast("string"), F.lit('"]}, "ossinsight": {"enabled": false}, "video": {"channels": [{"channel": "@v"}]}}}'))
+    found = collection.configured_sources(t("customer").select(F.col("c_custkey").alias("config_id"), config.alias("config")))
+    return found.select("config_id", "ord", "source", "label", "url", F.array_join("profiles", ",").alias("profiles"))
+
+
+@query("SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z0-9]+(?:[._/+:-][A-Za-z0-9]+)*')) AS name FROM documents) WHERE regexp_matches(name, '[A-Za-z]') GROUP BY name")
+def latin_names(t):
+    return stats.latin_names(t("documents"))
+
+
+@query("""
+WITH i AS (SELECT doc_id // 50 AS issue, doc_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS n FROM documents),
+k AS (SELECT issue, string_agg('- [T ' || doc_id || '](https://site/day-' || issue || '-en/p-' || n || '/) ⭐️ 7.5/10', chr(10) ORDER BY n) AS lines FROM i GROUP BY issue)
+SELECT 'day-' || issue || '-en' AS issue, 'p-' || n AS slug, 'T ' || doc_id AS title, sha256('<a id="item-p-' || n || '"></a>' || chr(10) || '# [T ' || doc_id || '](https://n.example/' || doc_id || ') ⭐️ 7.5/10' || chr(10) || chr(10) || 'said' || chr(10)) AS text FROM i
+UNION ALL SELECT 'day-' || issue || '-en', 'index', 'day-' || issue, sha256('# day-' || issue || chr(10) || chr(10) || lines || chr(10)) FROM k""")
+def republished_pages(t):
+    """Issues of fifty documents each, read back from their Markdown as pages."""
+    d = t("documents").select("doc_id", F.expr("doc_id div 50").alias("k"), (F.col("doc_id") % 50 + 1).alias("n"))
+    item = F.concat(F.lit('<a id="item-p-'), F.col("n").cast("string"), F.lit('"></a>\n### [T '), F.col("doc_id").cast("string"), F.lit("](https://n.example/"), F.col("doc_id").cast("string"), F.lit(") ⭐️ 7.5/10\n\nsaid\n\n---\n\n"))
+    issues = d.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda v: v["x"]), "").alias("md"))  # fifty documents
+    pages = archive.republished(issues.select(F.concat(F.lit("day-"), F.col("k").cast("string")).alias("date"), F.lit("en").alias("language"), F.concat(F.lit("# head\n\n---\n\n"), "md").alias("markdown")), "https://site")
+    return pages.select("issue", "slug", "title", F.sha2("markdown", 256).alias("text"))

@@ -25,6 +25,22 @@ def issue_articles(issues: DataFrame, base: str) -> DataFrame:
     return e.select(name.alias("id"), "date", "language", F.coalesce(get(1), get(3)).alias("title"), get(2).alias("source_url"), get(4).alias("score"), F.concat(F.lit(base.rstrip("/") + "/"), F.concat_ws("-", "date", "language"), F.lit("/"), urls.slug(anchor), F.lit("/")).alias("url"), F.array_join(F.transform(paragraphs, lambda p: unescaped_markdown(tx.strip(p))), "\n").alias("content"), blocks.alias("block_titles"), tags.alias("tags"))
 
 
+def republished(issues: DataFrame, base: str) -> DataFrame:
+    """``issues(date, language, markdown)`` as pages ``(issue, slug, title, markdown)`` for a site: one for each article as it was published, its heading the page's, and an ``index`` for each issue that has any."""
+    parts = F.split("markdown", '<a id="')
+    e = issues.select("date", "language", F.posexplode(F.slice(parts, 2, F.size(parts))).alias("pos", "part")).where(F.col("part").rlike(HEADING))
+    slug = urls.slug(F.regexp_extract("part", '^item-([^"]*)"', 1))
+    get = lambda i: F.nullif(F.regexp_extract("part", HEADING, i), F.lit(""))
+    whole = F.concat(F.lit('<a id="'), F.regexp_replace("part", "(?m)^#{2,3} (?=.* ⭐️ )", "# "))
+    text = F.concat(F.regexp_replace(whole, "\\s+(?:---\\s*)?$", ""), F.lit("\n"))
+    rows = e.select(F.concat_ws("-", "date", "language").alias("issue"), "date", "pos", slug.alias("slug"), F.coalesce(get(1), get(3)).alias("shown"), get(4).alias("score"), text.alias("markdown"))
+    place = F.concat(F.lit(base.rstrip("/") + "/"), "issue", F.lit("/"), "slug", F.lit("/"))
+    line = F.concat(F.lit("- ["), "shown", F.lit("]("), place, F.lit(") ⭐️ "), "score", F.lit("/10"))
+    listed = rows.groupBy("issue", "date").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))  # one issue's articles
+    index = listed.select("issue", F.lit("index").alias("slug"), F.col("date").cast("string").alias("title"), F.concat(F.lit("# "), "date", F.lit("\n\n"), "lines", F.lit("\n")).alias("markdown"))
+    return rows.select("issue", "slug", unescaped_markdown(F.col("shown")).alias("title"), "markdown").unionByName(index)
+
+
 def unescaped_markdown(text: Column) -> Column:
     plain = F.regexp_replace(text, "\\\\([\\\\`*_{}\\[\\]()#+!|~-])", "$1")
     return F.replace(F.replace(F.replace(plain, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))

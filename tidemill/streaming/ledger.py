@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..functions.jsons import canonical
 
 #: Stages in order, schemas that ids are made with, and what a run and a report may be named.
 STAGES = ("fetched", "selected", "claims", "evidence")
@@ -48,6 +49,24 @@ def snapshot_id(schema: str, payload: Column) -> Column:
     return F.sha2(F.concat(F.lit(schema + "\0"), payload), 256)
 
 
+def fetched_payload(*columns: str) -> Column:
+    """An item as canonical JSON: its columns by name, nulls too."""
+    return canonical(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}))
+
+
+def selected_payload(*columns: str, artifacts: str = "artifacts", languages: tuple[str, ...]) -> Column:
+    """What readers see of an item: title and text of its first artifact, in the order of ``languages``, and its language; without one the item as it is.
+
+    ``artifacts`` is a map by language of ``(title, blocks)``, which isn't part of the payload.
+    """
+    ranked = F.filter(F.array(*[F.struct(F.lit(k).alias("language"), F.try_element_at(artifacts, F.lit(k)).alias("a")) for k in languages]), lambda x: x["a"].isNotNull())
+    first = F.try_element_at(ranked, F.lit(1))
+    said = F.array_join(F.transform(first["a"]["blocks"], lambda b: F.concat(b["title"], F.lit("\n"), b["content"])), "\n\n")
+    put = {"title": first["a"]["title"], "content": said}
+    shown = F.struct(*[F.when(first.isNotNull(), put[c]).otherwise(F.col(c)).alias(c) if c in put else F.col(c) for c in columns], first["language"].alias("verification_language"))
+    return F.when(first.isNotNull(), canonical(F.to_json(shown, {"ignoreNullFields": "false"}))).otherwise(fetched_payload(*columns))
+
+
 class Ledger:
     """Runs below ``root``, any folder that Spark can write to. Payloads are canonical JSON texts."""
 
