@@ -38,7 +38,7 @@ def test_evidence_url_keeps_what_merging_drops(spark):
 def test_links(spark):
     rows = spark.createDataFrame([("https://a.b/x?y=1&z",), ("javascript:alert(1)",), ("https://a b/",), (None,), ("https://a.b/(x",)], "u string")
     got = rows.select(urls.html_link(F.col("u")), urls.is_markdown_link(F.col("u")), urls.without_secrets(F.lit("https://u:p@a.b/c?t=1#f")), urls.video_id(F.lit("https://youtu.be/abcdefghijk"))).collect()
-    assert [r[0] for r in got] == ["https://a.b/x?y=1&amp;z", "", "", "", "https://a.b/(x"]
+    assert [r[0] for r in got] == ["https://a.b/x?y=1&amp;z", "", "https://a%20b/", "", "https://a.b/%28x"]
     assert [bool(r[1]) for r in got] == [True, False, False, False, False]
     assert got[0][2] == "https://a.b/c" and got[0][3] == "abcdefghijk"
 

@@ -57,3 +57,35 @@ def test_republished_issues(spark):
     texts = spark.createDataFrame([("Kubernetes и kube-proxy 1.2 v1.36, Kubernetes",), (None,), ("кириллица 42",)], "text string")
     assert sorted(map(tuple, stats.latin_names(texts).collect())) == [("Kubernetes", 2), ("kube-proxy", 1), ("v1.36", 1)]
     assert sorted(map(tuple, stats.latin_names(texts, lexicon={"kubernetes": "кубернетис"}).collect())) == [("kube-proxy", 1), ("v1.36", 1)]
+
+
+def test_links_and_documents(spark):
+    from pyspark.sql import functions as F
+
+    from tidemill.functions import urls
+    from tidemill.sources import pages
+
+    cases = {
+        "https://a.b/c?x=1&y='2'": "https://a.b/c?x=1&amp;y=&#x27;2&#x27;", " https://a.b/é 日(1)\"<x>|`\\😀 ": "https://a.b/%C3%A9%20%E6%97%A5%281%29%22%3Cx%3E%7C%60%5C%F0%9F%98%80", "HTTPS://U@A.b:8080/%41": "HTTPS://U@A.b:8080/%41",
+        "http://a.b:x/": "", "http://a:70000/": "", "javascript:1": "", "https:///x": "", "https://a.b/\nc": "", "mailto:a@b": "", "": "", "//a.b/": "", "https://[::1]:80/x": "https://[::1]:80/x",
+    }
+    df = spark.createDataFrame([(i, u) for i, u in enumerate([*cases, None])], "i int, u string")
+    assert [r.v for r in df.orderBy("i").select(urls.html_link(F.col("u")).alias("v")).collect()] == [*cases.values(), ""]
+    docs = [("﻿ a \t b\r\n\r\nc", "text/plain", "a b\nc"), ('﻿{"b": [1, "é"], "a": null}', "application/json", '{\n"a": null,\n"b": [\n1,\n"é"\n]\n}'), ("{not  json", "application/json", "{not json"), ("  \n", "text/plain", None), (None, "text/plain", None), ("<html><head><script>x()</script></head><body><p>One &amp; two</p><p>three</p></body></html>", "text/html", None)]
+    got = [r.v for r in spark.createDataFrame([(i, *d[:2]) for i, d in enumerate(docs)], "i int, t string, m string").orderBy("i").select(pages.document_text(F.col("t"), F.col("m")).alias("v")).collect()]
+    assert got[:5] == [d[2] for d in docs[:5]] and "One & two" in got[5] and "x()" not in got[5]
+
+
+def test_feeds_that_stand_in(spark):
+    import datetime as dt
+
+    from tidemill.sources import feeds
+
+    entry = lambda i, day: f"<entry><id>t3_{i}</id><title>T{i}</title><link href='https://r/{i}'/><updated>2024-08-{day:02}T10:00:00+00:00</updated><author><name>/u/me</name></author><summary>&lt;p&gt;said &amp;amp; done&lt;/p&gt;</summary></entry>"
+    body = "<feed xmlns='http://www.w3.org/2005/Atom'>" + entry(1, 1) + entry(2, 6) + entry(3, 6) + entry(4, 6) + "</feed>"
+    raw = spark.createDataFrame([(0, "llm", body), (1, "x", "not xml")], "ord int, subreddit string, body string")
+    got = [(r.id, r.title, r.url, r.content, r.author, r.metadata["fallback"]) for r in feeds.reddit_feed(raw, dt.datetime(2024, 8, 5), 3).orderBy("ord").collect()]
+    assert got == [(f"reddit:subreddit-rss:t3_{i}", f"T{i}", f"https://r/{i}", "said & done", "/u/me", "rss") for i in (2, 3)]
+    ask = lambda **k: feeds.gdelt_request(" llm ", dt.datetime(2024, 8, 5), dt.datetime(2024, 8, 6, 1, 2, 3), **k)
+    assert ask(language="english", country="US", timespan="1d") == {"query": "llm sourcelang:english sourcecountry:US", "mode": "artlist", "format": "json", "maxrecords": "75", "sort": "datedesc", "timespan": "1d"}
+    assert ask()["startdatetime"] == "20240805000000" and ask()["enddatetime"] == "20240806010203" and feeds.gdelt_request(" ", dt.datetime.min, dt.datetime.max) is None

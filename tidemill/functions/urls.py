@@ -116,9 +116,21 @@ def is_safe_link(url: Column) -> Column:
     return F.coalesce(scheme(url).isin("http", "https") & (host(url) != "") & ~url.rlike("[\\x00-\\x20\\x7F<>\"'`\\\\]"), F.lit(False))
 
 
+#: What a link in an attribute keeps; everything else is percent-encoded.
+_KEPT = r"A-Za-z0-9_.\-~:/?#\[\]@!$&'*,;=%+"
+
+
 def html_link(url: Column) -> Column:
-    """A safe link escaped for an attribute; others are empty."""
-    return F.when(is_safe_link(url), F.replace(url, F.lit("&"), F.lit("&amp;"))).otherwise(F.lit(""))
+    """A web address percent-encoded and escaped for an attribute; empty for what isn't one or holds control characters."""
+    from .text import strip
+
+    raw = strip(url)
+    place = F.regexp_extract(netloc(raw), "^(?:.*@)?(?:\\[[^\\]]*\\]|[^:]*):(.*)$", 1)
+    port_ = (place == "") | (place.rlike("^[0-9]+$") & F.coalesce(place.try_cast("int") <= 65535, F.lit(False)))
+    good = scheme(raw).isin("http", "https") & (netloc(raw) != "") & port_ & ~raw.rlike("[\\x00-\\x1f\\x7f]")
+    coded = F.transform(F.regexp_extract_all(raw, F.lit("(?s)(.)"), F.lit(1)), lambda c: F.when(c.rlike(f"[^{_KEPT}]"), F.regexp_replace(F.hex(F.encode(c, "UTF-8")), "(..)", "%$1")).otherwise(c))
+    whole = F.when(raw.rlike(f"[^{_KEPT}]"), F.array_join(coded, "")).otherwise(raw)
+    return F.when(F.coalesce(good, F.lit(False)), F.replace(F.replace(whole, F.lit("&"), F.lit("&amp;")), F.lit("'"), F.lit("&#x27;"))).otherwise(F.lit(""))
 
 
 def is_markdown_link(url: Column) -> Column:

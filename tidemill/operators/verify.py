@@ -156,11 +156,14 @@ def public_sources(cards: DataFrame, snapshots: DataFrame) -> DataFrame:
     return keep_first(shown, "claim_id", "final_url", "stance").select("claim_id", "ord", F.col("final_url").alias("url"), "stance", "source_class")
 
 
-def evidence_snapshots(outcomes: DataFrame, normalizer: str = "text/v1") -> DataFrame:
-    """``outcomes(requested_url, final_url, status, mime_type, text)`` that hold a text, with content hash and id."""
+def evidence_snapshots(outcomes: DataFrame, normalizer: str = "text/v1", text: Column | None = None) -> DataFrame:
+    """``outcomes(requested_url, final_url, status, mime_type, text)`` that hold a text, with content hash and id.
+
+    ``text`` says what a document holds (see :func:`tidemill.sources.pages.document_text`); else it is the column's lines.
+    """
     from ..functions.text import normalized_lines
     from ..functions.urls import evidence_url
 
-    rows = outcomes.where("status = 'ok' and mime_type is not null and final_url is not null").withColumn("normalized_text", normalized_lines(F.col("text"))).where("normalized_text is not null")
+    rows = outcomes.where("status = 'ok' and mime_type is not null and final_url is not null").withColumn("normalized_text", normalized_lines(F.col("text")) if text is None else text).where("normalized_text is not null")
     hash_ = F.sha2("normalized_text", 256)
     return rows.withColumn("object_hash", hash_).withColumn("snapshot_id", F.sha2(F.concat_ws("\0", evidence_url(F.col("final_url"), ascii_hosts=True), "object_hash", F.lit(normalizer)), 256))

@@ -251,6 +251,29 @@ def with_full_text(items: DataFrame, extracted: DataFrame) -> DataFrame:
     return items.join(extracted, "id", "left").withColumn("content", F.coalesce(F.nullif("full_text", F.lit("")), "content")).drop("full_text")
 
 
+def reddit_feed(raw: DataFrame, since: dt.datetime, limit: int) -> DataFrame:
+    """``raw(ord, subreddit, body)``, a community's feed where its listing can't be had: the first ``limit`` entries, and of these those in the window.
+
+    A feed tells no scores, so there are none.
+    """
+    e = raw.select("ord", "subreddit", F.posexplode(feed_entries("body")).alias("pos", "e")).where(F.col("pos") < limit)
+    home = F.concat(F.lit("https://www.reddit.com/r/"), "subreddit", F.lit("/"))
+    link = or_text(F.col("e.link"), home)
+    native = F.coalesce(F.nullif("e.id", F.lit("")), F.nullif("e.link", F.lit("")), "e.title", F.lit(""))
+    said = tx.strip(tx.unescaped(tx.untagged(F.coalesce("e.summary", "e.content", F.lit("")))))
+    made = e.select(*item("reddit", "subreddit-rss", native, title=or_text(F.col("e.title"), "Untitled"), url=link, content=said, author=or_text(F.col("e.author"), "unknown"), published=times.feed_time(F.col("e.published"), F.col("e.updated"), F.col("e.created")), meta=metadata(subreddit=F.col("subreddit"), discussion_url=link, fallback="rss"), order=F.col("ord") * 1000 + F.col("pos")))
+    return made.where(F.col("published_at") >= F.lit(since))
+
+
+def gdelt_request(query: str, since: dt.datetime, now: dt.datetime, *, language: str | None = None, country: str | None = None, timespan: str | None = None, mode: str = "artlist", max_records: int = 75) -> dict[str, str] | None:
+    """What is asked of the news index: language and country as operators of the query, a span of time or else the window; None without a query."""
+    asked = " ".join([query.strip(), *([f"sourcelang:{language}"] if language else []), *([f"sourcecountry:{country}"] if country else [])])
+    if not query.strip():
+        return None
+    window = {"timespan": timespan} if timespan else {"startdatetime": f"{since:%Y%m%d%H%M%S}", "enddatetime": f"{now:%Y%m%d%H%M%S}"}
+    return {"query": asked, "mode": mode, "format": "json", "maxrecords": str(max_records), "sort": "datedesc"} | window
+
+
 def google_news(raw: DataFrame, since: dt.datetime, limit: int | None = None, query: str | None = None) -> DataFrame:
     """``raw(ord, body)``; only valid entries count towards the limit."""
     e = raw.select("ord", F.posexplode(feed_entries("body")).alias("pos", "e"))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -241,3 +242,24 @@ def nested_tweets(body: pd.Series) -> pd.Series:
             return []
 
     return body.map(one)
+
+
+@vectorized("string")
+def _ordered_json(text: pd.Series) -> pd.Series:
+    """JSON with sorted names, two blanks for each level; what isn't JSON as it is."""
+
+    def one(t):
+        try:
+            return json.dumps(json.loads(t), ensure_ascii=False, sort_keys=True, indent=2)
+        except (TypeError, ValueError):
+            return t
+
+    return text.map(one)
+
+
+def document_text(text: Column, mime: Column) -> Column:
+    """What a fetched document says, by its type: a page's readable text, JSON in order, else the text; without a byte order mark, in lines."""
+    plain = F.regexp_replace(text, "^\ufeff", "")
+    page = mime.isin("text/html", "application/xhtml+xml")
+    said = F.when(page, readable(plain)).when(mime == "application/json", _ordered_json(plain)).otherwise(plain)
+    return tx.normalized_lines(said)
