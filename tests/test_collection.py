@@ -56,3 +56,17 @@ def test_page_states(spark):
     df = spark.createDataFrame([(i, *c[:5]) for i, c in enumerate(cases)], "i int, s array<string>, p array<string>, u int, e boolean, a string")
     got = [r.v for r in df.orderBy("i").select(sp.page_state(F.col("s"), F.col("p"), F.col("u"), F.col("e"), F.col("a")).alias("v")).collect()]
     assert got == [c[5] for c in cases]
+
+
+def test_items_with_their_profiles(spark):
+    import pytest
+
+    from tidemill.sources import archive
+
+    items = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "i int, profile_id string")
+    known = spark.createDataFrame([("a", 5.0), ("b", 6.0), ("c", 7.0)], "id string, threshold double")
+    assert sorted((r.i, r.threshold) for r in archive.with_definitions(items, known).collect()) == [(1, 5.0), (2, 6.0), (3, 5.0)]
+    with pytest.raises(ValueError, match="unknown profile: b"):
+        archive.with_definitions(items, known.where("id <> 'b'"))
+    with pytest.raises(ValueError, match="twice"):
+        archive.with_definitions(items, known.unionByName(known))

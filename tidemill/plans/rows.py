@@ -302,13 +302,13 @@ def added_discussion(t):
 
 
 @query("""
-WITH c AS (SELECT c_custkey AS ord, 0 AS fresh, lower('HTTPS://A/' || c_nationkey) AS k FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 1, 'https://a/' || c_custkey % 40 FROM customer WHERE c_custkey % 2 = 1)
+WITH c AS (SELECT c_custkey AS ord, 0 AS fresh, 'https://a/' || c_nationkey AS k FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, 1, 'https://a/' || c_custkey % 40 FROM customer WHERE c_custkey % 2 = 1)
 SELECT ord, fresh FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY fresh, ord) = 1""")
 def merged_sources(t):
-    """Configured feeds by customer and new ones: what is there wins, whatever the case of its address."""
+    """Configured feeds by customer and new ones: what is there wins."""
     c = t("customer")
     config = lambda url: F.create_map(F.lit("url"), url)
-    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ord"), F.lit("rss").alias("type"), config(F.concat(F.lit("HTTPS://A/"), F.col("c_nationkey").cast("string"))).alias("config"), F.lit(0).alias("fresh"))
+    old = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ord"), F.lit("rss").alias("type"), config(F.concat(F.lit("https://a/"), F.col("c_nationkey").cast("string"))).alias("config"), F.lit(0).alias("fresh"))
     new = c.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("ord"), F.lit("rss").alias("type"), config(F.concat(F.lit("https://a/"), (F.col("c_custkey") % 40).cast("string"))).alias("config"), F.lit(1).alias("fresh"))
     return archive.merged_config(old, new).select("ord", "fresh")
 
@@ -413,3 +413,80 @@ def republished_pages(t):
     issues = d.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("x")))), lambda v: v["x"]), "").alias("md"))  # fifty documents
     pages = archive.republished(issues.select(F.concat(F.lit("day-"), F.col("k").cast("string")).alias("date"), F.lit("en").alias("language"), F.concat(F.lit("# head\n\n---\n\n"), "md").alias("markdown")), "https://site")
     return pages.select("issue", "slug", "title", F.sha2("markdown", 256).alias("text"))
+
+
+@query("""
+WITH r AS (SELECT o_orderkey AS ord, o_orderpriority AS title, 'https://n/' || o_custkey % 700 AS url, o_orderdate AS made, o_orderstatus AS s FROM orders WHERE o_custkey % 9 > 0 AND o_orderdate > TIMESTAMP '1996-01-01 00:00:00')
+SELECT 'openbb:news:' || strftime(made, '%Y%m%dT%H%M%S') || '::' || url AS id, title, url, CASE WHEN s = 'P' THEN 'excerpt' ELSE 'body ' || ord END AS content, CASE s WHEN 'F' THEN 'A' WHEN 'O' THEN 'Z' ELSE 'me' END AS author, strftime(made, '%Y-%m-%d') AS day FROM r QUALIFY row_number() OVER (PARTITION BY url ORDER BY ord) = 1""")
+def market_news(t):
+    """Orders as news records of one watchlist, each link once; a missing author is the first symbol."""
+    s = F.col("o_orderstatus")
+    record = F.struct(F.when(F.col("o_custkey") % 9 > 0, F.col("o_orderpriority")).otherwise(" ").alias("title"), F.concat(F.lit("https://n/"), (F.col("o_custkey") % 700).cast("string")).alias("url"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), F.when(s == "P", "me").alias("author"), F.when(s != "P", F.concat(F.lit("body "), F.col("o_orderkey").cast("string"))).alias("body"), F.lit("excerpt").alias("excerpt"), F.when(s == "F", " a ,b,a").alias("symbols"))
+    return _shown(feeds.openbb(_raw(t, record, F.lit("w").alias("watchlist"), F.array(F.lit("Z")).alias("watch_symbols")), dt.datetime(1996, 1, 1)))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_partkey * 37 % 500 AS stars FROM part WHERE p_partkey * 37 % 500 >= 50 AND p_partkey % 3 > 0)
+SELECT 'ossinsight:trending:' || p_partkey AS id, 'o' || p_partkey % 11 || '/r' || p_partkey || ' (+' || stars || '⭐ past_24_hours)' AS title, 'https://github.com/o' || p_partkey % 11 || '/r' || p_partkey AS url, 'o' || p_partkey % 11 AS author FROM p ORDER BY stars DESC, p_partkey LIMIT 30""")
+def trending_repositories(t):
+    """The thirty repositories that gained most stars, among those about a keyword."""
+    k = F.col("p_partkey")
+    row = F.struct(k.cast("string").alias("repo_id"), F.concat(F.lit("o"), (k % 11).cast("string"), F.lit("/r"), k.cast("string")).alias("repo_name"), (k * 37 % 500).cast("string").alias("stars"), F.when(k % 3 > 0, "An LLM tool").otherwise("a game").alias("description"))
+    raw = t("part").select(k.alias("ord"), F.lit("Python").alias("language"), F.to_json(row).alias("body"))
+    return feeds.oss_insight(raw, dt.datetime(2024, 8, 6), min_stars=50, keywords=("llm",)).select("id", "title", "url", "author")
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, '[@u' || o_orderkey % 5 || ' | ❤️ ' || o_orderkey % 50 || ' | 💬 ' || o_orderkey % 7 || '] ' || o_orderpriority AS line, (o_orderkey % 50) * 2 + o_orderkey % 7 AS points FROM orders WHERE o_orderkey % 5 <> 3 AND o_orderkey % 50 >= 5),
+k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY points DESC, o_orderkey) AS rank FROM r)
+SELECT o_custkey AS tweet_id, string_agg(line, chr(10) ORDER BY rank) AS lines FROM k WHERE rank <= 3 GROUP BY o_custkey""")
+def best_replies(t):
+    """Orders as replies to a customer's tweet; the author's own don't count, nor do those with few likes."""
+    k = F.col("o_orderkey")
+    replies = t("orders").select(F.col("o_custkey").cast("string").alias("tweet_id"), F.lit("@@U3").alias("own_author"), k.alias("ord"), F.concat(F.lit("tweet-r"), k.cast("string")).alias("id"), F.concat(F.lit("u"), (k % 5).cast("string")).alias("handle"), F.concat(F.lit(" "), "o_orderpriority").alias("text"), (k % 50).alias("likes"), (k % 7).alias("replies"))
+    return feeds.reply_lines(replies, 3, 5).select(F.col("tweet_id").cast("long").alias("tweet_id"), F.array_join("lines", "\n").alias("lines"))
+
+
+def _channel(t, tag, extra):
+    """A feed for each customer, an entry for each order."""
+    k = F.col("o_orderkey").cast("string")
+    entry = F.concat(F.lit(f"<{tag}><title>T "), "o_orderpriority", F.lit(" &amp; "), k, F.lit("</title>"), extra(k), F.lit(f"</{tag}>"))
+    bodies = t("orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", entry.alias("e")))), lambda x: x["e"]), "").alias("b"))  # a customer's orders
+    return bodies.select(F.col("o_custkey").alias("ord"), F.concat(F.lit("<feed>"), "b", F.lit("</feed>")).alias("body"))
+
+
+@query("""SELECT 'rss:f_' || o_custkey || ':' || substr(sha256('g' || o_orderkey), 1, 16) AS id, 'T ' || o_orderpriority || ' & ' || o_orderkey AS title, 'said' AS content, 'https://l/' || o_orderkey AS url, 'feed ' || o_custkey AS author, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00'""")
+def feed_items(t):
+    stamp = F.date_format("o_orderdate", "EEE, dd MMM yyyy HH:mm:ss '+0000'")
+    raw = _channel(t, "item", lambda k: F.concat(F.lit("<guid>g"), k, F.lit("</guid><link>https://l/"), k, F.lit("</link><pubDate>"), stamp, F.lit("</pubDate><description>said</description>")))
+    return _shown(feeds.rss(raw.withColumns({"feed_url": F.concat(F.lit("https://f/"), F.col("ord").cast("string")), "name": F.concat(F.lit("feed "), F.col("ord").cast("string"))}), dt.datetime(1996, 1, 1)))
+
+
+@query("""SELECT 'video:youtube:v' || o_orderkey AS id, 'T ' || o_orderpriority || ' & ' || o_orderkey AS title, 'https://l/' || o_orderkey AS url, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2""")
+def channel_videos(t):
+    """The first two videos of each channel within the window."""
+    stamp = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    raw = _channel(t, "entry", lambda k: F.concat(F.lit("<videoId>v"), k, F.lit("</videoId><link href='https://l/"), k, F.lit("'/><published>"), stamp, F.lit("</published>")))
+    return _shown(feeds.youtube(raw.withColumn("channel", F.lit("c")).withColumn("channel", F.col("ord").cast("string")), dt.datetime(1996, 1, 1), 2)).select("id", "title", "url", "day")
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END = min(CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END) OVER (PARTITION BY conv_id)")
+def source_ladder(t):
+    """Of each conversation the turns of the first role that it has: system, assistant, user."""
+    turns = t("conversations").select("conv_id", "turn", "role")
+    return feeds.first_that_has([turns.where(F.col("role") == r) for r in ("system", "assistant", "user")], "conv_id")
+
+
+@query("""
+WITH c AS (SELECT conv_id, turn, role, CASE turn % 3 WHEN 0 THEN 'supported_by_evidence' WHEN 1 THEN 'mixed_evidence' ELSE 'verification_error' END AS status FROM conversations)
+SELECT conv_id, 'complete' AS state, CAST(count(*) AS INTEGER) AS claims, string_agg(role || ' ' || CASE status WHEN 'supported_by_evidence' THEN 'official_release' WHEN 'mixed_evidence' THEN 'disputed' ELSE 'check_error' END, ',' ORDER BY turn, role) AS said, round(greatest(0, 100 - conv_id % 120 + 0.0), 1) AS age FROM c GROUP BY conv_id""")
+def public_payloads(t):
+    """Conversations as items, their turns as claims without sources; some are published after they were checked."""
+    turns = t("conversations")
+    checked = dt.datetime(2024, 8, 6, 4)
+    items = turns.select("conv_id").distinct().select(F.col("conv_id").alias("item_id"), F.timestamp_seconds(F.lit(int((checked - dt.datetime(1970, 1, 1)).total_seconds()) - 100 * 3600) + F.col("conv_id") % 120 * 3600).alias("published_at"), F.lit("complete").alias("state"), F.lit("en").alias("language"))
+    status = F.when(F.col("turn") % 3 == 0, "supported_by_evidence").when(F.col("turn") % 3 == 1, "mixed_evidence").otherwise("verification_error")
+    claims = turns.select(F.col("conv_id").alias("item_id"), F.concat("conv_id", F.lit("-"), "turn").alias("claim_id"), F.col("turn").alias("ord"), F.col("role").alias("text"), F.lit("release").alias("kind"), status.alias("status"))
+    none = t("region").where("false").select(F.lit("").alias("claim_id"), F.lit(0).alias("ord"), F.lit("").alias("url"), F.lit("").alias("stance"), F.lit("").alias("source_class"))
+    p = F.col("payload")
+    return publish.payloads(items, claims, none, checked).select(F.col("item_id").alias("conv_id"), p["state"].alias("state"), F.size(p["claims"]).alias("claims"), F.array_join(F.transform(p["claims"], lambda c: F.concat(c["text"], F.lit(" "), c["public_status"])), ",").alias("said"), p["source_age_hours"].alias("age"))

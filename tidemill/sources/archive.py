@@ -55,19 +55,15 @@ def presets(spark: SparkSession, path: str) -> DataFrame:
     return d.select("ord", F.lower(F.replace("d.id", F.lit("_"), F.lit("-"))).alias("domain"), "d.name", "d.keywords", F.posexplode("d.sources").alias("pos", "s")).select("ord", "domain", "name", "keywords", "pos", "s.*")
 
 
-def source_key(kind: Column, config: Column) -> Column:
-    """What makes a configured source the same as another: its type's own name, else its whole configuration."""
-    low = lambda k: F.lower(F.try_element_at(config, F.lit(k)))
-    own = F.when(kind == "rss", low("url")).when(kind == "reddit", low("subreddit")).when(kind == "github", F.coalesce(F.concat(low("owner"), F.lit("/"), low("repo")), low("username"))).when(kind == "telegram", low("channel")).when(kind == "twitter", low("username"))
-    return F.concat(kind, F.lit(":"), F.coalesce(own, F.to_json(F.map_from_entries(F.array_sort(F.map_entries(config))))))
-
-
 def merged_config(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Configured sources, existing ones first and winning: ``(ord, type, config, ...)``."""
+    """Configured sources, existing ones first and winning: ``(ord, type, config, ...)``; the same are those with one :func:`preset_key`, a feed's address without regard to the case of its scheme and host."""
     from ..operators.dedup import keep_first
 
     both = existing.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
-    keyed = both.withColumn("__key", source_key(F.col("type"), F.col("config"))).withColumn("__o", F.struct("__new", "ord"))
+    url = F.coalesce(F.try_element_at("config", F.lit("url")), F.lit(""))
+    place = F.regexp_extract(url, "^[^/]*//[^/?#]*", 0)
+    at = F.concat(F.lower(place), F.substring(url, F.length(place) + 1, F.length(url)))
+    keyed = both.withColumn("__key", F.when(F.col("type") == "rss", F.concat(F.lit("rss:"), at)).otherwise(preset_key(F.col("type"), F.col("config")))).withColumn("__o", F.struct("__new", "ord"))
     return keep_first(keyed, "__key", order="__o").drop("__key", "__new", "__o")
 
 
@@ -130,6 +126,17 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+def with_definitions(items: DataFrame, known: DataFrame, key: str = "profile_id") -> DataFrame:
+    """``items`` with the columns of their profile in ``known(id, ...)``; a profile that isn't known is an error, and so is one that is known twice."""
+    twice = known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"profile {twice[0]['id']} is there twice")
+    missed = items.join(known.select(F.col("id").alias(key)), key, "left_anti").select(key).limit(1).collect()
+    if missed:
+        raise ValueError(f"unknown profile: {missed[0][key]}")
+    return items.join(known.withColumnRenamed("id", key), key)
+
+
 def invalid_routes(routes: DataFrame, known: DataFrame) -> DataFrame:
     """``routes(ord, profile)`` that name nothing, a name twice, ``auto`` in a list, or an unknown profile."""
     clean = F.transform("profile", tx.strip)
