@@ -70,3 +70,23 @@ def test_items_with_their_profiles(spark):
         archive.with_definitions(items, known.where("id <> 'b'"))
     with pytest.raises(ValueError, match="twice"):
         archive.with_definitions(items, known.unionByName(known))
+
+
+def test_selected_presets_become_a_configuration(spark):
+    from tidemill.sources import archive
+
+    kinds = [("github_user", {"username": "ann"}), ("github_repo", {"owner": "o", "repo": "r"}), ("rss", {"name": "n", "url": "https://x/"}), ("reddit_subreddit", {"subreddit": "llm", "fetch_limit": "7"}), ("reddit_user", {"username": "u"}), ("telegram", {"channel": "c"}), ("hackernews", {}), ("unheard_of", {})]
+    offers = spark.createDataFrame([(q, i, k, c) for q in (1, 2, 3, 4) for i, (k, c) in enumerate(kinds)], "request_id int, ord long, type string, config map<string,string>")
+    requests = spark.createDataFrame([(1, None), (2, [2, 3, 3, 99, 0, 7]), (3, list(range(1, 9))), (4, [3, 4, 5, 6, 7])], "request_id int, toggles array<int>")
+    taken = archive.toggled(offers, requests)
+    assert [(r.request_id, r.type) for r in taken.where("request_id = 2").orderBy("ord").collect()] == [(2, k) for k, _ in kinds if k not in ("github_repo", "hackernews")]
+    got = {r.request_id: json.loads(r.config) for r in archive.routed_sources(taken, requests).collect()}
+    one = got[1]["sources"]
+    assert one["github"] == [{"type": "user_events", "enabled": True, "username": "ann"}, {"type": "repo_releases", "enabled": True, "owner": "o", "repo": "r"}] and one["rss"] == [{"name": "n", "url": "https://x/", "enabled": True, "category": ""}]
+    assert one["reddit"] == {"enabled": True, "subreddits": [{"subreddit": "llm", "sort": "hot", "fetch_limit": 7, "min_score": 50}], "users": [{"username": "u"}], "fetch_comments": 10} and one["telegram"]["channels"] == [{"channel": "c", "fetch_limit": 20}] and one["hackernews"]["enabled"]
+    assert not got[2]["sources"]["hackernews"]["enabled"] and len(got[2]["sources"]["github"]) == 1
+    assert got[3] == {"sources": {"github": [], "hackernews": {"enabled": True, "fetch_top_stories": 30, "min_score": 100}, "rss": [], "reddit": {"enabled": False, "subreddits": [], "users": [], "fetch_comments": 10}, "telegram": {"enabled": False, "channels": []}}, "collection": {"time_window_hours": 24}}
+    assert got[4]["sources"]["reddit"]["enabled"] is False and got[4]["sources"]["telegram"]["enabled"] is False and not got[4]["sources"]["hackernews"]["enabled"]
+    # the page reads what was routed
+    rows = col.configured_sources(archive.routed_sources(taken, requests).withColumnRenamed("request_id", "config_id")).where("config_id = 1").orderBy("ord").collect()
+    assert [r.source for r in rows] == ["github", "github", "hackernews", "rss", "reddit", "reddit", "telegram", "ossinsight"]

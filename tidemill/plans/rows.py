@@ -490,3 +490,21 @@ def public_payloads(t):
     none = t("region").where("false").select(F.lit("").alias("claim_id"), F.lit(0).alias("ord"), F.lit("").alias("url"), F.lit("").alias("stance"), F.lit("").alias("source_class"))
     p = F.col("payload")
     return publish.payloads(items, claims, none, checked).select(F.col("item_id").alias("conv_id"), p["state"].alias("state"), F.size(p["claims"]).alias("claims"), F.array_join(F.transform(p["claims"], lambda c: F.concat(c["text"], F.lit(" "), c["public_status"])), ",").alias("said"), p["source_age_hours"].alias("age"))
+
+
+_OFFER = "CASE o_orderkey % 5 WHEN 0 THEN 'github_user' WHEN 1 THEN 'rss' WHEN 2 THEN 'telegram' WHEN 3 THEN 'hackernews' ELSE 'reddit_user' END"
+
+
+@query(f"""
+WITH o AS (SELECT o_custkey, o_orderkey, {_OFFER} AS type, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+k AS (SELECT * FROM o WHERE n NOT IN (2, 5) OR o_custkey % 2 = 1 AND n = 5)
+SELECT c_custkey AS request_id, coalesce(string_agg('u' || o_orderkey, ',' ORDER BY o_orderkey) FILTER (type = 'github_user'), '') AS github, coalesce(string_agg('https://f/' || o_orderkey, ',' ORDER BY o_orderkey) FILTER (type = 'rss'), '') AS rss,
+  count(o_orderkey) = 0 OR coalesce(bool_or(type = 'hackernews'), false) AS stories, coalesce(bool_or(type = 'reddit_user'), false) AS reddit, CAST(count(*) FILTER (type = 'telegram') AS INTEGER) AS channels FROM customer LEFT JOIN k ON c_custkey = o_custkey GROUP BY c_custkey""")
+def routed_sources(t):
+    """Orders as preset sources offered to a customer, who turns the second off and the fifth off, or off and on again."""
+    k = F.col("o_orderkey").cast("string")
+    config = F.create_map(F.lit("username"), F.concat(F.lit("u"), k), F.lit("url"), F.concat(F.lit("https://f/"), k), F.lit("channel"), k)
+    offers = t("orders").select(F.col("o_custkey").alias("request_id"), F.col("o_orderkey").alias("ord"), F.expr(_OFFER).alias("type"), config.alias("config"))
+    requests = t("customer").select(F.col("c_custkey").alias("request_id"), F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit(2), F.lit(5), F.lit(99))).otherwise(F.array(F.lit(5), F.lit(2), F.lit(5))).alias("toggles"))
+    made = archive.routed_sources(archive.toggled(offers, requests), requests).select("request_id", F.from_json("config", "sources struct<github:array<struct<username:string>>,rss:array<struct<url:string>>,hackernews:struct<enabled:boolean>,reddit:struct<enabled:boolean>,telegram:struct<channels:array<struct<channel:string>>>>")["sources"].alias("s"))
+    return made.select("request_id", F.array_join("s.github.username", ",").alias("github"), F.array_join("s.rss.url", ",").alias("rss"), F.col("s.hackernews.enabled").alias("stories"), F.col("s.reddit.enabled").alias("reddit"), F.size("s.telegram.channels").alias("channels"))

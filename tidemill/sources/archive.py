@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -126,6 +126,52 @@ def profiles(spark: SparkSession, folder: str) -> DataFrame:
     return rows
 
 
+#: What a configured source of a kind has where a preset doesn't say.
+DEFAULTS = {"sort": "hot", "subreddit_limit": 15, "subreddit_score": 50, "channel_limit": 20, "stories": 30, "story_score": 100, "comments": 10, "hours": 24}
+
+
+def toggled(offers: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
+    """``offers(request_id, ord, ...)`` that a request takes: all but those whose number, from 1 in order, its ``toggles`` name; a number named again comes back.
+
+    ``requests(request_id, toggles)``; numbers that no offer has count for nothing, and so does a null list.
+    """
+    numbered = offers.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy("ord")))
+    off = F.size(F.filter(F.coalesce("toggles", F.array().cast("array<int>")), lambda t: t == F.col("__n"))) % 2 == 1
+    return numbered.join(requests.select(key, "toggles"), key, "left").where(~off).drop("__n", "toggles")
+
+
+def routed_sources(selected: DataFrame, requests: DataFrame, key: str = "request_id") -> DataFrame:
+    """``(request_id, config)``: for each request a configuration's JSON, with the ``selected(request_id, ord, type, config)`` sources in the lists of their kinds.
+
+    Sections without a source are off; stories are on if they were selected, or if nothing was. Unknown types go nowhere.
+    """
+    get = lambda s, k, default="": F.coalesce(F.try_element_at(s["config"], F.lit(k)), F.lit(default))
+    number = lambda s, k, default: F.coalesce(F.try_element_at(s["config"], F.lit(k)).try_cast("int"), F.lit(default))
+    of = lambda kinds, make: F.transform(F.filter("__s", lambda s: s["type"].isin(*kinds)), make)
+    named = lambda s, *names: [get(s, n).alias(n) for n in names]
+    on = F.lit(True).alias("enabled")
+    none = F.lit(None).cast("string")
+
+    def github(s: Column) -> Column:
+        user = s["type"] == "github_user"
+        return F.struct(F.when(user, "user_events").otherwise("repo_releases").alias("type"), on, F.when(user, get(s, "username")).otherwise(none).alias("username"), F.when(user, none).otherwise(get(s, "owner")).alias("owner"), F.when(user, none).otherwise(get(s, "repo")).alias("repo"))
+
+    each = selected.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "type", "config")), lambda a, b: F.sign(a["ord"] - b["ord"]).cast("int")).alias("__s"))  # what one request selected
+    rows = requests.select(key).distinct().join(each, key, "left").withColumn("__s", F.coalesce("__s", F.array().cast("array<struct<ord:bigint,type:string,config:map<string,string>>>")))
+    subreddits = of(("reddit_subreddit",), lambda s: F.struct(*named(s, "subreddit"), get(s, "sort", DEFAULTS["sort"]).alias("sort"), number(s, "fetch_limit", DEFAULTS["subreddit_limit"]).alias("fetch_limit"), number(s, "min_score", DEFAULTS["subreddit_score"]).alias("min_score")))
+    users = of(("reddit_user",), lambda s: F.struct(*named(s, "username")))
+    channels = of(("telegram",), lambda s: F.struct(*named(s, "channel"), number(s, "fetch_limit", DEFAULTS["channel_limit"]).alias("fetch_limit")))
+    stories = (F.size("__s") == 0) | F.exists("__s", lambda s: s["type"] == "hackernews")
+    sources = F.struct(
+        of(("github_user", "github_repo"), github).alias("github"),
+        F.struct(F.coalesce(stories, F.lit(False)).alias("enabled"), F.lit(DEFAULTS["stories"]).alias("fetch_top_stories"), F.lit(DEFAULTS["story_score"]).alias("min_score")).alias("hackernews"),
+        of(("rss",), lambda s: F.struct(*named(s, "name", "url"), on, *named(s, "category"))).alias("rss"),
+        F.struct((F.size(subreddits) + F.size(users) > 0).alias("enabled"), subreddits.alias("subreddits"), users.alias("users"), F.lit(DEFAULTS["comments"]).alias("fetch_comments")).alias("reddit"),
+        F.struct((F.size(channels) > 0).alias("enabled"), channels.alias("channels")).alias("telegram"),
+    )
+    return rows.select(key, F.to_json(F.struct(sources.alias("sources"), F.struct(F.lit(DEFAULTS["hours"]).alias("time_window_hours")).alias("collection"))).alias("config"))
+
+
 def with_definitions(items: DataFrame, known: DataFrame, key: str = "profile_id") -> DataFrame:
     """``items`` with the columns of their profile in ``known(id, ...)``; a profile that isn't known is an error, and so is one that is known twice."""
     twice = known.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
