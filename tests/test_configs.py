@@ -73,3 +73,19 @@ def test_files(spark, tmp_path):
     configs.save(spark, path, "{}", backup=False)
     assert (tmp_path / "config.json.bak").read_text() == "{not json" and (tmp_path / "config.json").read_text() == "{}"
     assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["config.json", "config.json.bak"]
+
+
+def test_long_strings_and_escapes(run):
+    long = "x" * 40_000
+    tree = {"a": long + "${EMPTY}", "b": [f'{long} "q" \\ \n é', "a:\tb\\"], "k\\": "x:y", '"password"': "kept", "k": "a${TOKEN}\u0001"}
+    assert run(lambda t: configs.expanded(t, env()), tree) == tree | {"a": long, "k": 'aa"b\\c\u0001'}
+    assert run(configs.redacted, tree) == tree
+
+
+def test_every_core_has_rows(spark, tmp_path):
+    from tidemill.plans import registry
+
+    spark.range(400).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "id % 25 AS c_nationkey", "'M' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    for name in ("config_trees",):
+        made = registry.QUERIES[name](spark, str(tmp_path))
+        assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism

@@ -18,7 +18,7 @@ from .udfs import let
 #: What stands for a secret, and names that tell one.
 REDACTED = "<redacted>"
 SENSITIVE = r"(?i)(?:^|[-_])(authorization|cookie|credential|key|password|secret|signature|token|api[-_]?key)(?:$|[-_])"
-_TOKEN = r'("(?:[^"\\]|\\.)*"|[{}\[\],:]|[^{}\[\],:"]+)'
+_TOKEN = r'("(?:[^"\\]++|\\.)*+"|[{}\[\],:]|[^{}\[\],:"]+)'
 _REFERENCE = r"(?U)\$\{(\w+)\}"
 
 
@@ -31,13 +31,15 @@ def _tokens(tree: Column) -> Column:
 
 
 def _said(token: Column) -> Column:
-    """The text of a string token."""
-    return F.try_variant_get(F.parse_json(token), "$", "string")
+    """The text of a string token; only one with escapes needs to be parsed."""
+    bare = F.substring(token, F.lit(2), F.length(token) - 2)
+    return F.when(token.startswith('"') & ~F.contains(token, F.lit("\\")), bare).otherwise(F.try_variant_get(F.parse_json(token), "$", "string"))
 
 
 def _quoted(text: Column) -> Column:
-    whole = F.to_json(F.array(text))
-    return F.substring(whole, F.lit(2), F.length(whole) - 2)
+    """A string token of a text; only one with what JSON escapes needs to be written by ``to_json``."""
+    escaped = let(F.to_json(F.array(text)), lambda whole: F.substring(whole, F.lit(2), F.length(whole) - 2))
+    return F.when(text.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
 
 
 def _at(tokens: Column, i: Column) -> Column:
@@ -53,38 +55,40 @@ def expanded_text(text: Column, env: Column, strip: bool = False) -> Column:
     return F.array_join(F.zip_with(between, known, lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
 
 
-def _leaves(tree: Column, rewrite: Callable[[Column], Column]) -> Column:
-    """The tree with every string that isn't a name rewritten."""
+def _leaves(tree: Column, rewrite: Callable[[Column], Column], sign: str) -> Column:
+    """The tree with every string that isn't a name rewritten; ``rewrite`` leaves a text without ``sign`` as it is."""
 
     def over(tokens: Column) -> Column:
-        return F.array_join(F.transform(tokens, lambda t, i: F.when(t.startswith('"') & (_at(tokens, i + 1) != ":"), _quoted(let(_said(t), rewrite))).otherwise(t)), "")
+        return F.array_join(F.transform(tokens, lambda t, i: F.when(t.startswith('"') & F.contains(t, F.lit(sign)) & (_at(tokens, i + 1) != ":"), let(let(_said(t), rewrite), _quoted)).otherwise(t)), "")
 
     return F.parse_json(let(_tokens(tree), over))
 
 
 def expanded(tree: Column, env: Column) -> Column:
     """A tree with references to ``env`` (a map) in its strings replaced; names of members stay."""
-    return _leaves(tree, lambda text: expanded_text(text, env))
+    return _leaves(tree, lambda text: expanded_text(text, env), "${")
 
 
 def _query_pair(pair: Column) -> Column:
     """A name and value of a query, read and written as forms are; a secret's value is hidden."""
     plain = lambda x: F.coalesce(F.try_url_decode(x), x)
     form = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
-    name = plain(F.split_part(pair, F.lit("="), F.lit(1)))
     value = plain(F.when(F.contains(pair, F.lit("=")), F.substring(pair, F.instr(pair, F.lit("=")) + 1, F.length(pair))).otherwise(""))
-    return F.concat(form(name), F.lit("="), form(F.when(name.rlike(SENSITIVE), REDACTED).otherwise(value)))
+    return let(plain(F.split_part(pair, F.lit("="), F.lit(1))), lambda name: F.concat(form(name), F.lit("="), form(F.when(name.rlike(SENSITIVE), REDACTED).otherwise(value))))
 
 
 def redacted_url(url: Column) -> Column:
     """Of a web address, the user and the values of secrets in the query hidden; anything else as it is."""
-    place, digits = urls.netloc(url), F.regexp_extract(urls.netloc(url), ":([0-9]+)$", 1)
+    return F.when(urls.scheme(url).isin("http", "https"), let(urls.netloc(url), lambda place: _redacted_place(url, place))).otherwise(url)
+
+
+def _redacted_place(url: Column, place: Column) -> Column:
+    digits = F.regexp_extract(place, ":([0-9]+)$", 1)
     host = F.when(F.contains(place, F.lit("@")), F.concat(F.lit(REDACTED + "@"), urls.host(url), F.when(digits != "", F.concat(F.lit(":"), digits.try_cast("int").cast("string"))).otherwise(""))).otherwise(place)
     pairs = F.transform(F.filter(F.split(urls.query(url), "&"), lambda p: p != ""), _query_pair)
-    asked = F.array_join(pairs, "&")
-    fragment = F.regexp_extract(url, "#(.+)$", 1)
-    made = F.concat(urls.scheme(url), F.lit("://"), host, urls.path(url), F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
-    return F.when(urls.scheme(url).isin("http", "https") & (place != ""), F.coalesce(made, url)).otherwise(url)
+    led = lambda text, sign: let(text, lambda x: F.when(x != "", F.concat(F.lit(sign), x)).otherwise(""))
+    made = F.concat(urls.scheme(url), F.lit("://"), host, urls.path(url), led(F.array_join(pairs, "&"), "?"), led(F.regexp_extract(url, "#(.+)$", 1), "#"))
+    return F.when(place != "", F.coalesce(made, url)).otherwise(url)
 
 
 def _redacted_line(line: Column) -> Column:
@@ -96,10 +100,9 @@ def _redacted_line(line: Column) -> Column:
 
 def redacted_text(text: Column) -> Column:
     """A string of a tree: header lines that name a secret lose its value, and web addresses what :func:`redacted_url` hides."""
-    lines = F.split(F.regexp_replace(text, "\\r\\n?", "\n"), "\n")
-    kept = F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
-    headers = F.when(F.contains(text, F.lit(":")), F.array_join(F.transform(kept, _redacted_line), "\n")).otherwise(text)
-    return let(headers, redacted_url)
+    kept = lambda lines: F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    headers = F.array_join(F.transform(let(F.split(F.regexp_replace(text, "\\r\\n?", "\n"), "\n"), kept), _redacted_line), "\n")
+    return F.when(F.contains(text, F.lit(":")), let(headers, redacted_url)).otherwise(text)
 
 
 def redacted(tree: Column) -> Column:
@@ -115,21 +118,24 @@ def _redacted(tokens: Column) -> Column:
         t = F.get(tokens, i)
         depth = s["depth"] + F.when(t.isin("{", "["), 1).when(t.isin("}", "]"), -1).otherwise(0)
         add = lambda x: F.concat(s["out"], F.array(x))
-        named = F.when(_at(tokens, i - 1) == ":", _said(_at(tokens, i - 2)))
-        kept, secret = F.coalesce(F.lower(named).endswith("_env"), F.lit(False)), F.coalesce(named.rlike(SENSITIVE), F.lit(False))
         opens = t.isin("{", "[")
-        leaf = t.startswith('"') & (_at(tokens, i + 1) != ":")
-        inside = s["mode"] != "read"
-        done = inside & (depth <= s["until"])  # the bracket that ends what is kept or hidden
+        leaf = t.startswith('"') & F.contains(t, F.lit(":")) & (_at(tokens, i + 1) != ":")  # texts without a colon stay
+        done = depth <= s["until"]  # the bracket that ends what is kept or hidden
         mode = F.when(done, "read").otherwise(s["mode"])
+        plain = F.when(leaf, state(add(let(let(_said(t), redacted_text), _quoted)), depth, F.lit("read"), s["until"])).otherwise(state(add(t), depth, F.lit("read"), s["until"]))
+
+        def member(name: Column) -> Column:
+            return (
+                F.when(F.lower(name).endswith("_env"), state(add(t), depth, F.when(opens, "keep").otherwise("read"), F.when(opens, s["depth"]).otherwise(s["until"])))
+                .when(name.rlike(SENSITIVE), state(add(F.lit(f'"{REDACTED}"')), depth, F.when(opens, "hide").otherwise("read"), F.when(opens, s["depth"]).otherwise(s["until"])))
+                .otherwise(plain)
+            )
+
         return (
             F.when(s["mode"] == "hide", state(s["out"], depth, mode, s["until"]))
             .when(s["mode"] == "keep", state(add(t), depth, mode, s["until"]))
-            .when(kept & opens, state(add(t), depth, F.lit("keep"), s["depth"]))
-            .when(kept, state(add(t), depth, F.lit("read"), s["until"]))
-            .when(secret, state(add(F.lit(f'"{REDACTED}"')), depth, F.when(opens, "hide").otherwise("read"), F.when(opens, s["depth"]).otherwise(s["until"])))
-            .when(leaf, state(add(_quoted(let(_said(t), redacted_text))), depth, F.lit("read"), s["until"]))
-            .otherwise(state(add(t), depth, F.lit("read"), s["until"]))
+            .when(_at(tokens, i - 1) == ":", let(_said(_at(tokens, i - 2)), member))
+            .otherwise(plain)
         )
 
     return F.aggregate(F.sequence(F.lit(0), F.size(tokens) - 1), start, step, lambda s: F.array_join(s["out"], ""))
