@@ -86,6 +86,6 @@ def test_every_core_has_rows(spark, tmp_path):
     from tidemill.plans import registry
 
     spark.range(400).selectExpr("id AS c_custkey", "concat('c', id) AS c_name", "id % 25 AS c_nationkey", "'M' AS c_mktsegment").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
-    for name in ("config_trees",):
+    for name in ("config_trees", "request_headers"):
         made = registry.QUERIES[name](spark, str(tmp_path))
         assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= spark.sparkContext.defaultParallelism

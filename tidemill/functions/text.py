@@ -139,11 +139,10 @@ def normalized_lines(text: Column, limit: int = 100_000) -> Column:
 
 
 def headers(text: Column) -> Column:
-    """``Name: value`` lines as a map, the last of a name winning."""
+    """``Name: value`` lines as a map, the last of a name winning (by the session's policy for maps, see :mod:`tidemill.session`)."""
     lines = F.filter(F.split(text, "\\r?\\n"), lambda x: x.rlike("^\\s*[^:\\s][^:]*:"))
     pairs = F.transform(lines, lambda x: F.struct(strip(F.split_part(x, F.lit(":"), F.lit(1))).alias("k"), strip(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("v")))
-    last = F.filter(pairs, lambda p, i: F.size(F.filter(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])) == 0)
-    return F.map_from_entries(last)
+    return F.map_from_entries(pairs)
 
 
 def plural_index(n: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import jsons, narration, times, urls
 from ..functions import text as tx
 from ..operators import dedup, models, publish, render, select, stats, text_packing, verify
+from ..session import spread
 from ..sources import archive, collection, common, feeds, sinks, video
 from ..streaming import incidents, ledger
 from .registry import query
@@ -141,7 +142,7 @@ def invalid_routes(t):
 def request_headers(t):
     """Header lines as a map: the last of a name wins, lines without a name or colon go."""
     lines = F.concat(F.lit("X-A: 1\r\n Name : "), "c_name", F.lit("\nno colon\n: no name\n\nX-A:  "), F.col("c_nationkey").cast("string"), F.lit(" "))
-    return t("customer").select("c_custkey", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(tx.headers(lines))))).alias("headers"))
+    return spread(t("customer")).select("c_custkey", F.to_json(F.map_from_entries(F.array_sort(F.map_entries(tx.headers(lines))))).alias("headers"))
 
 
 _MARKED = "replace(replace(replace(text, ' the', ' <mark>the'), 'on ', 'on</mark> '), ' de ', '<mark> de')"
