@@ -73,3 +73,10 @@ def test_identities(spark):
     urls = ["https://a.b/", "https://a.b:443", "http://[::1]:80/x", "x", "https://a..b/", "https://" + "a" * 64 + ".b/", "https://a:65536/", "https://a:x/", "http://[::1/", None]
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string")
     assert [r[0] for r in rows.orderBy("i").select(retrieval.has_identity(F.col("u"))).collect()] == [True, True, True, True, False, False, False, False, False, False]
+
+
+def test_rounds_are_followed_once(spark):
+    from tidemill.plans import registry
+
+    plan = registry.QUERIES["retrieved_evidence"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..functions.udfs import let
 
 #: Kinds of claims with all their searches (others have one), failures that leave a check open, and calls of the model for one answer.
 BROAD_KINDS, OPEN_FAILURES, MOST_CALLS = ("event", "other"), ("timeout", "network_error"), 3
@@ -42,23 +43,24 @@ def rounds(claims: DataFrame, searches: DataFrame, hits: DataFrame, *, max_queri
     key = lambda c: F.when(has_identity(c), urls.evidence_url(c, ascii_hosts=ascii_hosts))
     first = Window.partitionBy("claim_id", "round").orderBy("rank", "url")
     near = hits.where(F.col("round") <= max_queries).withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_documents)
-    found = near.groupBy("claim_id", "round").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", key(F.col("url")).alias("key"), "url"))), lambda x: F.struct(x["key"].alias("key"), x["url"].alias("url"))).alias("hits"))  # at most max_documents
+    # keys are columns of their own, compiled, not evaluated within an aggregate or a fold
+    found = near.withColumn("key", key(F.col("url"))).groupBy("claim_id", "round").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "key", "url"))), lambda x: F.struct(x["key"].alias("key"), x["url"].alias("url"))).alias("hits"))  # at most max_documents
     asked = searches.where(F.col("round") <= max_queries).groupBy("claim_id", "round").agg(F.max(F.struct("status", "error_code")).alias("s"))
     each = asked.join(found, ["claim_id", "round"], "full").groupBy("claim_id").agg(F.map_from_entries(F.collect_list(F.struct("round", F.struct("s.status", "s.error_code", "hits")))).alias("m"))  # at most max_queries
     limit = F.when(F.col("kind").isin(*BROAD_KINDS), max_queries).otherwise(min(max_queries, 1))
     none = F.array().cast(_SEEN)
-    own = F.when(F.col("url").isNull(), none).when(key(F.col("url")).isNull(), none).otherwise(F.array(F.struct(key(F.col("url")).alias("key"), F.col("url").alias("url"))))
+    own = F.when(F.col("__own").isNull(), none).otherwise(F.array(F.struct(F.col("__own").alias("key"), F.col("url").alias("url"))))
     state = lambda seen, calls, errors, invalid, stopped: F.struct(seen.alias("seen"), calls.alias("calls"), errors.alias("errors"), invalid.alias("invalid"), stopped.alias("stopped"))
     strings = F.array().cast("array<string>")
-    start = state(own.cast(_SEEN), F.lit(0), strings, F.when(F.col("url").isNotNull() & (F.size(own) == 0), 1).otherwise(0), F.lit(None).cast("string"))
+    start = state(own.cast(_SEEN), F.lit(0), strings, F.when(F.col("url").isNotNull() & F.col("__own").isNull(), 1).otherwise(0), F.lit(None).cast("string"))
 
     def step(s: Column, n: Column) -> Column:
         left = F.lit(max_documents) - F.size(s["seen"])
         this = F.try_element_at(F.col("m"), n)
         failed = F.coalesce(this["status"], F.lit("error")) == "error"
         looked = F.slice(F.coalesce(this["hits"], none), F.lit(1), F.greatest(left, F.lit(0)))
-        fresh = F.filter(looked, lambda h, i: h["key"].isNotNull() & ~F.exists(s["seen"], lambda y: y["key"] == h["key"]) & ~F.exists(F.slice(looked, F.lit(1), i), lambda y: F.coalesce(y["key"] == h["key"], F.lit(False))))
-        after = state(F.concat(s["seen"], fresh), s["calls"] + 1, s["errors"], s["invalid"] + F.size(F.filter(looked, lambda h: h["key"].isNull())), F.lit(None).cast("string"))
+        fresh = lambda looked: F.filter(looked, lambda h, i: h["key"].isNotNull() & ~F.exists(s["seen"], lambda y: y["key"] == h["key"]) & ~F.exists(F.slice(looked, F.lit(1), i), lambda y: F.coalesce(y["key"] == h["key"], F.lit(False))))
+        after = let(looked, lambda x: state(F.concat(s["seen"], fresh(x)), s["calls"] + 1, s["errors"], s["invalid"] + F.size(F.filter(x, lambda h: h["key"].isNull())), F.lit(None).cast("string")))
         error = state(s["seen"], s["calls"] + 1, F.concat(s["errors"], F.array(F.coalesce(this["error_code"], F.lit("unavailable")))), s["invalid"], F.lit("backend_error"))
         full = state(s["seen"], s["calls"], s["errors"], s["invalid"], F.lit("budget"))
         return F.when(s["stopped"].isNotNull() | (n > limit), s).when(left <= 0, full).when(failed, error).otherwise(after)
@@ -69,32 +71,35 @@ def rounds(claims: DataFrame, searches: DataFrame, hits: DataFrame, *, max_queri
         return state(s["seen"], s["calls"], s["errors"], s["invalid"], F.when(used, "budget").otherwise(F.coalesce(s["stopped"], F.lit("no_novelty"))))
 
     folded = F.aggregate(F.sequence(F.lit(1), F.lit(max_queries)), start, step, finish)
-    out = claims.join(each, "claim_id", "left").withColumn("s", F.when(F.col("checkability") == "checkable", folded).otherwise(state(none, F.lit(0), strings, F.lit(0), F.lit("not_checkable"))))
+    out = claims.withColumn("__own", key(F.col("url"))).join(each, "claim_id", "left").withColumn("s", F.when(F.col("checkability") == "checkable", folded).otherwise(state(none, F.lit(0), strings, F.lit(0), F.lit("not_checkable"))))
     return out.select(*claims.columns, F.col("s.seen").alias("seen"), F.col("s.calls").alias("search_calls"), F.size("s.seen").alias("attempted"), F.col("s.errors").alias("search_errors"), F.col("s.invalid").alias("invalid"), F.col("s.stopped").alias("stopped"))
 
 
 def retrieved(claims: DataFrame, searches: DataFrame, hits: DataFrame, documents: DataFrame, *, max_queries: int = 3, max_documents: int = 6, ascii_hosts: bool = False) -> DataFrame:
     """:func:`rounds` with ``fetched``, ``cache_reuse``, ``fetch_errors`` and ``snapshots`` (ids, in order) instead of ``seen``.
 
-    ``claims`` also have ``item_id`` and ``ord``, their order within the item. ``documents(key, status, snapshot_id)`` are the
+    ``claims`` (one row each) also have ``item_id`` and ``ord``, their order within the item. ``documents(key, status, snapshot_id)`` are the
     captured fetches by identity, one each; what wasn't captured is a network error, and an ``ok`` without a snapshot is
     an empty text. A document that an earlier claim of the item has met is a reuse, whatever it was.
     """
     base = rounds(claims, searches, hits, max_queries=max_queries, max_documents=max_documents, ascii_hosts=ascii_hosts)
-    met = base.select("claim_id", "item_id", "ord", F.posexplode("seen").alias("at", "x")).select("claim_id", "item_id", "ord", "at", "x.key")
+    row = [c for c in base.columns if c not in ("claim_id", "seen")]
+    # a row for each document met, or one without; the claim's own columns go with it, so that rounds are followed once
+    met = base.select("claim_id", "item_id", "ord", F.struct(*row).alias("c"), F.posexplode_outer("seen").alias("at", "x")).select("claim_id", "item_id", "ord", "c", "at", "x.key")
     before = F.min("ord").over(Window.partitionBy("item_id", "key"))
-    met = met.withColumn("again", F.col("ord") > before).join(documents.select("key", "status", "snapshot_id"), "key", "left")
+    met = met.withColumn("again", (F.col("ord") > before) & F.col("key").isNotNull()).join(documents.select("key", "status", "snapshot_id"), "key", "left")
     ok = (F.col("status") == "ok") & F.col("snapshot_id").isNotNull()
     error = F.when(F.coalesce(ok, F.lit(False)), None).when(F.col("status") == "ok", "normalization_empty").otherwise(F.coalesce("status", F.lit("network_error")))
-    every = met.groupBy("claim_id").agg(  # at most max_documents
+    out = met.groupBy("claim_id").agg(  # at most max_documents
+        F.any_value("c").alias("c"),
         F.count_if(F.coalesce(ok, F.lit(False)) & ~F.col("again")).cast("int").alias("fetched"),
         F.count_if("again").cast("int").alias("cache_reuse"),
-        F.array_sort(F.collect_list(F.struct("at", error.alias("error"), F.when(F.coalesce(ok, F.lit(False)), F.col("snapshot_id")).alias("id")))).alias("d"),
+        F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", error.alias("error"), F.when(F.coalesce(ok, F.lit(False)), F.col("snapshot_id")).alias("id"))))).alias("d"),
     )
-    said = lambda c: F.filter(F.transform(F.coalesce("d", F.array().cast("array<struct<at:int,error:string,id:string>>")), lambda x: x[c]), lambda x: x.isNotNull())
-    out = base.join(every, "claim_id", "left")
+    said = lambda c: F.filter(F.transform("d", lambda x: x[c]), lambda x: x.isNotNull())
+    out = out.select("claim_id", "c.*", "fetched", "cache_reuse", "d")
     errors = F.concat(said("error"), F.array_repeat(F.lit("invalid_url"), F.col("invalid")))
-    return out.select(*claims.columns, "search_calls", "attempted", "search_errors", "stopped", F.coalesce("fetched", F.lit(0)).alias("fetched"), F.coalesce("cache_reuse", F.lit(0)).alias("cache_reuse"), errors.alias("fetch_errors"), F.array_distinct(said("id")).alias("snapshots"))
+    return out.select(*claims.columns, "search_calls", "attempted", "search_errors", "stopped", "fetched", "cache_reuse", errors.alias("fetch_errors"), F.array_distinct(said("id")).alias("snapshots"))
 
 
 def concluded(found: DataFrame, answers: DataFrame, statuses: DataFrame, *, model_calls: int) -> DataFrame:
