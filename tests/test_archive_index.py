@@ -87,3 +87,10 @@ def test_odd_rows(spark, path):
         ai.upsert(spark.createDataFrame([("a", "x", "", None)], SCHEMA), path, buckets=7)
     with pytest.raises(Exception, match="already exists"):
         storage.commit(spark, f"{path}/versions", 1, {})
+
+
+def test_a_term_counts_once_a_row(spark):
+    cases = [(["a", "b"], ["b", "c", "b", "a1"]), ([], []), (["a"], []), ([], ["z", "a", "z"]), (["b", "b", "ab"], ["a", "b", "abc", "ab"])]
+    df = spark.createDataFrame(cases, "t array<string>, c array<string>")
+    for (t, c), r in zip(cases, df.coalesce(1).select(ai._frequencies(F.col("t"), F.col("c"), 3.0).alias("x")).collect(), strict=True):
+        assert [(x.term, x.tf) for x in r.x] == [(w, 3.0 * t.count(w) + c.count(w)) for w in sorted({*t, *c})]
