@@ -182,3 +182,31 @@ def test_union_and_selection(spark):
     assert [(x.s.valid, x.s.unknown) for x in s] == [(["b"], ["z"]), (["a"], [])]
     html = spark.createDataFrame([("<html><body><nav><p>menu</p></nav><p>One &amp; two</p><script>x</script><ul><li>li</li></ul></body></html>",), (None,)], "h string")
     assert [r[0] for r in html.select(pages.extractor("readable")("h")).collect()] == ["One & two\nli", None] and pages.extractor("none") is None
+
+
+def test_batches_for_python_are_bounded(spark):
+    from tidemill.session import BATCHES, configured
+
+    rows, size = BATCHES
+    spark.conf.set(rows, "10000")
+    spark.conf.set(size, str(1 << 28))
+    configured(spark)
+    assert int(spark.conf.get(rows)) == 1000 and int(str(spark.conf.get(size)).removesuffix("b")) == 4 << 20
+    spark.conf.set(rows, "7")
+    configured(spark)
+    assert spark.conf.get(rows) == "7"
+    spark.conf.set(rows, "1000")
+
+
+def test_a_page_leaves_no_cycles():
+    import gc
+
+    from tidemill.sources.pages import _readable
+
+    gc.collect()
+    gc.disable()
+    try:
+        assert _readable("<html><body><article><p>a <b>b</b></p><ul><li>c</li></ul></article></body></html>") == "a b\nc"
+        assert gc.collect() == 0
+    finally:
+        gc.enable()

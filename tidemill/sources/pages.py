@@ -53,6 +53,11 @@ class Node:
                 stack += reversed(n.children)
         return "".join(out)
 
+    def release(self) -> None:
+        """Takes the tree apart, so that its memory is free at once and not when cycles are next looked for."""
+        for n in list(self.walk()):
+            n.children, n.parent = [], None
+
 
 class _Builder(HTMLParser):
     def __init__(self):
@@ -100,7 +105,9 @@ def _readable(markup: str | None) -> str | None:
             said = " ".join(n.text(skip=("script", "style", "noscript")).split())
             if up is None and said:
                 blocks.append(said)
-    return "\n".join(blocks) or " ".join(body.text(skip=("script", "style", "noscript", "nav", "footer")).split())
+    said = "\n".join(blocks) or " ".join(body.text(skip=("script", "style", "noscript", "nav", "footer")).split())
+    root.release()
+    return said
 
 
 @vectorized("string")
