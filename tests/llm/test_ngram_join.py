@@ -71,6 +71,34 @@ def test_large_group_goes_block_by_block(spark, monkeypatch):
     assert got == brute(rows, 3, 90)
 
 
+def test_a_pair_is_named_once_not_by_each_signature(spark, monkeypatch, tmp_path):
+    r, run, to = random.Random(7), nj._run, str(tmp_path)
+    base = [f"w{i}" for i in range(600)]
+    rows = []
+    for i in range(24):
+        copy = list(base)
+        for at in r.sample(range(600), 7):
+            copy[at] = f"x{i}-{at}"
+        rows += [(2 * i, " ".join(copy))] + [(2 * i + 1, " ".join([*copy, "end"]))] * (i % 3 > 1)
+
+    def counted(work, **how):
+        def made(batches):
+            import uuid
+
+            for b in run(work, **how)(batches):
+                with open(f"{to}/{work.__name__}-{uuid.uuid4().hex}", "w") as f:
+                    f.write("\n".join(f"{x} {y}" for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)))
+                yield b
+
+        return made if work.__name__ == "_pairs" else run(work, **how)
+
+    monkeypatch.setattr(nj, "_run", counted)
+    got = sorted(((x.id, x.size, x.component_id) for x in nj.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5, percent=80).collect()), key=str)
+    assert got == brute(rows, 5, 80)
+    named = [x for p in tmp_path.iterdir() for x in p.read_text().split("\n")]
+    assert len(set(named)) > 100 and len(named) < 2 * len(set(named))
+
+
 def test_empty_and_repeated_rows(spark):
     assert nj.near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")]

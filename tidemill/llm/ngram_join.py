@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Workspace, lean
+from ._common import Workspace, first_in_groups, lean
 from ._hashing import EXACT, LOWER, U64, mix, shingles, word_hashes
 from .graph import components
 
@@ -30,6 +30,8 @@ THIN = 0
 SKETCH = 128
 #: Most members of one signature that a task compares at once; larger ones go block by block.
 BLOCK = 1024
+#: So many of a document's smallest signatures go with it, so that a pair is named by the first one that it shares.
+LEAST = 16
 #: Ids up to this number (8 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -243,15 +245,29 @@ def _verified(batches, *, percent):
         yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], ["a", "b"])
 
 
-def _close(rows: list, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one (signature, block, block) that lie in different components and that sketches don't rule out."""
-    ids, comps, blocks, size, counts, known = (np.concatenate(x) for x in zip(*rows, strict=True))
+def _padded(lists: pa.Array) -> np.ndarray:
+    """Lists of at most ``LEAST`` signatures, a row each, filled up with a value below which nothing counts."""
+    size = np.asarray(lists.value_lengths().fill_null(0))
+    out = np.full((len(size), LEAST), np.iinfo(np.int64).max)
+    out[np.arange(LEAST) < size[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    return out
+
+
+def _close(sig: int, rows: list, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one (signature, block, block) that lie in different components and that sketches don't rule out.
+
+    A pair that meets at a smaller signature too, by the lists of both, is left to that one: the smallest that it shares always names it.
+    """
+    ids, comps, blocks, size, counts, known, least = (np.concatenate(x) for x in zip(*rows, strict=True))
     for i in range(len(ids) - 1):
         rest = np.flatnonzero((comps[i + 1 :] != comps[i]) & ((blocks[i + 1 :] != blocks[i]) | (blocks[-1] == blocks[0]))) + i + 1
         rest = rest[100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])]
         if len(rest):
             both = np.minimum(counts[rest], counts[i]).sum(1, dtype=np.int64)
             rest = rest[(100 * both >= percent * (size[rest] + size[i] - both)) | ~known[rest] | ~known[i]]
+            before = least[i][least[i] < sig]
+            if len(rest) and len(before):
+                rest = rest[~(least[rest][:, :, None] == before).any((1, 2))]
             if len(rest):
                 yield np.minimum(ids[rest], ids[i]), np.maximum(ids[rest], ids[i])
 
@@ -261,7 +277,7 @@ def _pairs(batches, *, percent):
     key, held = None, []
 
     def flush():
-        found = list(_close(held, percent)) if len({c for h in held for c in (h[1][0], h[1].min(), h[1].max())}) > 1 else []
+        found = list(_close(key[0], held, percent)) if len({c for h in held for c in (h[1][0], h[1].min(), h[1].max())}) > 1 else []
         if found:
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -272,14 +288,14 @@ def _pairs(batches, *, percent):
         cols = [b.column(i).to_numpy() for i in range(7)]
         made = b.column(7).to_pylist()
         known = np.array([bool(x) for x in made])
-        counts = _counts(made)
+        counts, least = _counts(made), _padded(b.column(8))
         new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)) + 1
         for s, t in zip([0, *new], [*new, b.num_rows], strict=True):
             now = tuple(c[s] for c in cols[:3])
             if now != key:
                 yield from flush()
                 key, held = now, []
-            held.append((cols[4][s:t], cols[5][s:t], cols[3][s:t], cols[6][s:t], counts[s:t], known[s:t]))
+            held.append((cols[4][s:t], cols[5][s:t], cols[3][s:t], cols[6][s:t], counts[s:t], known[s:t], least[s:t]))
     yield from flush()
 
 
@@ -341,10 +357,14 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     large = work.save(large, "large")
     work.freed("stars")
     live = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig").join(large, "sig", "left").select("sig", F.coalesce("blocks", F.lit(1)).alias("blocks"))
-    apart = placed.join(live, "sig").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    apart = apart.select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp").join(arrays.select("id", "size", "sketch"), "id").select("sig", "one", "two", "block", "id", "comp", "size", "sketch")
-    pairs = work.small(apart.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two", "block").mapInArrow(_run(_pairs, percent=percent), "a long, b long").distinct(), "pairs", 2 * n)
+    living = work.save(placed.join(live, "sig"), "living")
     work.freed("placed", "large")
+    least = first_in_groups(living.select("id", "sig"), ["id"], [F.col("sig")], LEAST, "nth").groupBy("id").agg(F.array_sort(F.collect_list("sig")).alias("least"))
+    told = work.save(arrays.select("id", "size", "sketch").join(least, "id"), "told", n)
+    apart = living.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    apart = apart.select("sig", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "id", "comp").join(told, "id").select("sig", "one", "two", "block", "id", "comp", "size", "sketch", "least")
+    pairs = work.small(apart.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two", "block").mapInArrow(_run(_pairs, percent=percent), "a long, b long").distinct(), "pairs", 2 * n)
+    work.freed("living", "told")
     second = work.small(verify(pairs, "second").unionByName(first.select(F.col("id").alias("a"), F.col("comp").alias("b"))), "links2", 2 * n)
     final = work.save(components(second, work, "final"), "comps2", n)
     work.freed("classes", "arrays", "comps1", "pairs", "second-likely", "second-ids", "second-sets", "links2")
