@@ -91,3 +91,23 @@ def test_any_soup_comes_out_inert_and_balanced(spark):
         seen.feed(row.v)
         seen.close()
         assert not seen.bad and not seen.open, (soup[row.i], row.v)
+
+
+def test_claims_and_sources_named_more_than_once(spark):
+    df = spark.createDataFrame
+    reports = df([("r1", "i1", T, [("c1", "supported_by_evidence"), ("c2", "mixed_evidence")], {"c1": ["e1", None, "e2", "e3", "e1", "e4"], "c2": None}), ("r2", None, T, [("c1", "insufficient_evidence"), ("gone", "mixed_evidence")], None), ("r3", "i1", T, [], {})], REPORTS).withColumn("status_by_claim", F.map_from_entries("status_by_claim"))
+    items = df([("i1", "T", "https://n.example/", T)], "item_id string, title string, url string, published_at timestamp")
+    claims = df([("c1", "event", "one", ""), ("c1", "event", "one", ""), ("c1", "opinion", None, "again"), ("c2", "quote", "two", ""), (None, "quote", "no one's", "")], "claim_id string, kind string, source_text string, normalized_claim string")
+    cards = df([("e1", "s1", "supports", "z"), ("e1", "s1", "supports", "a"), ("e2", "s2", "context", "b"), ("e3", "s3", "supports", "c"), ("e4", "s4", "context", "d"), (None, "s1", "supports", "x"), ("e2", None, "supports", "y")], "evidence_id string, snapshot_id string, stance string, source_class string")
+    snapshots = df([("s1", "https://a.example/"), ("s2", None), ("s3", "https://a.example/"), ("s4", ""), (None, "https://b.example/")], "snapshot_id string, final_url string")
+    got = {r.report_id: r.claims for r in sp.page_models(reports, items, claims, cards, snapshots).collect()}
+    sources = [("https://a.example/", "supports", "a"), (None, "context", "b"), ("", "context", "d")]
+    assert [(c.text, c.kind, c.public_status, [tuple(s) for s in c.sources]) for c in got["r1"]] == [("again", "opinion", "anecdotal", sources), ("one", "event", "corroborated_event", sources), ("one", "event", "corroborated_event", sources), ("two", "quote", "disputed", [])]
+    assert [(c.text, c.public_status, c.sources) for c in got["r2"]] == [("again", "insufficient", []), ("one", "insufficient", []), ("one", "insufficient", [])] and got["r3"] == []
+
+
+def test_pages_deal_rows_out_by_claim_and_report_only(spark):
+    from tidemill.plans import registry
+
+    plan = registry.QUERIES["page_models"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 6 and "hashpartitioning(evidence_id" not in plan and "hashpartitioning(snapshot_id" not in plan

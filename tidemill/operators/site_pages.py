@@ -24,24 +24,47 @@ def page_models(reports: DataFrame, items: DataFrame, claims: DataFrame, cards:
     ``reports(report_id, item_id, checked_at, status_by_claim, evidence_ids_by_claim)`` name their claims and cards; what they name
     and isn't there is left out. ``items(item_id, title, url, published_at)``, ``claims(claim_id, kind, source_text,
     normalized_claim)``, ``cards(evidence_id, snapshot_id, stance, source_class)``, ``snapshots(snapshot_id, final_url)``.
-    A source is shown once for each stance, where it comes first.
+    A source is shown once for each stance, where it comes first. Rows are dealt out by claim and then by report; cards and snapshots are looked up where they are small.
     """
+    said = reports.select("report_id", F.posexplode_outer(F.map_entries("status_by_claim")).alias("at", "s"), "evidence_ids_by_claim").where("s is not null")
+    said = said.select("report_id", "at", F.col("s.key").alias("claim_id"), F.col("s.value").alias("status"), F.array_distinct(F.try_element_at("evidence_ids_by_claim", F.col("s.key"))).alias("ids"))
+    kind = verify.conservative_kind(F.coalesce("kind", F.lit("other")), F.coalesce("source_text", F.lit("")), F.coalesce("normalized_claim", F.lit("")))
+    words = claims.select("claim_id", tx_or("source_text", "normalized_claim").alias("text"), kind.alias("kind"))
+    # what is joined once, in the order that costs least: a claim's words while it is one row, then its cards, which may be broadcast
+    known = said.join(words, "claim_id").select("report_id", "at", F.monotonically_increasing_id().alias("row"), F.struct("text", "kind", "status").alias("claim"), "ids")
+    named = known.select("report_id", "at", "row", "claim", F.posexplode_outer("ids").alias("n", "evidence_id"))
+    shown = cards.where(F.col("stance").isin(*SHOWN)).select("evidence_id", "snapshot_id", "stance", "source_class")
+    kept = snapshots.select("snapshot_id", F.col("final_url").alias("url"), F.lit(True).alias("there"))
+    source = F.when(F.col("there"), F.struct(F.concat_ws("\0", "stance", "url").alias("pair"), F.struct("url", "stance", "source_class").alias("shown"))).alias("source")
+    head_row = F.coalesce("n", F.lit(0)) == 0  # the row that holds the claim, whether or not its card is there
+    rows = named.join(shown, "evidence_id", "left").join(kept, "snapshot_id", "left").where(head_row | F.col("there"))
+    row = F.struct("at", "row", F.coalesce("n", F.lit(0)).alias("n"), F.when(head_row, F.col("claim")).alias("claim"), source)
+    said_of = rows.select("report_id", row.alias("x")).repartition("report_id").groupBy("report_id").agg(F.sort_array(F.collect_list("x")).alias("rows"))  # of one report
     item = items.select("item_id", "title", F.col("url").alias("item_url"), "published_at")
     age = F.when(F.col("published_at").isNotNull() & F.col("checked_at").isNotNull(), F.greatest(F.lit(0.0), times.age_hours(F.col("published_at").cast("timestamp"), F.col("checked_at").cast("timestamp"))))
-    head = reports.select("report_id", "item_id", "checked_at", "status_by_claim", "evidence_ids_by_claim").join(item, "item_id", "left").withColumn("age_hours", age)
-    said = head.select("report_id", "age_hours", F.posexplode(F.map_entries("status_by_claim")).alias("at", "s"), "evidence_ids_by_claim").select("report_id", "age_hours", "at", F.col("s.key").alias("claim_id"), F.col("s.value").alias("status"), F.try_element_at("evidence_ids_by_claim", F.col("s.key")).alias("ids"))
-    named = said.select("report_id", "at", F.posexplode("ids").alias("n", "evidence_id"))
-    shown = cards.where(F.col("stance").isin(*SHOWN)).join(snapshots.select("snapshot_id", F.col("final_url").alias("url")), "snapshot_id").select("evidence_id", "url", "stance", "source_class")
-    first = named.join(shown, "evidence_id").groupBy("report_id", "at", "url", "stance").agg(F.min(F.struct("n", "source_class")).alias("f"))
-    source = F.struct(F.col("f.n").alias("n"), F.struct("url", "stance", F.col("f.source_class").alias("source_class")).alias("s"))
-    sources = first.groupBy("report_id", "at").agg(F.transform(F.array_sort(F.collect_list(source)), lambda x: x["s"]).alias("sources"))  # of one claim
-    known = said.drop("ids").join(claims.select("claim_id", "kind", "source_text", "normalized_claim"), "claim_id").join(sources, ["report_id", "at"], "left")
-    kind = verify.conservative_kind(F.coalesce("kind", F.lit("other")), F.coalesce("source_text", F.lit("")), F.coalesce("normalized_claim", F.lit("")))
-    known = known.withColumn("kind", kind)
-    claim = F.struct(tx_or("source_text", "normalized_claim").alias("text"), "kind", "status", verify.public_status(F.col("kind"), F.col("status"), F.col("age_hours")).alias("public_status"), F.coalesce("sources", F.array().cast(_SOURCES)).alias("sources"))
-    nested = known.groupBy("report_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", claim.alias("c")))), lambda x: x["c"]).alias("claims"))  # of one report
+    head = reports.select("report_id", "item_id", "checked_at").join(item, "item_id", "left").withColumn("age_hours", age)
     none = F.array().cast(f"array<struct<text:string,kind:string,status:string,public_status:string,sources:{_SOURCES}>>")
-    return head.join(nested, "report_id", "left").select("report_id", "item_id", "title", F.col("item_url").alias("url"), "published_at", "checked_at", "age_hours", F.coalesce("claims", none).alias("claims"))
+    return head.join(said_of, "report_id", "left").select("report_id", "item_id", "title", F.col("item_url").alias("url"), "published_at", "checked_at", "age_hours", F.coalesce(_nested(F.col("rows"), F.col("age_hours")), none).alias("claims"))
+
+
+def _nested(rows: Column, age_hours: Column) -> Column:
+    """The claims of a report from its sorted ``rows(at, row, n, claim, source)``: those of one claim follow each other, its own first."""
+
+    def sources(xs: Column) -> Column:
+        there = F.filter(xs, lambda s: s.isNotNull())
+        again = lambda all_, pairs: F.filter(all_, lambda s, i: F.array_position(pairs, s["pair"]) == i + 1)["shown"]
+        return let(there, lambda all_: F.when(F.size(all_) < 2, all_["shown"]).otherwise(let(all_["pair"], lambda pairs: again(all_, pairs))))
+
+    def claim(x: Column, xs: Column) -> Column:
+        c = x["claim"]
+        return F.struct(x["at"].alias("at"), F.struct(c["text"].alias("text"), c["kind"].alias("kind"), c["status"].alias("status"), verify.public_status(c["kind"], c["status"], age_hours).alias("public_status"), sources(xs).alias("sources")).alias("c"))
+
+    def all_of(xs: Column) -> Column:
+        begins = let(xs["row"], lambda of: F.filter(F.sequence(F.lit(0), F.size(of) - 1), lambda i: (i == 0) | (F.get(of, i) != F.get(of, i - 1))))
+        part = lambda at, i, k: F.slice(xs["source"], i + 1, F.coalesce(F.get(at, k + 1), F.size(xs)) - i)
+        return let(begins, lambda at: F.transform(at, lambda i, k: claim(F.get(xs, i), part(at, i, k))))
+
+    return F.sort_array(let(rows, all_of))["c"]
 
 
 #: Public statuses that leave a page provisional beside a provisional claim.

@@ -146,15 +146,17 @@ t AS (SELECT l_orderkey, count(*) AS n, string_agg(l_returnflag || l_linenumber
 SELECT o_orderkey AS report_id, c_name AS title, CAST(coalesce(n, 0) AS INTEGER) AS claims, coalesce(said, '') AS said FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN t ON l_orderkey = o_orderkey""")
 def page_models(t):
     """A report for each order about its customer, its lines the claims; suppliers are cards."""
-    lines = t("lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_suppkey", "l_partkey", "l_returnflag")])
     key = F.concat("l_orderkey", F.lit("-"), "l_linenumber")
     named = lambda x: F.concat(F.lit("e"), x.cast("string"))
-    row = F.struct("l_linenumber", F.struct(key, F.expr(_PAGE_STATUS)).alias("status"), F.struct(key, F.array(named(F.col("l_suppkey")), named(F.col("l_partkey") % 40), named(F.col("l_suppkey")))).alias("ids"))
-    of = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("x"))  # the lines of one order
-    maps = of.select("l_orderkey", F.map_from_entries(F.transform("x", lambda v: v["status"])).alias("status_by_claim"), F.map_from_entries(F.transform("x", lambda v: v["ids"])).alias("evidence_ids_by_claim"))
+    # the lines of one order are dealt out once, by it: what groups by order and line, and then by order, finds them together
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").repartition("l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_suppkey").alias("l_suppkey"), F.min("l_partkey").alias("l_partkey"))
+    row = F.struct("l_linenumber", key.alias("key"), F.expr(_PAGE_STATUS).alias("status"), F.array(named(F.col("l_suppkey")), named(F.col("l_partkey") % 40), named(F.col("l_suppkey"))).alias("ids"))
+    of = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(row)).alias("x"))  # the lines of one order
+    maps = of.select("l_orderkey", F.map_from_arrays("x.key", "x.status").alias("status_by_claim"), F.map_from_arrays("x.key", "x.ids").alias("evidence_ids_by_claim"))
     reports = t("orders").join(maps, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("report_id"), F.col("o_custkey").alias("item_id"), F.col("o_orderdate").alias("checked_at"), "status_by_claim", "evidence_ids_by_claim")
     items = t("customer").select(F.col("c_custkey").alias("item_id"), F.col("c_name").alias("title"), F.lit("https://n.example/").alias("url"), F.lit(None).cast("timestamp").alias("published_at"))
-    claims = lines.where("l_linenumber % 6 > 0").select(key.alias("claim_id"), F.expr(_PAGE_KIND).alias("kind"), F.concat("l_returnflag", "l_linenumber").alias("source_text"), F.lit("said").alias("normalized_claim"))
+    own = t("lineitem").where("l_linenumber % 6 > 0").select(key.alias("claim_id"), "l_linenumber", "l_returnflag").repartition("claim_id").groupBy("claim_id").agg(F.min("l_linenumber").alias("l_linenumber"), F.min("l_returnflag").alias("l_returnflag"))
+    claims = own.select("claim_id", F.expr(_PAGE_KIND).alias("kind"), F.concat("l_returnflag", "l_linenumber").alias("source_text"), F.lit("said").alias("normalized_claim"))
     cards = t("supplier").select(named(F.col("s_suppkey")).alias("evidence_id"), F.col("s_suppkey").alias("snapshot_id"), F.expr(_PAGE_STANCE).alias("stance"), F.lit("original").alias("source_class"))
     snapshots = t("supplier").select(F.col("s_suppkey").alias("snapshot_id"), F.concat(F.lit("https://s"), (F.col("s_suppkey") % 9).cast("string"), F.lit(".example/")).alias("final_url"))
     said = F.transform("claims", lambda c: F.concat(c["text"], F.lit(" "), c["kind"], F.lit(" "), c["public_status"], F.lit(": "), F.array_join(F.transform(c["sources"], lambda s: F.concat(s["stance"], F.lit(" "), s["url"])), " ")))
