@@ -42,6 +42,28 @@ def test_readings(spark):
     assert narration.accepted_readings(df, sources, limit=2).count() == 2
 
 
+def test_readings_of_names_at_edges(spark):
+    text = "Kube (kube) kubeX é-Ünit ünit ﬁne Fine a\\nb C++C tail"
+    rows = [(0, "x", "икс"), (1, "kube", "кьюб"), (2, "KUBE", "куб"), (3, "Ünit", "юнит"), (4, "ÜNIT", "юнит"), (5, "ﬁne", "файн"), (6, "FINE", "файн два"), (7, "C++", "си"), (8, "tail", "тейл"), (9, "x" * 101, "икс"), (10, "a<b", "а"), (11, "42", "сорок"), (12, "a", "т" * 160), (13, None, "а")]
+    df = spark.createDataFrame([(1, *r) for r in rows] + [(4, 0, "one", "один")], "doc_id int, ord int, written string, spoken string")
+    sources = spark.createDataFrame([(1, text), (2, None), (3, "x"), (4, "one")], "doc_id int, text string")
+    got = [(r.doc_id, r.ord) for r in narration.accepted_readings(df, sources).orderBy("doc_id", "ord").collect()]
+    assert got == [(1, 1), (1, 3), (1, 5), (1, 8), (1, 12), (4, 0)]
+
+
+def test_readings_are_dealt_out_by_text_once(spark):
+    from tidemill.plans import registry
+
+    most = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(most)
+    spark.conf.set(most, "-1")  # as with texts that are too large to be broadcast
+    try:
+        plan = registry.QUERIES["accepted_readings"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(most, before)
+    assert plan.count("Exchange hashpartitioning") == 2
+
+
 def test_republished_issues(spark):
     from tests.test_texts import rows_for_issue
     from tidemill.operators import render, stats

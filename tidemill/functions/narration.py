@@ -225,8 +225,14 @@ def accepted_readings(rows, sources, *, id_col: str = "doc_id", limit: int = MOS
 
     written, spoken = F.col("written"), F.col("spoken")
     whole = F.concat(F.lit("(?i)(?<![A-Za-z0-9])\\Q"), F.replace(written, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
+    ascii_only = written.rlike(r"\A[\x00-\x7F]*\z")
+    key = F.coalesce(folded(F.when(~ascii_only, written)), F.lower(written))  # of ASCII, folding is lower case
+    between_spaces = F.contains("text", F.concat(F.lit(" "), written, F.lit(" ")))  # the usual case, for which no text is decoded
     given = rows.select(id_col, "ord", strip(F.coalesce("written", F.lit(""))).alias("written"), strip(F.coalesce("spoken", F.lit(""))).alias("spoken"))
-    plain = given.where(F.length("written").between(1, MOST_WRITTEN) & F.length("spoken").between(1, MOST_SPOKEN) & written.rlike("[A-Za-z]") & ~written.rlike("[<>{}\\n\\r]") & spoken.rlike("[А-Яа-яЁё]") & ~spoken.rlike("[A-Za-z<>{}\\n\\r]"))
-    there = plain.join(sources.select(id_col, "text"), id_col).where(F.rlike(F.col("text"), whole)).drop("text").withColumn("__key", folded(written))
+    is_name = written.rlike(rf"\A(?=[^A-Za-z]*[A-Za-z])[^<>{{}}\n\r]{{1,{MOST_WRITTEN}}}\z")
+    is_said = spoken.rlike(rf"\A(?=[^А-Яа-яЁё]*[А-Яа-яЁё])[^A-Za-z<>{{}}\n\r]{{1,{MOST_SPOKEN}}}\z")
+    plain = given.where(is_name & is_said)
+    # keys come before the join: Python would hide how rows were dealt out by text, and each window would deal them out again
+    there = plain.withColumn("__key", key).join(sources.select(id_col, "text"), id_col).where(between_spaces | F.rlike(F.col("text"), whole)).drop("text")
     first = there.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, "__key").orderBy("ord"))).where("__n = 1")
     return first.withColumn("__r", F.row_number().over(Window.partitionBy(id_col).orderBy("ord"))).where(F.col("__r") <= limit).drop("__n", "__r", "__key")
